@@ -39,7 +39,7 @@ class Corpus:
     @classmethod
     def build(cls, annotations: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
               rows_per_split: int | None = None) -> "Corpus":
-        plain = cut(annotations.select("item_id", "annotator_id", "label", "n"), "annotations")
+        plain = cut(annotations, "annotations")
         items = cut(items.select("item_id").distinct(), "items")
         per_annotator = plain.select("annotator_id", "label").distinct().groupBy("annotator_id").count()
         sizes = per_annotator.agg(F.count(F.lit(1)).alias("j"), F.sum("count").alias("cells")).first()

@@ -29,7 +29,6 @@ class Fit:
     class_prior: list[float]
     soft: DataFrame
     annotators: DataFrame
-    concentration: float = 1.0
     vocab: DataFrame | None = None
     n_features: int = 0
     machine: DataFrame | None = None
@@ -37,7 +36,7 @@ class Fit:
 
     def confusion(self) -> DataFrame:
         """Unnormalised confusion (annotator_id, truth, label, value) on the full grid."""
-        cell = self.priors.annotator_cell(self.n_labels, self.concentration)
+        cell = self.priors.annotator_cell(self.n_labels)
         return counts.confusion_grid(self.soft, self.annotators, self.n_labels, *cell)
 
     def class_table(self) -> DataFrame:
@@ -61,12 +60,12 @@ class Fit:
 
     def weights(self) -> DataFrame:
         """Expected log confusion per (annotator_id, label), one entry per true class."""
-        return confusion_weights(self.soft, self.n_labels, self.priors, self.concentration)
+        return confusion_weights(self.soft, self.n_labels, self.priors)
 
 
-def confusion_weights(soft: DataFrame, n_labels: int, priors: Priors, concentration: float = 1.0) -> DataFrame:
+def confusion_weights(soft: DataFrame, n_labels: int, priors: Priors) -> DataFrame:
     """psi(cell) - psi(row total) for every seen (annotator_id, label) and true class."""
-    diag, off = priors.annotator_cell(n_labels, concentration)
+    diag, off = priors.annotator_cell(n_labels)
     cells = arrays.cells("c", n_labels)
     prior_row = arrays.num(diag + (n_labels - 1) * off)
     totals = [f"sum({c}) OVER (PARTITION BY annotator_id) + {prior_row}" for c in cells]
@@ -118,7 +117,13 @@ def mom_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame, n
     return _fit(annotations, items, n_labels, priors, iterations, rescale_features(features), rows_per_split, tune)
 
 
+def unit_concentration(priors: Priors) -> Priors:
+    """The variational models start from annotator confusion rows of total mass one."""
+    return priors.with_(c_gamma=1.0)
+
+
 def _fit(annotations, items, n_labels, priors, iterations, features, rows_per_split, tune) -> Fit:
+    priors = unit_concentration(priors)
     corpus = Corpus.build(annotations, items, n_labels, features, rows_per_split)
     posteriors = Rolling("posterior")
     posteriors.push(corpus.vote_start())
@@ -159,6 +164,7 @@ def multi_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame,
     ``start`` gives the initial h as (item_id, h). Both posteriors of an iteration are computed from the
     previous iteration's posteriors and from parameters one generation older, as in a double buffer.
     """
+    priors = unit_concentration(priors)
     corpus = Corpus.build(annotations, items, n_labels, features, rows_per_split)
     k = n_labels
     state = Rolling("posterior_pair", keep=3)

@@ -26,9 +26,9 @@ class Priors:
     def with_(self, **changes) -> "Priors":
         return replace(self, **changes)
 
-    def annotator_cell(self, n_labels: int, concentration: float | None = None) -> tuple[float, float]:
+    def annotator_cell(self, n_labels: int) -> tuple[float, float]:
         """(diagonal, off-diagonal) pseudo-counts of one annotator's confusion row."""
-        return confusion_cell(self.b_gamma, self.c_gamma if concentration is None else concentration, n_labels)
+        return confusion_cell(self.b_gamma, self.c_gamma, n_labels)
 
     def machine_cell(self, n_labels: int) -> tuple[float, float]:
         return confusion_cell(self.b_mu, self.c_mu, n_labels)
