@@ -28,13 +28,26 @@ def symmetric_step(rows: DataFrame, n_labels: int, alpha: float) -> float:
     return (SHAPE - 1.0 + alpha * up) / (RATE + n_labels * down)
 
 
+def _accelerated(step, start: list[float], max_steps: int) -> list[float]:
+    """Fixed point of ``step`` on a few scalars, with Aitken extrapolation after every pair of steps."""
+    x = start
+    for _ in range(max_steps // 2):
+        first = step(x)
+        if all(abs(b - a) <= STOP * a for a, b in zip(x, first)):
+            return first
+        second = step(first)
+        if all(abs(b - a) <= STOP * a for a, b in zip(first, second)):
+            return second
+        jump = [
+            c - (c - b) ** 2 / ((c - b) - (b - a)) if (c - b) != (b - a) else c
+            for a, b, c in zip(x, first, second)
+        ]
+        x = [j if 0.02 * c < j < 50 * c else c for j, c in zip(jump, second)]
+    return x
+
+
 def symmetric(rows: DataFrame, n_labels: int, alpha: float, max_steps: int = 100) -> float:
-    for _ in range(max_steps):
-        new = symmetric_step(rows, n_labels, alpha)
-        if abs(new - alpha) <= STOP * alpha:
-            return new
-        alpha = new
-    return alpha
+    return _accelerated(lambda x: [symmetric_step(rows, n_labels, x[0])], [alpha], max_steps)[0]
 
 
 def confusion_step(rows: DataFrame, n_labels: int, diag: float, off: float) -> tuple[float, float]:
@@ -57,12 +70,8 @@ def confusion_step(rows: DataFrame, n_labels: int, diag: float, off: float) -> t
 
 
 def confusion(rows: DataFrame, n_labels: int, diag: float, off: float, max_steps: int = 100) -> tuple[float, float]:
-    for _ in range(max_steps):
-        d, o = confusion_step(rows, n_labels, diag, off)
-        if abs(d - diag) <= STOP * diag and abs(o - off) <= STOP * off:
-            return d, o
-        diag, off = d, o
-    return diag, off
+    found = _accelerated(lambda x: list(confusion_step(rows, n_labels, *x)), [diag, off], max_steps)
+    return found[0], found[1]
 
 
 def confusion_rows(soft: DataFrame, n_labels: int) -> DataFrame:
@@ -91,18 +100,16 @@ def tune_priors(fit_posterior: DataFrame, soft: DataFrame, priors: Priors, n_lab
     summed class counts are the one draw, as in the models with words.
     """
     from labelmesh.operators.joins import class_sums
+    from labelmesh.runtime import cut
 
     draws = fit_posterior.select(F.col("p").alias("c")) if per_item else class_sums(fit_posterior, n_labels)
     b_theta = symmetric(draws, n_labels, priors.b_theta)
-    diag, off = confusion(confusion_rows(soft, n_labels), n_labels, *priors.annotator_cell(n_labels))
+    rows = cut(confusion_rows(soft, n_labels), "confusion_rows")
+    diag, off = confusion(rows, n_labels, *priors.annotator_cell(n_labels))
     c_gamma = diag + (n_labels - 1) * off
     b_phi = priors.b_phi
     if vocab is not None:
-        for _ in range(100):
-            new = vocab_step(vocab, n_labels, n_features, b_phi)
-            done, b_phi = abs(new - b_phi) <= STOP * b_phi, new
-            if done:
-                break
+        b_phi = _accelerated(lambda x: [vocab_step(vocab, n_labels, n_features, x[0])], [b_phi], 100)[0]
     return priors.with_(b_theta=b_theta, b_gamma=diag / c_gamma, c_gamma=c_gamma, b_phi=b_phi)
 
 
