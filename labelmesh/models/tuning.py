@@ -29,21 +29,29 @@ def symmetric_step(rows: DataFrame, n_labels: int, alpha: float) -> float:
 
 
 def _accelerated(step, start: list[float], max_steps: int) -> list[float]:
-    """Fixed point of ``step`` on a few scalars, with Aitken extrapolation after every pair of steps."""
-    x = start
-    for _ in range(max_steps // 2):
-        first = step(x)
-        if all(abs(b - a) <= STOP * a for a, b in zip(x, first)):
-            return first
-        second = step(first)
-        if all(abs(b - a) <= STOP * a for a, b in zip(first, second)):
-            return second
-        jump = [
-            c - (c - b) ** 2 / ((c - b) - (b - a)) if (c - b) != (b - a) else c
-            for a, b, c in zip(x, first, second)
-        ]
-        x = [j if 0.02 * c < j < 50 * c else c for j, c in zip(jump, second)]
-    return x
+    """Fixed point of ``step`` on a few positive scalars.
+
+    After every (dimension + 1) plain steps their logs are combined so that the linear part of the error
+    cancels (minimal polynomial extrapolation); each step is a pass over the count table, so few matter.
+    """
+    import numpy as np
+
+    size, done = len(start), 0
+    path = [np.log(start)]
+    while done < max_steps:
+        path.append(np.log(step(list(np.exp(path[-1])))))
+        done += 1
+        if np.max(np.abs(path[-1] - path[-2])) <= STOP:
+            break
+        if len(path) == size + 2:
+            moves = np.diff(path, axis=0)
+            share, *_ = np.linalg.lstsq(moves[:-1].T, -moves[-1], rcond=None)
+            share = np.append(share, 1.0)
+            jump = path[-1]
+            if abs(share.sum()) > 1e-9:
+                jump = (share / share.sum()) @ np.array(path[:-1])
+            path = [np.clip(jump, path[-1] - 2.0, path[-1] + 2.0)]
+    return [float(v) for v in np.exp(path[-1])]
 
 
 def symmetric(rows: DataFrame, n_labels: int, alpha: float, max_steps: int = 100) -> float:
