@@ -133,17 +133,21 @@ class Sweeper:
             "item_id", F.expr(arrays.array([f"evidence[{i}] - _len[{i}]" for i in range(k)])).alias("me")
         )
 
-    def conditional(self) -> DataFrame:
+    def conditional(self, class_scores: DataFrame | None = None) -> DataFrame:
         """State plus ``s``: the unnormalised log conditional, K entries, or K*K (y-major) for MULTI.
 
-        An impossible value (another label than the observed one) is a NULL entry.
+        An impossible value (another label than the observed one) is a NULL entry. ``class_scores``
+        (item_id, lp) takes the place of the class prior where a classifier gives one.
         """
         k, kind, num = self.corpus.n_labels, self.kind, arrays.num
         both = self.state.join(self._y_evidence().withColumnRenamed("evidence", "ye"), "item_id", "left")
         both = both.withColumn("ye", F.expr(f"coalesce(ye, {arrays.zeros(k)})"))
-        theta = arrays.array([num(c) for c in self.class_counts()])
-        prior = _ratios(theta, "weight", "weight")
-        both = both.withColumn("cur", F.col("y")).withColumn("_p", F.expr(prior))
+        both = both.withColumn("cur", F.col("y"))
+        if class_scores is None:
+            theta = arrays.array([num(c) for c in self.class_counts()])
+            both = both.withColumn("_p", F.expr(_ratios(theta, "weight", "weight")))
+        else:
+            both = both.join(class_scores.withColumnRenamed("lp", "_p"), "item_id")
         ys = [
             f"CASE WHEN observed_label IS NULL THEN _p[{c}] + ye[{c}] WHEN observed_label = {c} THEN 0D END" for c in range(k)
         ]
@@ -172,10 +176,11 @@ class Sweeper:
         zeros = F.array_repeat(F.lit(0).cast("bigint"), self.corpus.n_labels)
         self.state = self.rolling.push(self.state.withColumn("y_seen", zeros).withColumn("m_seen", zeros))
 
-    def sweep(self, variable: str = "all", sample: bool = True, half: int | None = None) -> "Sweeper":
+    def sweep(self, variable: str = "all", sample: bool = True, half: int | None = None,
+              class_scores: DataFrame | None = None) -> "Sweeper":
         """Move y, m or both. ``half`` (0 or 1) moves only that hashed half of the items."""
         k = self.corpus.n_labels
-        scored = self.conditional()
+        scored = self.conditional(class_scores)
         # a greedy move picks the largest coefficient; only sampling is annealed
         scale = arrays.num(self.temperature) if sample else "1D"
         scored = scored.withColumn("s", F.expr(f"transform(s, x -> x / {scale})"))

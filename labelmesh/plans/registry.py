@@ -25,6 +25,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from labelmesh.plans import counting, measuring, modelling, preparing, streams, voting  # noqa: F401
+    from labelmesh.plans import counting, learning, measuring, modelling, preparing, streams, voting  # noqa: F401
 
     return QUERIES, ORACLES
