@@ -64,6 +64,18 @@ def softmax(df: DataFrame, scores: str, out: str, size: int) -> DataFrame:
     )
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def softmax_text(scores: str) -> str:
+    """SQL text of a softmax for use inside other array functions."""
+    powers = "transform(_v, x -> exp(x - array_max(_v)))"
+    shares = "transform(_e, x -> x / aggregate(_e, 0D, (a, b) -> a + b))"
+    return let(scores, "_v", let(powers, "_e", shares))
+
+
 def normalized(column: str, size: int) -> Column:
     """Array divided by its sum; NULL when the sum is zero."""
     norm = total(cells(column, size))

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from labelmesh.functions import arrays, rand
+from labelmesh.functions.special import digamma, lgamma
+from labelmesh.models import bounds
 from labelmesh.models.variational import prior_scores
 from labelmesh.operators import joins, measurements as ms
 from labelmesh.operators.votes import log_vote
@@ -85,13 +87,7 @@ class MeasurementModel:
 
     def _fit_noise(self, errors: DataFrame) -> DataFrame:
         """(annotator_id, alpha, beta) of the inverse gamma."""
-        a0, b0 = arrays.num(self.priors.b_gamma), arrays.num(self.priors.c_gamma)
-        if self.trusted is None:
-            alpha0, beta0 = a0, b0
-        else:
-            own = f"annotator_id = {self.trusted!r}"
-            alpha0 = f"CASE WHEN {own} THEN {TRUSTED_ALPHA!r}D ELSE {a0} END"
-            beta0 = f"CASE WHEN {own} THEN {TRUSTED_BETA!r}D ELSE {b0} END"
+        alpha0, beta0 = self._noise_prior()
         total = errors.groupBy("annotator_id").agg(F.sum("err").alias("err"))
         return self.counts.join(total, "annotator_id", "left").select(
             "annotator_id", F.expr(f"n / 2D + {alpha0}").alias("alpha"),
@@ -103,15 +99,13 @@ class MeasurementModel:
         slots = [f"CASE WHEN label = {c} THEN {value} ELSE 0D END" for c in range(self.n_labels)]
         return rows.select("item_id", F.expr(arrays.array(slots)).alias("e"))
 
-    def step(self, rho: float | None = None, half: int | None = None) -> "MeasurementModel":
-        k, p = self.n_labels, self.posterior
-        if rho is None:
-            rho = 1.0 if self.coupled is None and self.proportions is None else 0.5
+    def _look(self, p: DataFrame) -> dict:
+        """Everything a posterior implies for the measurements: class sums, expectations, squared errors."""
+        k = self.n_labels
         sums = scalars(joins.class_sums(p, k), "c", k)
-        self.theta = [self.priors.b_theta + v for v in sums]
         own = self.by_item.join(self.own, p).withColumn("_p", F.expr("p[label]"))
         errors = own.select("annotator_id", F.expr("tau * tau - 2D * tau * _p + _p").alias("err"))
-        per_meas = joined = None
+        per_meas = joined = shares = None
         if self.coupled is not None:
             joined = self.by_item_coupled.join(self.coupled, p).withColumn("sp", F.expr("sigma * p[label]"))
             per_meas = cut(self._expectations(joined), "expectations")
@@ -119,12 +113,49 @@ class MeasurementModel:
         if self.proportions is not None:
             squares = scalars(p.agg(F.expr(arrays.array([f"sum({c} * {c})" for c in arrays.cells("p", k)])).alias("c")), "c", k)
             n = arrays.num(self.n_items)
-            lit = lambda vs: arrays.array([arrays.num(v) for v in vs])
-            shares = self.proportions.withColumn("e", F.expr(f"{lit(sums)}[label] / {n}")).withColumn(
-                "err", F.expr(f"tau * tau - 2D * tau * e + e * e - {lit(squares)}[label] / ({n} * {n}) + e / {n}")
+            totals, second = (arrays.array([arrays.num(v) for v in vs]) for vs in (sums, squares))
+            shares = self.proportions.withColumn("e", F.expr(f"{totals}[label] / {n}")).withColumn(
+                "err", F.expr(f"tau * tau - 2D * tau * e + e * e - {second}[label] / ({n} * {n}) + e / {n}")
             )
             errors = errors.unionByName(shares.select("annotator_id", "err"))
-        self.noise = cut(self._fit_noise(errors), "noise")
+        return {"sums": sums, "errors": errors, "per_meas": per_meas, "joined": joined, "shares": shares}
+
+    def _noise_prior(self) -> tuple[str, str]:
+        """SQL text of each annotator's prior shape and scale."""
+        a0, b0 = arrays.num(self.priors.b_gamma), arrays.num(self.priors.c_gamma)
+        if self.trusted is None:
+            return a0, b0
+        own = f"annotator_id = {self.trusted!r}"
+        return (f"CASE WHEN {own} THEN {TRUSTED_ALPHA!r}D ELSE {a0} END",
+                f"CASE WHEN {own} THEN {TRUSTED_BETA!r}D ELSE {b0} END")
+
+    def bound(self) -> float:
+        """Lower bound of the current class weights, noise and posterior."""
+        k, p = self.n_labels, self.posterior
+        seen = self._look(p)
+        expected = prior_scores(self.theta)
+        b = self.priors.b_theta
+        value = bounds._log_beta(self.theta) - bounds._log_beta([b] * k)
+        value += sum(e * (b + s - t) for e, s, t in zip(expected, seen["sums"], self.theta))
+        errors = seen["errors"].groupBy("annotator_id").agg(F.sum("err").alias("err"))
+        a0, b0 = self._noise_prior()
+        rows = self.noise.join(self.counts, "annotator_id").join(errors, "annotator_id", "left").select(
+            "alpha", "beta", "n", F.expr("coalesce(err, 0D)").alias("err"), F.expr(a0).alias("a0"), F.expr(b0).alias("b0")
+        ).withColumn("psi", F.expr(digamma("alpha")))
+        per = (
+            f"a0 * ln(b0) - {lgamma('a0')} - n / 2D * ln(2D * pi()) - (a0 + n / 2D + 1D) * (ln(beta) - psi) "
+            f"- alpha / beta * (b0 + 0.5D * err) + {lgamma('alpha')} - psi * (alpha + 1D) + ln(beta) + alpha"
+        )
+        return value + bounds._one(rows, f"sum({per})") + bounds.entropy(p, "p", k)
+
+    def step(self, rho: float | None = None, half: int | None = None) -> "MeasurementModel":
+        k, p = self.n_labels, self.posterior
+        if rho is None:
+            rho = 1.0 if self.coupled is None and self.proportions is None else 0.5
+        seen = self._look(p)
+        sums, per_meas, joined, shares = seen["sums"], seen["per_meas"], seen["joined"], seen["shares"]
+        self.theta = [self.priors.b_theta + v for v in sums]
+        self.noise = cut(self._fit_noise(seen["errors"]), "noise")
 
         weight = self.noise.select("annotator_id", F.expr("alpha / (2D * beta)").alias("w"))
         rows = self._attach_noise(self.own, weight, ["item_id"])

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from labelmesh.functions import arrays
-from labelmesh.models.variational import Fit
+from labelmesh.functions.special import digamma, digamma_value
+from labelmesh.models.variational import Fit, machine_scores, prior_scores, vocab_weights
 from labelmesh.operators import counts, joins, votes
 from labelmesh.priors import Priors
 from labelmesh.runtime import scalars
@@ -56,6 +57,53 @@ def point_model(fit: Fit) -> PointModel:
     return model
 
 
+def expected_model(fit: Fit) -> PointModel:
+    """Like :func:`point_model` with expected log parameters under the variational posterior."""
+    k = fit.n_labels
+    diag, off = fit.priors.annotator_cell(k)
+    row = digamma_value(diag + (k - 1) * off)
+    unknown = [[digamma_value(diag if t == a else off) - row for t in range(k)] for a in range(k)]
+    grid = fit.confusion()
+    staged = grid.withColumn("t", F.expr("sum(value) OVER (PARTITION BY annotator_id, truth)"))
+    logs = staged.withColumn("v", F.expr(f"{digamma('value')} - {digamma('t')}"))
+    w = arrays.array([f"max(CASE WHEN truth = {c} THEN v END)" for c in range(k)])
+    labels = logs.groupBy("annotator_id", "label").agg(F.expr(w).alias("w"))
+    model = PointModel(k, prior_scores(fit.class_prior), labels, unknown)
+    if fit.vocab is not None:
+        model.words = vocab_weights(fit.vocab, k, fit.n_features, fit.priors)
+    if fit.machine_cells is not None:
+        model.log_mu = machine_scores(fit.machine_cells, k)
+    return model
+
+
+#: alternations between the two classes of a new item (fixed value)
+ALTERNATIONS = 10
+
+
+def score_items_expected(annotations: DataFrame, fit: Fit, items: DataFrame | None = None,
+                         features: DataFrame | None = None) -> DataFrame:
+    """(item_id, p): posterior of new items with the variational parameters held fixed.
+
+    With a second class the item's two posteriors are refined in turn, starting from unnormalised ones.
+    """
+    model = expected_model(fit)
+    if model.log_mu is None:
+        return score_items(annotations, model, items, features)
+    k, num = model.n_labels, arrays.num
+    now = _item_evidence(annotations, model, items, features)
+    g = arrays.array([
+        arrays.total([num(model.log_theta[a]), f"ye[{a}]", *[f"_s.h[{m}] * {num(model.log_mu[a][m])}" for m in range(k)]])
+        for a in range(k)
+    ])
+    h = arrays.array([
+        arrays.total([f"me[{m}]", *[f"_g[{a}] * {num(model.log_mu[a][m])}" for a in range(k)]]) for m in range(k)
+    ])
+    both = f"named_struct('g', _g, 'h', {arrays.softmax_text(h)})"
+    start = f"named_struct('g', {arrays.zeros(k)}, 'h', {arrays.array([num(math.e)] * k)})"
+    turns = f"aggregate(sequence(1, {ALTERNATIONS}), {start}, (_s, i) -> {arrays.let(arrays.softmax_text(g), '_g', both)})"
+    return now.select("item_id", F.expr(f"{turns}.g").alias("p"))
+
+
 def annotation_scores(annotations: DataFrame, model: PointModel) -> DataFrame:
     """Per annotation row (item_id, e). Annotators the model has not seen count with the prior confusion."""
     k = model.n_labels
@@ -73,10 +121,9 @@ def annotation_scores(annotations: DataFrame, model: PointModel) -> DataFrame:
     return weighted.select("item_id", arrays.scaled("w", "n", k).alias("e"))
 
 
-def score_items(annotations: DataFrame, model: PointModel, items: DataFrame | None = None,
-                features: DataFrame | None = None) -> DataFrame:
-    """(item_id, p): label distribution of each item under fixed parameters, with m summed out."""
-    k, num = model.n_labels, arrays.num
+def _item_evidence(annotations: DataFrame, model: PointModel, items: DataFrame | None, features: DataFrame | None) -> DataFrame:
+    """(item_id, ye, me): annotation and word evidence, zero where there is none."""
+    k, zero = model.n_labels, arrays.zeros(model.n_labels)
     y = joins.sum_terms(annotation_scores(annotations, model), k).withColumnRenamed("evidence", "ye")
     base = y if items is None else items.select("item_id").join(y, "item_id", "left")
     if features is not None and model.words is not None:
@@ -84,8 +131,14 @@ def score_items(annotations: DataFrame, model: PointModel, items: DataFrame | No
         base = base.join(m, "item_id", "left")
     else:
         base = base.withColumn("me", F.lit(None).cast("array<double>"))
-    zero = arrays.zeros(k)
-    base = base.withColumn("ye", F.expr(f"coalesce(ye, {zero})")).withColumn("me", F.expr(f"coalesce(me, {zero})"))
+    return base.withColumn("ye", F.expr(f"coalesce(ye, {zero})")).withColumn("me", F.expr(f"coalesce(me, {zero})"))
+
+
+def score_items(annotations: DataFrame, model: PointModel, items: DataFrame | None = None,
+                features: DataFrame | None = None) -> DataFrame:
+    """(item_id, p): label distribution of each item under fixed parameters, with m summed out."""
+    k, num = model.n_labels, arrays.num
+    base = _item_evidence(annotations, model, items, features)
     if model.log_mu is None:
         scores = [arrays.total([num(model.log_theta[c]), f"ye[{c}]", f"me[{c}]"]) for c in range(k)]
     else:

@@ -264,6 +264,23 @@ def annotator_variance(spark, sf):
     return rounded(model.annotator_variance(), "variance")
 
 
+@query("elbo_measurement", f"""WITH {S.EMB}, {EMB_Q0}, {_own_steps(1, 10)},
+th AS (SELECT q0.truth, {P.b_theta} + sum(g) AS nu FROM q0 GROUP BY q0.truth),
+tl AS (SELECT truth, nu, {S.digamma('nu')} - {S.digamma('tot')} AS lp FROM (SELECT *, sum(nu) OVER () AS tot FROM th)),
+c1 AS (SELECT truth, sum(g) AS s FROM q1 GROUP BY truth),
+er AS (SELECT a.annotator_id, sum(1 - q.g) AS err FROM ann a JOIN q1 q ON q.item_id = a.item_id AND q.truth = a.label GROUP BY 1),
+nz AS (SELECT no1.*, mc.m, er.err, {S.digamma('alpha')} AS psi FROM no1 JOIN mc USING (annotator_id) JOIN er USING (annotator_id))
+SELECT round((SELECT sum(lgamma(nu)) - lgamma(sum(nu)) FROM th) - 10 * lgamma({P.b_theta}::DOUBLE) + lgamma({10 * P.b_theta}::DOUBLE)
+ + (SELECT sum(lp * ({P.b_theta} + s - nu)) FROM tl JOIN c1 USING (truth))
+ + (SELECT sum({P.b_gamma} * ln({P.c_gamma}) - lgamma({P.b_gamma}::DOUBLE) - m / 2.0 * ln(2 * pi())
+     - ({P.b_gamma} + m / 2.0 + 1) * (ln(beta) - psi) - alpha / beta * ({P.c_gamma} + 0.5 * err)
+     + lgamma(alpha) - psi * (alpha + 1) + ln(beta) + alpha) FROM nz)
+ - (SELECT sum(g * ln(g)) FROM q1 WHERE g > 0), 3) AS bound""")
+def elbo_measurement(spark, sf):
+    model = MM.measurement_vb(emb_marks(spark, sf), V.emb_items(spark, sf), 10, None, P, 1)
+    return rounded(spark.createDataFrame([(model.bound(),)], "bound double"), "bound", digits=3)
+
+
 TH1 = f"""th1 AS (SELECT truth, {S.digamma('pi')} - {S.digamma('tot')} AS lp FROM (SELECT *, sum(pi) OVER () AS tot FROM (
   SELECT truth, {P.b_theta} + sum(g) AS pi FROM q0 GROUP BY truth)))"""
 

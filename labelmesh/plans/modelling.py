@@ -255,6 +255,32 @@ def score_new_items(spark, sf):
     return long_p(scoring.score_items(new, model))
 
 
+@query("score_new_items_expected", f"""WITH {S.LINE}, {Q.variational(3, 1, False, P)}, {_nu(1, 3)},
+lw AS (SELECT annotator_id, truth, label, {S.digamma('v')} - {S.digamma('t')} AS w FROM (
+  SELECT *, sum(v) OVER (PARTITION BY annotator_id, truth) AS t FROM nu)),
+th AS (SELECT truth, {S.digamma('pi')} - {S.digamma('t')} AS w FROM (SELECT *, sum(pi) OVER () AS t FROM pif)),
+new AS (SELECT l_orderkey AS item_id, annotator_id, label, count(*) AS n FROM ev GROUP BY l_orderkey, annotator_id, label),
+sc AS (SELECT n.item_id, lw.truth, sum(n.n * lw.w) + any_value(th.w) AS score
+  FROM new n JOIN lw ON lw.annotator_id = n.annotator_id AND lw.label = n.label JOIN th ON th.truth = lw.truth
+  GROUP BY n.item_id, lw.truth),
+{Q.softmax('res', 'sc', 'score')}
+SELECT item_id, truth, round(g, 6) AS p FROM res""")
+def score_new_items_expected(spark, sf):
+    """The same with expected log parameters, as the variational models score items outside the corpus."""
+    new = prep.compile_annotations(
+        V.line_events(spark, sf).select(F.col("l_orderkey").alias("item_id"), "annotator_id", "label")
+    )
+    return long_p(scoring.score_items_expected(new, _line_fit(spark, sf, 1)))
+
+
+@query("score_new_items_pair")
+def score_new_items_pair(spark, sf):
+    """Documents scored as new items under the two-class model."""
+    fit = _multi_fit(spark, sf, 1)
+    return long_p(scoring.score_items_expected(
+        V.doc_annotations(spark, sf), fit, V.doc_items(spark, sf), V.doc_features(spark, sf)), 5)
+
+
 @query("score_new_items_words", f"""WITH {DOCS}, {Q.variational(2, 1, True, P)}, {_nu(1, 2)},
 lw AS (SELECT annotator_id, truth, label, ln(v / sum(v) OVER (PARTITION BY annotator_id, truth)) AS w FROM nu),
 th AS (SELECT truth, ln(pi / sum(pi) OVER ()) AS w FROM pif),
