@@ -38,7 +38,8 @@ class Corpus:
 
     @classmethod
     def build(cls, annotations: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
-              rows_per_split: int | None = None) -> "Corpus":
+              rows_per_split: int | None = None, written: bool = False) -> "Corpus":
+        """``written``: the features are a stored table already, so they need no copy of their own."""
         plain = cut(annotations, "annotations")
         items = cut(items.select("item_id").distinct(), "items")
         per_annotator = plain.select("annotator_id", "label").distinct().groupBy("annotator_id").count()
@@ -48,7 +49,7 @@ class Corpus:
         if not joins.fits_broadcast(sizes["cells"], 8 * n_labels + 64):
             corpus.by_cell = Spread.plan(plain, ["annotator_id", "label"], ["item_id"], rows_per_split)
         if features is not None:
-            bag = cut(features.select("item_id", "feature", "value"), "features")
+            bag = features if written else cut(features.select("item_id", "feature", "value"), "features")
             corpus.n_features = bag.agg(F.countDistinct("feature")).first()[0]
             corpus.by_item_features = Spread.plan(bag, ["item_id"], ["feature"], rows_per_split)
             corpus.features = _laid_out(bag, corpus.by_item_features)

@@ -12,7 +12,8 @@ from labelmesh.functions.special import digamma, digamma_value
 from labelmesh.models.variational import Fit, machine_scores, prior_scores, vocab_weights
 from labelmesh.operators import counts, joins, votes
 from labelmesh.priors import Priors
-from labelmesh.runtime import scalars
+from labelmesh.runtime import cut, scalars
+from labelmesh.skew import Spread
 
 
 @dataclass
@@ -48,7 +49,8 @@ def point_model(fit: Fit) -> PointModel:
     diag, off = fit.priors.annotator_cell(k)
     row = diag + (k - 1) * off
     unknown = [[math.log((diag if t == a else off) / row) for t in range(k)] for a in range(k)]
-    model = PointModel(k, [math.log(v / total) for v in fit.class_prior], log_confusion(fit.confusion(), k), unknown)
+    labels = cut(log_confusion(fit.confusion(), k), "label_weights")
+    model = PointModel(k, [math.log(v / total) for v in fit.class_prior], labels, unknown)
     if fit.vocab is not None:
         model.words = log_words(fit.vocab, k, fit.n_features, fit.priors)
     if fit.machine_cells is not None:
@@ -67,7 +69,7 @@ def expected_model(fit: Fit) -> PointModel:
     staged = grid.withColumn("t", F.expr("sum(value) OVER (PARTITION BY annotator_id, truth)"))
     logs = staged.withColumn("v", F.expr(f"{digamma('value')} - {digamma('t')}"))
     w = arrays.array([f"max(CASE WHEN truth = {c} THEN v END)" for c in range(k)])
-    labels = logs.groupBy("annotator_id", "label").agg(F.expr(w).alias("w"))
+    labels = cut(logs.groupBy("annotator_id", "label").agg(F.expr(w).alias("w")), "label_weights")
     model = PointModel(k, prior_scores(fit.class_prior), labels, unknown)
     if fit.vocab is not None:
         model.words = vocab_weights(fit.vocab, k, fit.n_features, fit.priors)
@@ -114,8 +116,6 @@ def annotation_scores(annotations: DataFrame, model: PointModel) -> DataFrame:
     if joins.fits_broadcast(rows, 8 * k + 64):
         joined = annotations.join(F.broadcast(model.labels), ["annotator_id", "label"], "left")
     else:
-        from labelmesh.skew import Spread
-
         joined = Spread.plan(annotations, ["annotator_id", "label"], ["item_id"]).join(annotations, model.labels, "left")
     weighted = joined.withColumn("w", F.expr(f"coalesce(w, {prior})"))
     return weighted.select("item_id", arrays.scaled("w", "n", k).alias("e"))
@@ -158,8 +158,9 @@ def naive_bayes(features: DataFrame, labels: DataFrame, items: DataFrame, n_labe
     Labelled items keep their label unless ``label_all``; the rest get the classifier's.
     """
     k = n_labels
+    features, labels = cut(features, "features"), cut(labels, "labels")
     hard = joins.one_hot(labels, k)
-    vocab = joins.soft_vocab_counts(features, hard, k)
+    vocab = cut(joins.soft_vocab_counts(features, hard, k, Spread.plan(features, ["item_id"], ["feature"])), "vocab")
     n_features = features.select("feature").distinct().count()
     sizes = scalars(joins.class_sums(hard, k), "c", k)
     log_prior = [math.log((s + 1.0) / (sum(sizes) + k)) for s in sizes]

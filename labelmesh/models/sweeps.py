@@ -51,7 +51,10 @@ class Sweeper:
         rows = annotations.select("item_id", "annotator_id", "label", "n").withColumn(
             "n_pair", F.sum("n").over(pair)
         ).withColumn("lead", F.row_number().over(pair.orderBy("label")) == 1)
-        corpus = Corpus.build(rows, assignment, n_labels, features, rows_per_split)
+        if features is not None:
+            features = cut(features.select("item_id", "feature", "value"), "features")
+        assignment = cut(assignment, "assignment")
+        corpus = Corpus.build(rows, assignment, n_labels, features, rows_per_split, written=True)
         state = assignment if "m" in assignment.columns else assignment.withColumn("m", F.col("y"))
         extra = ["weight", "observed_label"]
         if items is not None:

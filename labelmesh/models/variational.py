@@ -114,7 +114,10 @@ def mom_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame, n
     """Labels plus a per-class multinomial over words (negative values are rescaled to 0..100 first)."""
     from labelmesh.operators.prep import rescale_features
 
-    return _fit(annotations, items, n_labels, priors, iterations, rescale_features(features), rows_per_split, tune)
+    bag = cut(features.select("item_id", "feature", "value"), "features")
+    if bag.filter("value < 0").isEmpty():
+        return _fit(annotations, items, n_labels, priors, iterations, bag, rows_per_split, tune, written=True)
+    return _fit(annotations, items, n_labels, priors, iterations, rescale_features(bag), rows_per_split, tune)
 
 
 def unit_concentration(priors: Priors) -> Priors:
@@ -122,9 +125,9 @@ def unit_concentration(priors: Priors) -> Priors:
     return priors.with_(c_gamma=1.0)
 
 
-def _fit(annotations, items, n_labels, priors, iterations, features, rows_per_split, tune) -> Fit:
+def _fit(annotations, items, n_labels, priors, iterations, features, rows_per_split, tune, written=False) -> Fit:
     priors = unit_concentration(priors)
-    corpus = Corpus.build(annotations, items, n_labels, features, rows_per_split)
+    corpus = Corpus.build(annotations, items, n_labels, features, rows_per_split, written)
     posteriors = Rolling("posterior")
     posteriors.push(corpus.vote_start())
     for _ in range(iterations):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from labelmesh.functions import arrays
-from labelmesh.runtime import fits_broadcast
+from labelmesh.runtime import cut, fits_broadcast
 from labelmesh.skew import Spread
 
 
@@ -19,7 +19,9 @@ def attach(big: DataFrame, table: DataFrame, keys: list[str], by: list[str], wid
 
     Broadcasts only when the counted size is small; past that, a shuffled join with hot keys split.
     """
-    rows = table.count() if rows is None else rows
+    if rows is None:
+        table = cut(table, "parameters")
+        rows = table.count()
     if fits_broadcast(rows, 8 * width + 32 * len(keys)):
         return big.join(F.broadcast(table), keys)
     spread = spread or Spread.plan(big, keys, by)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmesh.functions import rand
+from labelmesh.runtime import cut
 
 
 def compile_annotations(events: DataFrame) -> DataFrame:
@@ -62,14 +63,26 @@ def doc_size(features: DataFrame) -> DataFrame:
     return features.groupBy("item_id").agg(F.sum("value").alias("size"))
 
 
-def tokens_of(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than the cluster has slots over all of them before heavy row work.
+
+    Inputs with enough splits are left as they are, so large tables are not shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > slots else df.repartition(slots)
+
+
+#: what separates words in lower-cased text (fixed value)
+SEPARATOR = "[^a-z]+"
 
 
 def tokenize(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per token: (item_id, pos, word)."""
-    return documents.select("item_id", F.posexplode(tokens_of(F.col(text))).alias("pos", "word"))
+    """One row per token: (item_id, pos, word), words being lower-cased runs of ASCII letters."""
+    # text that starts with a separator splits into an empty first part, which is no token
+    split = balanced(documents.select("item_id", text)).select(
+        "item_id", F.split(F.lower(F.regexp_replace(text, "^[^a-zA-Z]+", "")), SEPARATOR).alias("words")
+    )
+    return split.select("item_id", F.posexplode("words").alias("pos", "word")).filter(F.col("word") != "")
 
 
 def bag_of_words(documents: DataFrame, cutoff: int = 0, text: str = "text") -> DataFrame:
@@ -77,13 +90,18 @@ def bag_of_words(documents: DataFrame, cutoff: int = 0, text: str = "text") -> D
 
     Tokens are counted per item first, so the corpus-wide totals add up item counts, not tokens.
     """
+    words = balanced(documents.select("item_id", text)).select(
+        "item_id", F.explode(F.split(F.lower(text), SEPARATOR)).alias("feature")
+    )
     counts = (
-        documents.select("item_id", F.explode(tokens_of(F.col(text))).alias("feature"))
+        words.filter(F.col("feature") != "")
         .groupBy("item_id", "feature")
         .agg(F.count(F.lit(1)).cast("double").alias("value"))
     )
     if cutoff <= 0:
         return counts
+    # stored once: the cutoff needs the counts twice and the texts must not be tokenised twice
+    counts = cut(counts, "word_counts")
     kept = counts.groupBy("feature").agg(F.sum("value").alias("_n")).filter(F.col("_n") > cutoff).select("feature")
     return counts.join(kept, "feature", "left_semi").select("item_id", "feature", "value")
 
