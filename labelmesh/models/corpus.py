@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelmesh.functions import arrays
 from labelmesh.operators import joins
-from labelmesh.runtime import cut
+from labelmesh.runtime import Rolling
 from labelmesh.skew import Spread
 
 
@@ -30,6 +30,7 @@ class Corpus:
     annotations: DataFrame
     cells: int
     by_item: Spread
+    held: Rolling
     by_cell: Spread | None = None
     features: DataFrame | None = None
     n_features: int = 0
@@ -40,16 +41,17 @@ class Corpus:
     def build(cls, annotations: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
               rows_per_split: int | None = None, written: bool = False) -> "Corpus":
         """``written``: the features are a stored table already, so they need no copy of their own."""
-        plain = cut(annotations, "annotations")
-        items = cut(items.select("item_id").distinct(), "items")
+        held = Rolling("corpus", keep=3)
+        plain = held.push(annotations)
+        items = held.push(items.select("item_id").distinct())
         per_annotator = plain.select("annotator_id", "label").distinct().groupBy("annotator_id").count()
         sizes = per_annotator.agg(F.count(F.lit(1)).alias("j"), F.sum("count").alias("cells")).first()
         by_item = Spread.plan(plain, ["item_id"], ["annotator_id", "label"], rows_per_split)
-        corpus = cls(n_labels, sizes["j"], items, _laid_out(plain, by_item), sizes["cells"], by_item)
+        corpus = cls(n_labels, sizes["j"], items, _laid_out(plain, by_item), sizes["cells"], by_item, held)
         if not joins.fits_broadcast(sizes["cells"], 8 * n_labels + 64):
             corpus.by_cell = Spread.plan(plain, ["annotator_id", "label"], ["item_id"], rows_per_split)
         if features is not None:
-            bag = features if written else cut(features.select("item_id", "feature", "value"), "features")
+            bag = features if written else held.push(features.select("item_id", "feature", "value"))
             corpus.n_features = bag.agg(F.countDistinct("feature")).first()[0]
             corpus.by_item_features = Spread.plan(bag, ["item_id"], ["feature"], rows_per_split)
             corpus.features = _laid_out(bag, corpus.by_item_features)
@@ -97,6 +99,8 @@ class Corpus:
         )
 
     def release(self) -> None:
+        """Give up the cached layout and the stored copies once the results no longer read them."""
         self.annotations.unpersist()
         if self.features is not None:
             self.features.unpersist()
+        self.held.drop()

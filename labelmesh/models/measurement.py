@@ -40,6 +40,8 @@ class MeasurementModel:
     by_item_coupled: Spread | None
     trusted: object = None
     rolling: Rolling = field(default_factory=lambda: Rolling("measured"))
+    expectations: Rolling = field(default_factory=lambda: Rolling("expectations", keep=1))
+    noises: Rolling = field(default_factory=lambda: Rolling("noise"))
     noise: DataFrame | None = None
     theta: list[float] | None = None
 
@@ -108,7 +110,7 @@ class MeasurementModel:
         per_meas = joined = shares = None
         if self.coupled is not None:
             joined = self.by_item_coupled.join(self.coupled, p).withColumn("sp", F.expr("sigma * p[label]"))
-            per_meas = cut(self._expectations(joined), "expectations")
+            per_meas = self.expectations.push(self._expectations(joined))
             errors = errors.unionByName(per_meas.select("annotator_id", "err"))
         if self.proportions is not None:
             squares = scalars(p.agg(F.expr(arrays.array([f"sum({c} * {c})" for c in arrays.cells("p", k)])).alias("c")), "c", k)
@@ -155,7 +157,7 @@ class MeasurementModel:
         seen = self._look(p)
         sums, per_meas, joined, shares = seen["sums"], seen["per_meas"], seen["joined"], seen["shares"]
         self.theta = [self.priors.b_theta + v for v in sums]
-        self.noise = cut(self._fit_noise(seen["errors"]), "noise")
+        self.noise = self.noises.push(self._fit_noise(seen["errors"]))
 
         weight = self.noise.select("annotator_id", F.expr("alpha / (2D * beta)").alias("w"))
         rows = self._attach_noise(self.own, weight, ["item_id"])

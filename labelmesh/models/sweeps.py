@@ -41,6 +41,7 @@ class Sweeper:
     sweeps: int = 0
     temperature: float = 1.0
     rolling: Rolling = field(default_factory=lambda: Rolling("sweep"))
+    vocabs: Rolling = field(default_factory=lambda: Rolling("vocab", keep=1))
 
     @classmethod
     def start(cls, kind: str, annotations: DataFrame, assignment: DataFrame, n_labels: int, priors: Priors = Priors(),
@@ -121,7 +122,7 @@ class Sweeper:
         """Per item: word part of the m conditional, without the doc-length term."""
         c, k = self.corpus, self.corpus.n_labels
         column = "y" if self.kind == MOM else "m"
-        vocab = cut(c.soft_vocab(self._hard(column)), "vocab")
+        vocab = self.vocabs.push(c.soft_vocab(self._hard(column)))
         totals = [t + c.n_features * self.priors.b_phi
                   for t in scalars(vocab.agg(arrays.sum_arrays("c", k).alias("t")), "t", k)]
         b = arrays.num(self.priors.b_phi)
@@ -217,6 +218,10 @@ class Sweeper:
         self.sweeps += 1
         return self
 
+    def release(self) -> None:
+        """Give up the laid-out corpus; the state stays."""
+        self.corpus.release()
+
     # -- results --------------------------------------------------------------------------------
 
     def marginal(self) -> DataFrame:

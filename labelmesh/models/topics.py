@@ -68,6 +68,8 @@ class TopicLabelModel:
     sweeps: int = 0
     eta: classifier.Classifier | None = None
     rolling: Rolling = field(default_factory=lambda: Rolling("tokens"))
+    words: Rolling = field(default_factory=lambda: Rolling("topic_words", keep=1))
+    documents: Rolling = field(default_factory=lambda: Rolling("topic_docs", keep=1))
 
     @classmethod
     def start(cls, tokens: DataFrame, annotations: DataFrame, items: DataFrame, n_labels: int, n_topics: int,
@@ -123,9 +125,9 @@ class TopicLabelModel:
         t, num = self.n_topics, arrays.num
         if self.eta is None:
             self.fit_eta()
-        words = cut(topic_counts(self.tokens, t, "word"), "topic_words")
+        words = self.words.push(topic_counts(self.tokens, t, "word"))
         totals = scalars(words.agg(arrays.sum_arrays("c", t).alias("t")), "t", t)
-        docs = cut(self._document_terms(), "topic_docs")
+        docs = self.documents.push(self._document_terms())
         rows = self.by_item.join(self.tokens, docs)
         joined = joins.attach(rows, words, ["word"], ["item_id", "pos"], t, self.vocabulary, self.by_word)
         scores = []

@@ -114,10 +114,13 @@ def mom_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame, n
     """Labels plus a per-class multinomial over words (negative values are rescaled to 0..100 first)."""
     from labelmesh.operators.prep import rescale_features
 
-    bag = cut(features.select("item_id", "feature", "value"), "features")
-    if bag.filter("value < 0").isEmpty():
-        return _fit(annotations, items, n_labels, priors, iterations, bag, rows_per_split, tune, written=True)
-    return _fit(annotations, items, n_labels, priors, iterations, rescale_features(bag), rows_per_split, tune)
+    stored = Rolling("features")
+    bag = stored.push(features.select("item_id", "feature", "value"))
+    if not bag.filter("value < 0").isEmpty():
+        bag = stored.push(rescale_features(bag))
+    fit = _fit(annotations, items, n_labels, priors, iterations, bag, rows_per_split, tune, written=True)
+    stored.drop()
+    return fit
 
 
 def unit_concentration(priors: Priors) -> Priors:
@@ -128,7 +131,7 @@ def unit_concentration(priors: Priors) -> Priors:
 def _fit(annotations, items, n_labels, priors, iterations, features, rows_per_split, tune, written=False) -> Fit:
     priors = unit_concentration(priors)
     corpus = Corpus.build(annotations, items, n_labels, features, rows_per_split, written)
-    posteriors = Rolling("posterior")
+    posteriors, vocabs = Rolling("posterior"), Rolling("vocab", keep=1)
     posteriors.push(corpus.vote_start())
     for _ in range(iterations):
         p = posteriors.last
@@ -136,7 +139,7 @@ def _fit(annotations, items, n_labels, priors, iterations, features, rows_per_sp
         soft = corpus.soft_confusion(p)
         terms = [corpus.annotation_terms(confusion_weights(soft, n_labels, priors))]
         if corpus.features is not None:
-            vocab = cut(corpus.soft_vocab(p), "vocab")
+            vocab = vocabs.push(corpus.soft_vocab(p))
             terms.append(corpus.feature_terms(vocab_weights(vocab, n_labels, corpus.n_features, priors)))
         evidence = corpus.item_evidence(*terms)
         posteriors.push(_posterior(evidence, prior_scores(pi), n_labels))
@@ -170,12 +173,12 @@ def multi_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame,
     priors = unit_concentration(priors)
     corpus = Corpus.build(annotations, items, n_labels, features, rows_per_split)
     k = n_labels
-    state = Rolling("posterior_pair", keep=3)
+    state, vocabs = Rolling("posterior_pair", keep=3), Rolling("vocab", keep=1)
     state.push(corpus.vote_start().join(start.select("item_id", "h"), "item_id"))
     for _ in range(iterations):
         now = state.last
         older = state.generations[-2][0] if len(state.generations) > 1 else now
-        state.push(_pair_step(corpus, now, older, priors))
+        state.push(_pair_step(corpus, now, older, priors, vocabs))
     pair = state.last
     fit = _finish(corpus, pair.select("item_id", "p"), priors, pair.select("item_id", "h"))
     fit.machine = pair.select("item_id", "h")
@@ -196,13 +199,13 @@ def machine_scores(cells: list[float], k: int) -> list[list[float]]:
     return [[digamma_value(v) - digamma_value(sum(row)) for v in row] for row in rows]
 
 
-def _pair_step(corpus: Corpus, now: DataFrame, older: DataFrame, priors: Priors) -> DataFrame:
+def _pair_step(corpus: Corpus, now: DataFrame, older: DataFrame, priors: Priors, vocabs: Rolling) -> DataFrame:
     k = corpus.n_labels
     p_old = older.select("item_id", "p")
     h_old = older.select("item_id", F.col("h").alias("p"))
     pi = class_prior(p_old, k, priors)
     tau = machine_scores(machine_cells(older, k, priors), k)
-    vocab = cut(corpus.soft_vocab(h_old), "vocab")
+    vocab = vocabs.push(corpus.soft_vocab(h_old))
     y_evidence = joins.sum_terms(
         corpus.annotation_terms(confusion_weights(corpus.soft_confusion(p_old), k, priors)), k
     ).withColumnRenamed("evidence", "ye")

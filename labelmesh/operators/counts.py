@@ -102,7 +102,7 @@ def gold_confusion(guesses: DataFrame, items: DataFrame, annotations: DataFrame
     """(gold, guess, n) over items with a gold label, optionally only (un)annotated ones."""
     known = items.filter(F.col("gold_label").isNotNull()).select("item_id", "gold_label")
     if annotated is not None:
-        known = known.join(annotations.select("item_id"), "item_id", "left_semi" if annotated else "left_anti")
+        known = known.join(annotations.select("item_id").distinct(), "item_id", "left_semi" if annotated else "left_anti")
     return (
         guesses.select("item_id", "label")
         .join(known, "item_id")

@@ -58,11 +58,8 @@ def feature_evidence(features: DataFrame, weights: DataFrame, n_labels: int) ->
 def soft_confusion(annotations: DataFrame, posterior: DataFrame, n_labels: int,
                    spread: Spread | None = None) -> DataFrame:
     """(annotator_id, label, c): c[k] = sum over items of n * p[k]. Items are the join key."""
-    joined = (
-        spread.big(annotations).join(spread.small(posterior), spread.on)
-        if spread
-        else annotations.join(posterior, "item_id")
-    )
+    spread = spread or Spread.plan(annotations, ["item_id"], ["annotator_id", "label"])
+    joined = spread.big(annotations).join(spread.small(posterior), spread.on)
     return joined.groupBy("annotator_id", "label").agg(
         arrays.sum_scaled("p", "n", n_labels).alias("c")
     )
@@ -71,11 +68,8 @@ def soft_confusion(annotations: DataFrame, posterior: DataFrame, n_labels: int,
 def soft_vocab_counts(features: DataFrame, posterior: DataFrame, n_labels: int,
                       spread: Spread | None = None) -> DataFrame:
     """(feature, c): c[k] = sum over items of value * p[k]."""
-    joined = (
-        spread.big(features).join(spread.small(posterior), spread.on)
-        if spread
-        else features.join(posterior, "item_id")
-    )
+    spread = spread or Spread.plan(features, ["item_id"], ["feature"])
+    joined = spread.big(features).join(spread.small(posterior), spread.on)
     return joined.groupBy("feature").agg(
         arrays.sum_scaled("p", "value", n_labels).alias("c")
     )

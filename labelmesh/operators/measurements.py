@@ -27,7 +27,8 @@ def measurement_counts(measurements: DataFrame) -> DataFrame:
 def annotation_targets(measurements: DataFrame, items: DataFrame) -> DataFrame:
     """(meas_id, item_id, sigma): one target with value one."""
     own = measurements.filter(F.col("kind") == ANNOTATION).select("meas_id", "item_id", F.lit(1.0).alias("sigma"))
-    return own.join(items.select("item_id"), "item_id", "left_semi").select("meas_id", "item_id", "sigma")
+    spread = Spread.plan(own, ["item_id"], ["meas_id"])
+    return spread.join(own, items.select("item_id").distinct()).select("meas_id", "item_id", "sigma")
 
 
 def predicate_targets(measurements: DataFrame, features: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def measurement_targets(measurements: DataFrame, items: DataFrame, features: Dat
     for p in parts[1:]:
         every = every.unionByName(p)
     head = measurements.select("meas_id", "annotator_id", "kind", "label")
-    return every.join(head, "meas_id").select("meas_id", "annotator_id", "kind", "label", "item_id", "sigma")
+    return attach(every, head, ["meas_id"], ["item_id"], 6).select("meas_id", "annotator_id", "kind", "label", "item_id", "sigma")
 
 
 def scale_measurements(targets: DataFrame, measurements: DataFrame, ranges: DataFrame, pre_scaled: bool = False) -> DataFrame:
@@ -160,7 +161,7 @@ def scale_measurements(targets: DataFrame, measurements: DataFrame, ranges: Data
     scale = measurements.select("meas_id", "value").join(ranges.filter("range > 0"), "meas_id").select(
         "meas_id", "range", value.alias("tau")
     )
-    return targets.join(scale, "meas_id").withColumn("sigma", F.col("sigma") / F.col("range")).drop("range")
+    return attach(targets, scale, ["meas_id"], ["item_id"], 3).withColumn("sigma", F.col("sigma") / F.col("range")).drop("range")
 
 
 def measurement_ranges(targets: DataFrame, measurements: DataFrame, features: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from labelmesh.functions import rand
+from labelmesh.operators.joins import attach
 from labelmesh.runtime import cut
+from labelmesh.skew import ROWS_PER_SPLIT
 
 
 def compile_annotations(events: DataFrame) -> DataFrame:
@@ -15,7 +17,7 @@ def compile_annotations(events: DataFrame) -> DataFrame:
 
 def split_annotated(items: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with at least one annotation, items with none)."""
-    keys = annotations.select("item_id")
+    keys = annotations.select("item_id").distinct()
     return items.join(keys, "item_id", "left_semi"), items.join(keys, "item_id", "left_anti")
 
 
@@ -103,7 +105,7 @@ def bag_of_words(documents: DataFrame, cutoff: int = 0, text: str = "text") -> D
     # stored once: the cutoff needs the counts twice and the texts must not be tokenised twice
     counts = cut(counts, "word_counts")
     kept = counts.groupBy("feature").agg(F.sum("value").alias("_n")).filter(F.col("_n") > cutoff).select("feature")
-    return counts.join(kept, "feature", "left_semi").select("item_id", "feature", "value")
+    return attach(counts, kept, ["feature"], ["item_id"], 1).select("item_id", "feature", "value")
 
 
 def rescale_features(features: DataFrame, top: float = 100.0) -> DataFrame:
@@ -149,21 +151,43 @@ def concat_predictions(*parts: DataFrame) -> DataFrame:
 
 def known_items(predictions: DataFrame, items: DataFrame) -> DataFrame:
     """Predictions for items outside ``items`` are ignored."""
-    return predictions.join(items.select("item_id"), "item_id", "left_semi")
+    return predictions.join(items.select("item_id").distinct(), "item_id", "left_semi")
 
 
-def nth_annotation(events: DataFrame, order: list[str]) -> DataFrame:
-    """Replay position of each event among its annotator's events on the same item, earliest first."""
-    from pyspark.sql import Window
+def nth_annotation(events: DataFrame, order: list[str], rows_per_split: int | None = None) -> DataFrame:
+    """Replay position of each event among its annotator's events on the same item, earliest first.
 
-    w = Window.partitionBy("item_id", "annotator_id").orderBy(*order)
-    return events.withColumn("nth", F.row_number().over(w))
+    A pair with more than ``rows_per_split`` events is ranked in slices of its first order column (a time or
+    number): positions inside a slice, plus the sizes of the slices before it.
+    """
+    pair, limit = ["item_id", "annotator_id"], rows_per_split or ROWS_PER_SPLIT
+    sizes = events.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return events.withColumn("nth", F.row_number().over(Window.partitionBy(*pair).orderBy(*order)))
+    hot = cut(sizes.select(*pair), "hot_pairs")
+    slices = -(-largest // limit)
+    at = F.col(order[0]).cast("timestamp").cast("double") if "timestamp" in events.schema[order[0]].dataType.simpleString() \
+        else F.col(order[0]).cast("double")
+    keyed = events.withColumn("_at", at)
+    edges = keyed.join(F.broadcast(hot), pair, "left_semi").groupBy(*pair).agg(
+        F.percentile_approx("_at", [i / slices for i in range(1, slices)]).alias("_edges")
+    )
+    sliced = keyed.join(F.broadcast(cut(edges, "slice_edges")), pair, "left").withColumn(
+        "_slice", F.expr("coalesce(size(filter(_edges, e -> e < _at)), 0)")
+    ).withColumn("_slice", F.greatest("_slice", F.lit(0))).drop("_edges", "_at")
+    before = sliced.join(F.broadcast(hot), pair, "left_semi").groupBy(*pair, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*pair).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = before.select(*pair, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*pair, "_slice").orderBy(*order)
+    ranked = sliced.withColumn("_r", F.row_number().over(inside))
+    return ranked.join(F.broadcast(cut(offsets, "slice_offsets")), [*pair, "_slice"], "left").withColumn(
+        "nth", (F.col("_r") + F.coalesce("_offset", F.lit(0))).cast("int")
+    ).select(*events.columns, "nth")
 
 
 def dense_index(values: DataFrame, column: str, out: str, buckets: int = 256) -> DataFrame:
     """Number distinct values 0..n-1 without gathering them: rank inside hash buckets plus bucket offsets."""
-    from pyspark.sql import Window
-
     bucketed = values.select(column).distinct().withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(buckets)))
     sizes = {r["_bucket"]: r["n"] for r in bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, at = [], 0

@@ -69,6 +69,12 @@ class Rolling:
     def last(self) -> DataFrame:
         return self.generations[-1][0]
 
+    def drop(self) -> None:
+        """Remove the files of all generations."""
+        for df, path in self.generations:
+            drop_path(df.sparkSession, path)
+        self.generations.clear()
+
 
 def fits_broadcast(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES

@@ -172,3 +172,12 @@ def test_best_assignment_is_optimal():
         got = align.best_assignment(m)
         best = max(sum(m[i][p[i]] for i in range(k)) for p in itertools.permutations(range(k)))
         assert sorted(got) == list(range(k)) and sum(m[i][got[i]] for i in range(k)) == best
+
+
+def test_replay_of_a_hot_pair(spark):
+    """Ranks of a pair cut into slices equal those of one window, ties in the first order column included."""
+    rows = [(1, 1, (i * 7919) % 97, i) for i in range(500)] + [(2, i % 3, i % 5, i) for i in range(40)]
+    events = spark.createDataFrame(rows, "item_id int, annotator_id int, ts int, event int")
+    plain = prep.nth_annotation(events, ["ts", "event"]).collect()
+    sliced = prep.nth_annotation(events, ["ts", "event"], rows_per_split=50)
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain))
