@@ -7,6 +7,7 @@ items and are exact; words, locations and proportions couple items, so all items
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +26,10 @@ from labelmesh.skew import Spread
 TRUSTED_ALPHA, TRUSTED_BETA = 1e6, 1.1
 
 
+#: a measurement kind: (its measurements, items) -> (targets, ranges)
+Kind = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
 @dataclass
 class MeasurementModel:
     n_labels: int
@@ -47,8 +52,13 @@ class MeasurementModel:
 
     @classmethod
     def build(cls, measurements: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
-              priors: Priors = Priors(), trusted=None, pre_scaled: bool = False, id_type: str = "bigint") -> "MeasurementModel":
-        """``trusted``: annotator id with a fixed, very small noise; None for no such annotator."""
+              priors: Priors = Priors(), trusted=None, pre_scaled: bool = False, id_type: str = "bigint",
+              more_kinds: dict[str, Kind] | None = None) -> "MeasurementModel":
+        """``trusted``: annotator id with a fixed, very small noise; None for no such annotator.
+
+        ``more_kinds``: for every further kind a function of its measurements and the items that gives its
+        targets (meas_id, item_id, sigma) and ranges (meas_id, range).
+        """
         kinds = {r["kind"] for r in measurements.select("kind").distinct().collect()}
         base = cut(items.select("item_id").distinct(), "items")
         n_items = base.count()
@@ -64,6 +74,14 @@ class MeasurementModel:
             targets = cut(ms.measurement_targets(rest, items, words, id_type), "targets")
             scaled = ms.scale_measurements(targets, rest, ms.measurement_ranges(targets, rest, words), pre_scaled)
             coupled = cut(scaled.select("meas_id", "annotator_id", "label", "item_id", "sigma", "tau"), "coupled")
+        for name, kind in (more_kinds or {}).items():
+            mine = measurements.filter(F.col("kind") == name)
+            targets, ranges = kind(mine, items)
+            head = mine.select("meas_id", "annotator_id", "label")
+            scaled = ms.scale_measurements(joins.attach(targets, head, ["meas_id"], ["item_id"], 4), mine, ranges, pre_scaled)
+            part = scaled.select("meas_id", "annotator_id", "label", "item_id", "sigma", "tau")
+            coupled = cut(part if coupled is None else coupled.unionByName(part), "coupled")
+        if coupled is not None:
             by_coupled = Spread.plan(coupled, ["item_id"], ["meas_id"])
         if ms.PROPORTION in kinds:
             tau = F.col("value") if pre_scaled else F.col("value") / n_items

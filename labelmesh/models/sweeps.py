@@ -7,7 +7,8 @@ its conditional by joins and picks a value by arg-max, with hashed Gumbel noise
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,6 +16,7 @@ from labelmesh.functions import arrays, rand
 from labelmesh.functions.special import lgamma_ratio
 from labelmesh.models import bounds
 from labelmesh.models.corpus import Corpus
+from labelmesh.models.scoring import PointModel, log_confusion, log_words
 from labelmesh.operators import counts, joins
 from labelmesh.priors import Priors
 from labelmesh.runtime import Rolling, cut, scalars
@@ -41,6 +43,7 @@ class Sweeper:
     sweeps: int = 0
     temperature: float = 1.0
     rolling: Rolling = field(default_factory=lambda: Rolling("sweep"))
+    machine_seen: list[list[float]] = field(default_factory=list)
     vocabs: Rolling = field(default_factory=lambda: Rolling("vocab", keep=1))
 
     @classmethod
@@ -177,6 +180,7 @@ class Sweeper:
         if temperature == self.temperature:
             return
         self.temperature = temperature
+        self.machine_seen.clear()
         zeros = F.array_repeat(F.lit(0).cast("bigint"), self.corpus.n_labels)
         self.state = self.rolling.push(self.state.withColumn("y_seen", zeros).withColumn("m_seen", zeros))
 
@@ -216,6 +220,8 @@ class Sweeper:
         moved = moved.withColumn("y_seen", F.expr(tally.format("y"))).withColumn("m_seen", F.expr(tally.format("m")))
         self.state = self.rolling.push(moved)
         self.sweeps += 1
+        if self.kind == MULTI:
+            self.machine_seen.append(self.machine_cells())
         return self
 
     def release(self) -> None:
@@ -228,6 +234,34 @@ class Sweeper:
         """(item_id, y, m): the most frequent values since the tallies were restarted."""
         return self.state.select("item_id", arrays.argmax("y_seen").alias("y"), arrays.argmax("m_seen").alias("m"))
 
+    def mean_machine(self) -> list[float]:
+        """Machine confusion averaged over the tallied sweeps, rows normalised."""
+        k, seen = self.corpus.n_labels, self.machine_seen or [self.machine_cells()]
+        mean = [sum(cells[i] for cells in seen) for i in range(k * k)]
+        return [v / sum(mean[i // k * k:(i // k + 1) * k]) for i, v in enumerate(mean)]
+
+    def point_model(self) -> PointModel:
+        """Point estimates at the marginal modes (the current state before any sweep), for scoring items anew.
+
+        Training items get their final labels this way too.
+        """
+        c, k = self.corpus, self.corpus.n_labels
+        modes = self.state
+        if self.sweeps:
+            modes = cut(modes.withColumn("y", arrays.argmax("y_seen")).withColumn("m", arrays.argmax("m_seen")), "modes")
+        at = replace(self, state=modes)
+        theta = at.class_counts()
+        diag, off = self.priors.annotator_cell(k)
+        unknown = [[math.log((diag if t == a else off) / (diag + (k - 1) * off)) for t in range(k)] for a in range(k)]
+        model = PointModel(k, [math.log(v / sum(theta)) for v in theta], cut(log_confusion(at.confusion(), k), "label_weights"), unknown)
+        if self.kind != ITEM:
+            vocab = cut(c.soft_vocab(at._hard("y" if self.kind == MOM else "m")), "modes_vocab")
+            model.words = log_words(vocab, k, c.n_features, self.priors)
+        if self.kind == MULTI:
+            mean = self.mean_machine()
+            model.log_mu = [[math.log(v) for v in mean[a * k:(a + 1) * k]] for a in range(k)]
+        return model
+
     def confusion(self) -> DataFrame:
         c = self.corpus
         soft = c.soft_confusion(self._hard("y"))

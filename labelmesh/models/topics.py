@@ -159,6 +159,13 @@ class TopicLabelModel:
             "item_id", F.coalesce("y", "guess").alias("label")
         )
 
+    def annotator_accuracy(self) -> DataFrame:
+        """Diagonal weighted by the share of every inferred label."""
+        from labelmesh.operators import counts
+
+        share = self.labels.state.groupBy(F.col("y").alias("truth")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        return counts.annotator_accuracy(counts.normalize_rows(self.labels.confusion()), share)
+
     def log_joint(self) -> float:
         """Topics given documents, words given topics, labels given topics, annotations given labels, eta prior."""
         t, v, a = self.n_topics, self.vocabulary, self.alpha

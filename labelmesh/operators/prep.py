@@ -51,14 +51,22 @@ def overlay_observed(assignment: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def backoff_state(items: DataFrame, state: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Saved y and m where present, the fallback initialiser's label otherwise (decided per item)."""
-    return (
+def backoff_state(items: DataFrame, state: DataFrame, fallback: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """Saved y and m where present, the fallback initialiser's label otherwise (decided per item).
+
+    With ``topics`` (item_id, z) the saved token topics are completed the same way.
+    """
+    saved = state.select("item_id", "y", "m", *(["z"] if topics is not None else []))
+    out = (
         items.select("item_id")
-        .join(state.select("item_id", "y", "m"), "item_id", "left")
+        .join(saved, "item_id", "left")
         .join(fallback.select("item_id", "label"), "item_id", "left")
-        .select("item_id", F.coalesce("y", "label").alias("y"), F.coalesce("m", "label").alias("m"))
+        .withColumn("y", F.coalesce("y", "label")).withColumn("m", F.coalesce("m", "label")).drop("label")
     )
+    if topics is None:
+        return out
+    fresh = topics.select("item_id", F.col("z").alias("_z"))
+    return out.join(fresh, "item_id", "left").withColumn("z", F.coalesce("z", "_z")).drop("_z")
 
 
 def doc_size(features: DataFrame) -> DataFrame:

@@ -223,6 +223,18 @@ def log_joint(spark, sf):
     return rounded(_one_row(spark, log_joint=_line_run(spark, sf).log_joint()), "log_joint", digits=2)
 
 
+@query("rescore_from_assignment", f"""WITH {LINE_STATE}, {CONFUSION.replace('0.5 *', '1.0 *')},
+lw AS (SELECT annotator_id, truth, label, ln(value / sum(value) OVER (PARTITION BY annotator_id, truth)) AS w FROM conf),
+th AS (SELECT truth, ln(c / sum(c) OVER ()) AS w FROM cc),
+sc AS (SELECT x.item_id, lw.truth, sum(x.n * lw.w) + any_value(th.w) AS score FROM ann x
+  JOIN lw ON lw.annotator_id = x.annotator_id AND lw.label = x.label JOIN th ON th.truth = lw.truth GROUP BY x.item_id, lw.truth),
+{Q.softmax('res', 'sc', 'score')}
+SELECT item_id, truth, round(g, 6) AS p FROM res""")
+def rescore_from_assignment(spark, sf):
+    """Point estimates of a hard assignment score the same items again, as at the end of a sampling run."""
+    return long_p(scoring.score_items(V.line_annotations(spark, sf), _line_run(spark, sf).point_model()))
+
+
 @query("training_schedule")
 def training_schedule(spark, sf):
     """Annealed sampling, then greedy sweeps; the marginal modes of the last stage."""

@@ -326,3 +326,43 @@ def test_array_helpers(spark):
     assert row[0] == pytest.approx(24 / 25) and row[1] == 0 and row[2] == pytest.approx(p)
     assert df.select(votes.rank_array("s")).first()[0] == [0, 1, 2]
     assert joins.class_sums(df.select(F.col("a").alias("p")), 2).first()[0] == [3.0, 4.0]
+
+
+def test_predictions_after_sampling(spark, stub):
+    run = sweeps.Sweeper.start(sweeps.MULTI, stub["annotations"], stub["state"], 3, P, stub["features"], seed=3)
+    for _ in range(2):
+        run.sweep(sample=True)
+    mean = run.mean_machine()
+    assert [sum(mean[a * 3:a * 3 + 3]) for a in range(3)] == pytest.approx([1.0] * 3)
+    scored = scoring.score_items(stub["annotations"], run.point_model(), stub["items"], stub["features"]).collect()
+    assert len(scored) == 5 and all(sum(r["p"]) == pytest.approx(1.0) for r in scored)
+
+
+def test_further_measurement_kind(spark, stub):
+    """A kind given as a function; one that repeats the built-in annotation kind as coupled targets agrees with it."""
+    marks = stub["annotations"].select(
+        F.xxhash64("item_id", "annotator_id", "label").alias("meas_id"), "annotator_id", F.lit("annotation").alias("kind"),
+        "label", F.lit(1.0).alias("value"), "item_id")
+
+    def same(mine, items):
+        return mine.select("meas_id", "item_id", F.lit(1.0).alias("sigma")), mine.select("meas_id", F.lit(1.0).alias("range"))
+
+    prior = Priors(b_gamma=2.0, c_gamma=1.0)
+    plain = measurement.MeasurementModel.build(marks, stub["items"], 3, None, prior)
+    other = measurement.MeasurementModel.build(
+        marks.withColumn("kind", F.lit("mine")), stub["items"], 3, None, prior, more_kinds={"mine": same})
+    plain.rolling.push(votes.log_vote(marks, stub["items"], 3))
+    other.rolling.push(votes.log_vote(marks, stub["items"], 3))
+    assert rows(plain.step(1.0).posterior) == rows(other.step(1.0).posterior)
+    assert plain.bound() == pytest.approx(other.bound(), abs=1e-8)
+
+
+def test_backoff_of_topics(spark):
+    from labelmesh.operators.prep import backoff_state
+
+    items = spark.createDataFrame([(1,), (2,)], "item_id int")
+    state = spark.createDataFrame([(1, 5, None, [1, 0])], "item_id int, y int, m int, z array<int>")
+    fallback = spark.createDataFrame([(1, 7), (2, 8)], "item_id int, label int")
+    topics = spark.createDataFrame([(1, [0]), (2, [1])], "item_id int, z array<int>")
+    got = sorted(tuple(r) for r in backoff_state(items, state, fallback, topics).collect())
+    assert got == [(1, 5, 7, [1, 0]), (2, 8, 8, [1])]
