@@ -11,6 +11,7 @@ from labelmesh.plans import sqltext as S, views as V
 from labelmesh.plans.registry import query
 from labelmesh.plans.voting import long_p
 from labelmesh.priors import Priors
+from labelmesh.runtime import cut
 from labelmesh.sources import state
 
 P = Priors()
@@ -21,8 +22,14 @@ M3D, M3O = P.machine_cell(3)
 WEIGHT = 0.5
 
 
-def _assigned(spark, sf):
-    return votes.majority_vote(V.line_annotations(spark, sf)).withColumn("weight", F.lit(WEIGHT))
+def _stored(spark, sf):
+    """Compiled line annotations, stored because the query reads them several times."""
+    return cut(V.line_annotations(spark, sf), "annotations")
+
+
+def _assigned(spark, sf, annotations=None):
+    votes_on = V.line_annotations(spark, sf) if annotations is None else annotations
+    return votes.majority_vote(votes_on).withColumn("weight", F.lit(WEIGHT))
 
 
 def rounded(df, *names, digits: int = 6):
@@ -68,8 +75,8 @@ conf AS (SELECT j.annotator_id, a.truth, b.label,
 
 
 def _confusion(spark, sf):
-    ann = V.line_annotations(spark, sf)
-    return counts.confusion_counts(ann, _assigned(spark, sf), ann.select("annotator_id").distinct(), 3, P)
+    ann = _stored(spark, sf)
+    return counts.confusion_counts(ann, _assigned(spark, sf, ann), ann.select("annotator_id").distinct(), 3, P)
 
 
 @query("confusion_counts", f"""WITH {S.LINE}, {S.MAJORITY}, {CONFUSION}
@@ -181,15 +188,17 @@ SOFT = f"""k AS {S.classes(3)},
 g AS (SELECT a.item_id, k.truth, sum((a.label = k.truth)::INT * a.n) / sum(a.n)::DOUBLE AS p FROM ann a, k GROUP BY ALL)"""
 
 
-def _soft(spark, sf):
-    return votes.soft_majority(V.line_annotations(spark, sf), V.line_items(spark, sf), 3).filter("p IS NOT NULL")
+def _soft(spark, sf, annotations=None):
+    votes_on = V.line_annotations(spark, sf) if annotations is None else annotations
+    return votes.soft_majority(votes_on, V.line_items(spark, sf), 3).filter("p IS NOT NULL")
 
 
 @query("soft_confusion", f"""WITH {S.LINE}, {SOFT}
 SELECT annotator_id, label, truth, round(sum(n * p), 6) AS value
 FROM ann JOIN g ON g.item_id = ann.item_id GROUP BY ALL""")
 def soft_confusion(spark, sf):
-    soft = joins.soft_confusion(V.line_annotations(spark, sf), _soft(spark, sf), 3)
+    ann = _stored(spark, sf)
+    soft = joins.soft_confusion(ann, _soft(spark, sf, ann), 3)
     return rounded(arrays.long_form(soft, "c", "truth", "value"), "value")
 
 
@@ -199,8 +208,8 @@ SELECT ann.item_id, w.truth, round(sum(ann.n * w.w), 6) AS p
 FROM ann JOIN w ON w.annotator_id = ann.annotator_id AND w.label = ann.label GROUP BY ALL""")
 def annotation_evidence(spark, sf):
     """Evidence with weights ln(1 + soft count)."""
-    ann = V.line_annotations(spark, sf)
-    soft = joins.soft_confusion(ann, _soft(spark, sf), 3)
+    ann = _stored(spark, sf)
+    soft = joins.soft_confusion(ann, _soft(spark, sf, ann), 3)
     w = soft.select("annotator_id", "label", F.transform("c", lambda c: F.log1p(c)).alias("w"))
     return long_p(joins.annotation_evidence(ann, w, 3), name="evidence")
 
