@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Largest table this package ever hints for broadcast, in bytes of raw payload.
 BROADCAST_BYTES = 64 << 20
 
+#: folder of each local application that names none itself
+_local_roots: dict[str, str] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
@@ -21,9 +24,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="labelmesh-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="labelmesh-")
+    return _local_roots[application]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
