@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,12 +13,16 @@ from pyspark.sql import SparkSession
 from labelmesh.llm.shipping import ship
 
 #: Distinct words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 250_000
-#: Characters that one call of a tokenizer gets, unless a single stretch without a safe cut is longer.
-CALL_CHARS = 200_000
+MEMO_WORDS = 800_000
 #: A cut before a space is safe after one of these: none of them is white space under any definition.
+_SAFE_END = re.compile(r"[\w!-~]\Z")
 _SAFE_CUT = re.compile(r"(?<=[\w!-~])(?= )")
-_UNSAFE_SPACE = re.compile(r"(?:[^\w!-~]|^) ")
+# Letters up to U+024F, whose classes no version of Unicode changes.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
+_ONE_PART = re.compile(f"[{_LETTERS}]+")
+#: where parts of a word could influence each other: contractions, runs of white space, other scripts
+_ENTANGLED = re.compile(r"'|\s\s|[^\x00-\u024f]")
 
 _workers: dict[tuple, object] = {}
 
@@ -48,8 +53,9 @@ class ByteBpe:
     """Byte-level BPE through the tokenizers library.
 
     The library splits a text by a pattern before it merges, and no such part continues across a space that follows
-    a visible character. Words between those spaces therefore encode alike wherever they stand, and each worker keeps
-    the ids of words it has met. Special strings inside a text are ordinary text.
+    a visible character. Words between those spaces therefore encode alike wherever they stand, and so do the runs of
+    letters and of other characters in a word. Each worker keeps the ids of words and runs it has met; only new runs
+    reach the library. Special strings inside a text are ordinary text.
     """
 
     def __init__(self, blob: bytes):
@@ -61,47 +67,82 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_buffer(blob)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The text cut before every space that follows a visible character."""
-        if _UNSAFE_SPACE.search(text):
-            return _SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + word for word in rest)]
-
-    def _learn(self, words: Iterable[str]) -> None:
-        fresh = list(dict.fromkeys(words))
-        start = 0
-        while start < len(fresh):
-            stop, chars = start, 0
-            while stop < len(fresh) and chars < CALL_CHARS:
-                chars += len(fresh[stop])
-                stop += 1
-            part = fresh[start:stop]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[word] = np.array(found.ids, dtype="<u4").tobytes()
-            start = stop
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.memo: dict[str, bytes] = {}  # words after a space
+        self.bare: dict[str, bytes] = {}  # runs with no space before
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _run(self, letters: str) -> bytes:
+        """Ids of a run of letters, with or without the space before it: always one part for the library's merges."""
+        if letters.isascii():
+            mapped = letters.replace(" ", self.letters[32])
+        else:
+            mapped = letters.encode().decode("latin-1").translate(self.letters)
+        found = [token.id for token in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word after a space, or nothing if the space after it is no safe cut."""
+        if _ONE_PART.fullmatch(word):
+            return self._run(" " + word)
+        if not _SAFE_END.search(word):
+            return None
+        if _ENTANGLED.search(" " + word):
+            return self._plain(" " + word)
+        first, *rest = _PARTS.findall(word)
+        found = []
+        if not _ONE_PART.match(first):
+            found.append(self._plain(" " + first))
+        else:
+            ids = self.memo.get(first)
+            if ids is None:
+                ids = self.memo[first] = self._run(" " + first)
+            found.append(ids)
+        for part in rest:
+            ids = self.bare.get(part)
+            if ids is None:
+                ids = self.bare[part] = self._run(part) if _ONE_PART.match(part) else self._plain(part)
+            found.append(ids)
+        return b"".join(found)
+
+    def _slow(self, text: str) -> bytes:
+        return b"".join([self._plain(part) for part in _SAFE_CUT.split(text)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers; null gives none."""
         if not text:
             return b""
-        words = self.words(text)
-        memo = self.memo
-        missing = [word for word in words if word not in memo]
-        if missing:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                missing = words
-            self._learn(missing)
-        return b"".join([memo[word] for word in words])
+        first, *words = text.split(" ")
+        if words and not _SAFE_END.search(first):
+            return self._slow(text)
+        found = list(map(self.memo.get, words))
+        if None in found:
+            if len(self.memo) + len(self.bare) > MEMO_WORDS:
+                self.memo.clear()
+                self.bare.clear()
+            for at, ids in enumerate(found):
+                if ids is None:
+                    ids = self.memo.get(words[at]) or self._word(words[at])
+                    if ids is None:
+                        return self._slow(text)
+                    found[at] = self.memo[words[at]] = ids
+        return self._plain(first) + b"".join(found)
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others for
+    the letters from U+0100 on in ascending order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(256 + n) for n, byte in enumerate(hidden)}
+
+
 def texts_of(column) -> Iterator[str]:
     """The strings of an Arrow column one after the other; null counts as the empty text."""
     for value in column:

@@ -43,6 +43,12 @@ def random_text(seed):
     return "".join(r.choice(parts) for _ in range(r.randrange(1, 400)))
 
 
+def random_words(seed):
+    r = random.Random(seed)
+    parts = ["the", "éa", "'s", "'", "ll", ".", "\n", "12", "²", "ǅ", "ª", "#$", "ok", "\xad", "日", "_", "\t", "ʰ", "\u0301"]
+    return " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(60))
+
+
 def test_spliced_chunks_equal_the_whole(pieces):
     for seed in range(60):
         text = random_text(seed)
@@ -87,7 +93,7 @@ def test_op1_over_the_table(spark, sf, pieces):
 
 def test_words_encode_like_the_whole(tokenizer):
     bpe = ByteBpe(open(BYTES, "rb").read())
-    for text in [*TEXTS, *map(random_text, range(200))]:
+    for text in [*TEXTS, *map(random_text, range(200)), *map(random_words, range(300))]:
         got = np.frombuffer(bpe.encode(text), dtype="<u4").tolist()
         assert got == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
