@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from labelmesh.llm.tokens import ByteBpe, once, publish, vocabulary
 
 #: ids of a shard, rounds of replacement, and how often a pair must occur to become a rule
-SHARD_TOKENS, ROUNDS, LEAST = 1 << 19, 6, 6
+SHARD_TOKENS, ROUNDS, LEAST = 1 << 19, 5, 6
 #: symbols of a shard fit 16 bits while there are no more than these
 NARROW = 1 << 16
+#: places of a round's lookup table; of pairs that meet in one place the most frequent is replaced
+SLOTS = 1 << 18
 
 
 @dataclass
@@ -28,20 +30,26 @@ class Grammar:
     lengths: np.ndarray  # expansion length of each rule
     symbols: np.ndarray
 
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """All expansions one after the other, ids standing for themselves first, and where each begins."""
+        flat = [np.arange(self.base, dtype=np.int64)]
+        starts = [np.arange(self.base, dtype=np.int64)]
+        sizes = np.concatenate((np.ones(self.base, dtype=np.int64), self.lengths))
+        bounds = [*self.levels.tolist(), len(self.rules)]
+        end = self.base
+        for first, last in zip(bounds, bounds[1:]):  # rules of a round join symbols of earlier rounds
+            known, begin = np.concatenate(flat), np.concatenate(starts)
+            both = self.rules[first:last].ravel()
+            flat.append(known[_ranges(begin[both], sizes[both])])
+            starts.append(end + np.cumsum(self.lengths[first:last]) - self.lengths[first:last])
+            end += int(self.lengths[first:last].sum())
+        return np.concatenate(flat), np.concatenate(starts)
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that some symbols stand for, undoing one round after the other."""
-        out = symbols.astype(np.int64)
-        for first in self.levels[::-1]:
-            pair = out >= self.base + first
-            if not pair.any():
-                continue
-            place = np.cumsum(1 + pair) - 1
-            wider = np.empty(int(place[-1]) + 1, dtype=np.int64)
-            wider[place] = out
-            both = self.rules[out[pair] - self.base]
-            wider[place[pair] - 1], wider[place[pair]] = both[:, 0], both[:, 1]
-            out = wider
-        return out.astype("<u4")
+        """The ids that some symbols stand for."""
+        flat, starts = self._expansions()
+        sizes = np.concatenate((np.ones(self.base, dtype=np.int64), self.lengths))
+        return flat[_ranges(starts[symbols], sizes[symbols])].astype("<u4")
 
     def span(self, start: int, length: int) -> np.ndarray:
         """Ids ``start`` to ``start + length``, expanding only the symbols that cover them."""
@@ -56,6 +64,16 @@ class Grammar:
         return self.expand(self.symbols[first:last + 1])[skip:skip + length]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * 2654435761 + right * 40503) >> 11) & (SLOTS - 1)
+
+
 def _frequent(symbols: np.ndarray, least: int, room: int) -> np.ndarray:
     """Pairs that occur ``least`` times, most frequent first, of which no two can overlap in the text."""
     keys = np.sort((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:].astype(np.uint64))
@@ -94,16 +112,19 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         pairs = _frequent(symbols, least, room)
         if not len(pairs):
             break
+        table = np.full(SLOTS, -1, dtype=np.int32)
+        places = _slot(pairs[:, 0], pairs[:, 1])
+        table[places[::-1]] = np.arange(len(pairs))[::-1]
+        owners = table[places] == np.arange(len(pairs))
+        pairs = pairs[owners]
+        table[places[owners]] = np.arange(len(pairs))
         levels.append(len(rules))
         named = np.arange(len(pairs)) + base + len(rules)
-        by_left = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        keys = (pairs[by_left, 0] << 32) | pairs[by_left, 1]
-        here = (symbols[:-1] << 32) | symbols[1:]
-        starts = np.zeros(base + len(rules) + 1, dtype=bool)
-        starts[pairs[:, 0]] = True
-        spots = np.flatnonzero(starts[symbols[:-1]])
-        found = np.searchsorted(keys, here[spots])
-        hit = keys[np.minimum(found, len(keys) - 1)] == here[spots]
+        left, right = symbols[:-1], symbols[1:]
+        found = table[_slot(left, right)]
+        spots = np.flatnonzero(found >= 0)
+        found = found[spots]
+        hit = (pairs[found, 0] == left[spots]) & (pairs[found, 1] == right[spots])
         spots, found = spots[hit], found[hit]
         twin = symbols[spots] == symbols[spots + 1]
         if twin.any():  # of neighbours in a run of one symbol, take every other
@@ -118,7 +139,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         keep[spots + 1] = False
         size = lambda s: np.where(s >= base, lengths[np.maximum(s - base, 0)] if len(lengths) else 1, 1)
         grown = size(pairs[:, 0]) + size(pairs[:, 1])
-        symbols[spots] = named[by_left[found]]
+        symbols[spots] = named[found]
         symbols = symbols[keep]
         rules, lengths = np.concatenate((rules, pairs)), np.concatenate((lengths, grown))
     return Grammar(base, rules, np.array(levels, dtype=np.int64), lengths, symbols)

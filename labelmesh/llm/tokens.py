@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 
 from labelmesh.llm.shipping import ship
 
-#: Distinct words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 800_000
+#: Distinct words after whose arrival a worker forgets those that it has not met since the last time.
+MEMO_WORDS = 250_000
 #: A cut before a space is safe after one of these: none of them is white space under any definition.
 _SAFE_END = re.compile(r"[\w!-~]\Z")
 _SAFE_CUT = re.compile(r"(?<=[\w!-~])(?= )")
@@ -69,7 +69,8 @@ class ByteBpe:
         self.size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {}  # words after a space
+        self.memo: dict[str, bytes] = {}  # words after a space, met lately
+        self.older: dict[str, bytes] = {}  # the same from the time before
         self.bare: dict[str, bytes] = {}  # runs with no space before
 
     def _plain(self, text: str) -> bytes:
@@ -120,12 +121,13 @@ class ByteBpe:
             return self._slow(text)
         found = list(map(self.memo.get, words))
         if None in found:
-            if len(self.memo) + len(self.bare) > MEMO_WORDS:
-                self.memo.clear()
-                self.bare.clear()
+            if len(self.memo) > MEMO_WORDS:
+                self.memo, self.older = {}, self.memo
+            if len(self.bare) > MEMO_WORDS:
+                self.bare = {}
             for at, ids in enumerate(found):
                 if ids is None:
-                    ids = self.memo.get(words[at]) or self._word(words[at])
+                    ids = self.memo.get(words[at]) or self.older.get(words[at]) or self._word(words[at])
                     if ids is None:
                         return self._slow(text)
                     found[at] = self.memo[words[at]] = ids
