@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmesh.llm import chat, grammar, packing, token_counts
+from labelmesh.llm import chat, divergence, grammar, language, mixing, packing, subspace, token_counts, toxicity
 from labelmesh.runtime import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,76 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
 def op6_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents and the sequences that hold them."""
     return packing.pack_documents(_read(spark, sf, "documents"))
+
+
+@_query
+def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with the words that the mix takes of each."""
+    return mixing.mix_documents(_read(spark, sf, "documents"))
+
+
+ORACLES["op5_mix_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, n, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source)
+), o AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(n) FROM s)::DOUBLE - coalesce(sum(2 * n) OVER before, 0)::DOUBLE)
+      / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER before, 0))::DOUBLE AS rate,
+    row_number() OVER (ORDER BY n::DOUBLE / w, source ASC NULLS LAST) AS nth
+  FROM s WINDOW before AS (ORDER BY n::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r AS (SELECT arg_min(rate, nth) AS rate FROM o WHERE w * rate <= 2 * n
+), t AS (
+  SELECT source, n, CASE WHEN w * r.rate > 2 * n THEN 2.0::DOUBLE * n ELSE w * r.rate END AS target FROM s, r
+), b AS (
+  SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS rounds FROM t
+), c AS (
+  SELECT d.*, b.n, b.target, b.rounds, b.target - b.rounds * b.n AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, n AS source_size, target::DOUBLE AS target,
+  (size * (rounds + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+
+@_query
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, distances and verdict of every document."""
+    return divergence.quality(_read(spark, sf, "documents"))
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    return language.identify_languages(_read(spark, sf, "documents"))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    return toxicity.score_toxicity(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
+@_query
+def op4_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return subspace.near_duplicates(_read(spark, sf, "embeddings"))
+
+
+ORACLES["op4_embedding_neardup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), r AS (
+  SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM v JOIN r ON r.x = v.vec_id GROUP BY vec_id
+"""
