@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmesh.llm import chat, divergence, grammar, language, mixing, packing, subspace, token_counts, toxicity
+from labelmesh.llm import chat, divergence, grammar, jaccard, language, mixing, packing, subspace, token_counts, toxicity
 from labelmesh.runtime import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ WITH RECURSIVE v AS (
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
 FROM v JOIN r ON r.x = v.vec_id GROUP BY vec_id
 """
+
+
+@_query
+def op9_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return jaccard.jaccard_classes(_read(spark, sf, "documents"))
