@@ -21,9 +21,13 @@ WORDS, PERCENT = 5, 80
 #: bytes of text whose words are held at once
 TEXT_BLOCK = 1 << 22
 #: a signature shared by more sets than this is hot; spare segments, as a share, that let a set do without hot ones
-HOT, SPARE = 50, 0.15
+HOT, SPARE = 20, 0.1
+#: first rounds at most; they end when fewer than one comparison in so many finds a link
+ROUNDS, FEW = 8, 50
 #: signatures of one reducing bucket (on average), of one packed row, and of a bucket's buffer
-BUCKET, PACKED, BUFFER = 2_000_000, 400_000, 1_000_000
+BUCKET, PACKED, BUFFER = 2_000_000, 1_000_000, 1_000_000
+#: elements of a block of sets that is compared with another
+BLOCK_TOKENS = 1 << 17
 #: assumed share of equal tokens in unrelated sets, for the cost of a plan
 NOISE = 0.02
 #: bits of a signature that are kept within its bucket; more candidates, not fewer, follow from equal ones
@@ -70,16 +74,17 @@ def node_of(tokens: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def most_apart(size: int) -> int:
-    """Most elements by which linked sets of at most ``size`` elements can differ."""
-    return 2 * size * (100 - PERCENT) // (100 + PERCENT)
+def most_apart(both: int) -> int:
+    """Most elements by which linked sets can differ that have so many together."""
+    return both * (100 - PERCENT) // (100 + PERCENT)
 
 
 @dataclass
 class Band:
-    """How sets of ``low`` to ``high`` - 1 elements are compared with one another."""
+    """How sets of ``low`` to ``split`` - 1 elements are compared with one another and with larger ones below ``high``."""
 
     low: int
+    split: int
     high: int
     apart: int  # most elements by which two linked ones differ
     segments: int
@@ -92,51 +97,55 @@ class Band:
         return -1 if self.double else self.emitted - self.apart - 1
 
 
-def plan_band(low: int, high: int, sets: int) -> Band:
+def plan_band(low: int, split: int, high: int, sets: int) -> Band:
     """The cheaper of two allocations of the errors to segments, by rows indexed and expected false candidates.
 
     Single: more segments than errors, so one is equal; a few spare ones make up for hot values. Double: half as many
     segments, one of which differs by at most one element and is found through one-deletion neighbourhoods.
     """
     size = (low + high - 1) / 2
-    apart = most_apart(high - 1)
+    smaller = split - 1
+    apart = most_apart(smaller + min(high - 1, 100 * smaller // PERCENT))
     emitted = apart + 1 + math.ceil(SPARE * (apart + 1))
-    segments = math.ceil(emitted / 0.8)
-    held = low / segments
-    full = 1 - math.exp(-held)
-    spread = math.sqrt(max(1e-9, segments * full * (1 - full)))
-    short = 0.5 * math.erfc((segments * full - emitted) / spread / math.sqrt(2))
+    segments, short = emitted, 1.0
+    while short > 1e-4 and segments < low:  # so many that even the smallest sets hardly ever leave too many empty
+        segments = segments + 1 + segments // 16
+        held = low / segments
+        full = segments * (1 - math.exp(-held))
+        spread = math.sqrt(max(1e-9, segments * math.exp(-held) * (1 - (1 + held) * math.exp(-held))))
+        short = 0.5 * math.erfc((full - emitted) / spread / math.sqrt(2))
     single_cost = emitted + sets * (emitted * NOISE ** (size / segments) + short)
     halves = apart // 2 + 1
     double_cost = halves + size + sets * halves * (size / halves + 1) * NOISE ** max(0.0, size / halves - 1)
-    if double_cost <= single_cost or held < 1:
-        return Band(low, high, apart, halves, halves, True)
-    return Band(low, high, apart, segments, emitted, False)
+    if double_cost <= single_cost or segments >= low:
+        return Band(low, split, high, apart, halves, halves, True)
+    return Band(low, split, high, apart, segments, emitted, False)
 
 
 class Plan:
-    """Size bands a quarter wide: linked sets are in one band or in neighbouring ones, so band k is compared with
-    itself and band k - 1 under key k, and every set gives signatures under two keys."""
+    """Size bands a quarter wide: linked sets are in one band or in neighbouring ones. Key k compares band k - 1 with
+    itself and with band k, so a set of band k gives signatures under the keys k and k + 1."""
 
     def __init__(self, counts: dict[int, int]):
         largest = max(counts, default=1)
         self.starts = [1]
         while self.starts[-1] <= largest:
             self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // PERCENT)))
-        self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // PERCENT)))
+        for _ in range(2):
+            self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // PERCENT)))
         per_band = [0] * len(self.starts)
         for size, n in counts.items():
             per_band[self.band(size)] += n
-        self.keys = [plan_band(self.starts[max(0, k - 1)], self.starts[k + 1], per_band[k] + (per_band[k - 1] if k else 0))
+        # key 0 has no band below it and is not used
+        self.keys = [plan_band(self.starts[max(0, k - 1)], max(2, self.starts[k]), self.starts[k + 1], per_band[k] + (per_band[k - 1] if k else 0))
                      for k in range(len(self.starts) - 1)]
 
     def band(self, size: int) -> int:
         return bisect_right(self.starts, size) - 1
 
     def keys_of(self, size: int) -> tuple[int, ...]:
-        """Keys under which a set can have a partner."""
         k = self.band(size)
-        return (k, k + 1) if 100 * size // PERCENT >= self.starts[k + 1] else (k,)
+        return (k, k + 1) if k else (1,)
 
     def spare(self, size: int) -> int:
         return min(self.keys[k].spare for k in self.keys_of(size))
@@ -196,13 +205,15 @@ def _packed(docs: DataFrame, plan, buckets: int) -> DataFrame:
         fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
         sig, node = sig[fresh], node[fresh]
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((node, bucket))
         sig, node, bucket = sig[order], node[order], bucket[order]
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         low = (sig >> np.uint64(64 - SIG_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BITS // 8]
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        owners = [np.unique(node[a:b], return_counts=True) for a, b in zip(edges, edges[1:])]
         return pa.RecordBatch.from_arrays(
             [pa.array(bucket[edges[:-1]], pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-             pa.array([node[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["bucket", "sigs", "nodes"])
+             pa.array([n.astype("<i8").tobytes() for n, _ in owners], pa.binary()),
+             pa.array([c.astype("<u4").tobytes() for _, c in owners], pa.binary())], names=["bucket", "sigs", "nodes", "counts"])
 
     def run(batches):
         plan_ = plan.value
@@ -232,9 +243,10 @@ def _packed(docs: DataFrame, plan, buckets: int) -> DataFrame:
             keys = sorted(lonely)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1 - k for k in keys], pa.int32()), pa.array([b""] * len(keys), pa.binary()),
-                 pa.array([np.array(sorted(lonely[k]), dtype="<i8").tobytes() for k in keys], pa.binary())], names=["bucket", "sigs", "nodes"])
+                 pa.array([np.array(sorted(lonely[k]), dtype="<i8").tobytes() for k in keys], pa.binary()), pa.array([b""] * len(keys), pa.binary())],
+                names=["bucket", "sigs", "nodes", "counts"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, nodes binary, counts binary")
 
 
 def _shared(packed: DataFrame) -> DataFrame:
@@ -274,7 +286,7 @@ def _shared(packed: DataFrame) -> DataFrame:
             return np.empty(0, dtype="<u8"), np.empty(0, dtype="<i8"), np.empty(0, dtype=np.int8)
 
         for batch in batches:
-            for bucket, sigs, nodes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for bucket, sigs, nodes, counts in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
                 node = np.frombuffer(nodes.as_buffer(), dtype="<i8")
                 if bucket < 0:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), short_signature(-1 - bucket))), pa.array(node)], names=["sig", "node"])
@@ -284,6 +296,7 @@ def _shared(packed: DataFrame) -> DataFrame:
                         table, out = settle()
                         yield from emit(out)
                     here, table, buffer, held = bucket, blank(), [], 0
+                node = np.repeat(node, np.frombuffer(counts.as_buffer(), dtype="<u4"))
                 wide = np.zeros((len(node), 8), dtype=np.uint8)
                 wide[:, :SIG_BITS // 8] = np.frombuffer(sigs.as_buffer(), dtype=np.uint8).reshape(len(node), -1)
                 buffer.append((wide.view("<u8").ravel(), node))
@@ -327,6 +340,101 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
+def _able(sets: DataFrame) -> DataFrame:
+    """Nodes of ``sets`` that can have a partner among them.
+
+    Elements that no other set has lie outside every intersection, so a set with a partner has n / 5 of them at most
+    (at 80 %). Members of a large group of distant copies mostly have more.
+    """
+    def run(batches):
+        for batch in batches:
+            for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(tokens.as_buffer(), dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], names=["token", "node"])
+
+    alone = sets.mapInArrow(run, "token long, node long").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter(
+        "c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sized = sets.select("node", (F.octet_length("tokens") / 8).alias("n")).join(alone, "node", "left")
+    return sized.filter(100 * F.coalesce("alone", F.lit(0)) <= (100 - PERCENT) * F.col("n")).select("node")
+
+
+def _meet(left: list[tuple], right: list[tuple] | None):
+    """One link (a, b) for each pair of components that two blocks of (node, root, tokens) join; of one block with itself
+    if ``right`` is missing. Intersections of a set with all of a block are counted through the block's own index."""
+    other = left if right is None else right
+    owner = np.repeat(np.arange(len(other)), [len(t) for _, _, t in other])
+    tokens = np.concatenate([t for _, _, t in other])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(t) for _, _, t in other])
+    roots = np.array([r for _, r, _ in other])
+    joined: set[tuple[int, int]] = set()
+    for node, root, own in left:
+        first, last = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        count = last - first
+        spots = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(owner[spots], minlength=len(other))
+        for i in np.flatnonzero((100 * both >= PERCENT * (len(own) + sizes - both)) & (roots != root)).tolist():
+            pair = (min(root, int(roots[i])), max(root, int(roots[i])))
+            if pair not in joined:
+                joined.add(pair)
+                yield node, other[i][0]
+
+
+def _blocks(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between components of (node, tokens, root), block against block: every set meets all sets of its
+    band and of the bands beside it, in tasks of two blocks; no pair is a row."""
+    spark = rows.sparkSession
+    rows = cut(rows.select("node", "root", "tokens"), "jaccard-able")
+    starts = plan.starts
+    shared = spark.sparkContext.broadcast(starts)
+    band = F.size(F.filter(F.array(*map(F.lit, starts)), lambda e: e <= F.octet_length("tokens") / 8)) - 1
+    sizes = {r.band: -(-r.n // BLOCK_TOKENS) for r in rows.groupBy(band.alias("band")).agg(
+        F.sum((F.octet_length("tokens") / 8).cast("long")).alias("n")).collect()}
+    blocks = spark.sparkContext.broadcast(sizes)
+
+    def deal(batches):
+        starts, many = shared.value, blocks.value
+        for batch in batches:
+            keys, picked = [], []
+            for at, (node, tokens) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                k = bisect_right(starts, len(tokens.as_buffer()) // 8) - 1
+                mine = node % many[k]
+                own = [(k, 0, min(mine, j), max(mine, j), int(mine > j)) for j in range(many[k])]
+                upper = [(k, 1, mine, j, 0) for j in range(many.get(k + 1, 0))]
+                lower = [(k - 1, 1, i, mine, 1) for i in range(many.get(k - 1, 0))]
+                keys += own + upper + lower
+                picked += [at] * (len(own) + len(upper) + len(lower))
+            if picked:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in zip(*keys)), *batch.take(pa.array(picked)).columns],
+                                                 names=["band", "beside", "i", "j", "side", "node", "root", "tokens"])
+
+    def run(batches):
+        here, sides = None, ([], [])
+
+        def settle():
+            if here is None or not sides[0]:
+                return
+            single = here[1] == 0 and here[2] == here[3]
+            if single or sides[1]:
+                found = list(_meet(sides[0], None if single else sides[1]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:7]]
+            for *key, side, node, root, tokens in zip(*columns, batch.column(7)):
+                if key != here:
+                    yield from settle()
+                    here, sides = key, ([], [])
+                sides[side].append((node, root, np.frombuffer(tokens.as_buffer(), dtype="<u8")))
+        yield from settle()
+
+    dealt = rows.mapInArrow(deal, "band int, beside int, i int, j int, side int, node long, root long, tokens binary")
+    place = ["band", "beside", "i", "j"]
+    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -357,9 +465,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Equal sets are one node. Sets give signatures as ``Plan`` allots them; of linked sets at least one has few enough
     hot signatures to be found through others, or both are looked up in the hot ones too:
 
-    1. every signature's members are compared with its first one, which settles groups of copies in linear work;
-    2. members of different components are then compared pair by pair under signatures that are not hot, and under hot
-       ones if both have more hot signatures than spare segments.
+    1. in rounds, every set is compared with one of another component, the first of most of its signatures: linear work
+       that joins most copies;
+    2. sets of different components are then compared if they share enough signatures that are not hot, as many as
+       linked sets must (the spare segments and one, less hot ones);
+    3. sets with more hot signatures than spare segments are compared with one another, block against block.
 
     No pair within the limit is lost. Null texts and texts without words have the empty set and stand alone, each row
     under its own key. Null keys are documents (a component of null keys only has null as its id), repeated rows share
@@ -383,33 +493,61 @@ def classes_of(docs: DataFrame) -> DataFrame:
     total = sum(n * sum(plan.keys[k].emitted + (size if plan.keys[k].double else 0) for k in plan.keys_of(size)) for size, n in counts.items())
     buckets = max(8, -(-total // BUCKET))
     shared = cut(_shared(_packed(docs, spark.sparkContext.broadcast(plan), buckets)), "jaccard-shared")
-    # 1: each member with the first of its signature
-    heads = shared.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members"))
-    heads = cut(heads.filter("members > 1"), "jaccard-heads")
-    stars = cut(shared.join(heads, "sig").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
-    links = cut(_verify(stars, docs, filled), "jaccard-links")
-    roots, rolling = components(links)
+    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
+    shared = cut(shared.join(sizes, "sig"), "jaccard-members")
+    # 1: each set with one set of another component, the first of most of its signatures; this only saves work in 2
+    roots, rolling, tried, links = None, None, None, None
+    for _ in range(ROUNDS):
+        placed = shared.select("sig", "node", "members", F.col("node").alias("root")) if roots is None else shared.join(
+            roots, "node", "left").select("sig", "node", "members", F.coalesce("root", "node").alias("root"))
+        at = F.struct("root", "node")
+        ends = placed.groupBy("sig").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo.root <> hi.root")
+        placed = cut(placed.join(ends, "sig"), "jaccard-mixed")  # signatures of more than one component
+        other = F.when(F.col("lo.root") == F.col("root"), F.col("hi.node")).otherwise(F.col("lo.node"))
+        near = placed.select("node", other.alias("other")).groupBy("node", "other").agg(F.count(F.lit(1)).alias("n"))
+        pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node", "other", "n")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = pairs.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        best = cut(best, "jaccard-best")
+        found = cut(_verify(best, docs, filled), "jaccard-links")
+        tried = best if tried is None else tried.unionByName(best)
+        links = found if links is None else links.unionByName(found)
+        new, of = found.count(), best.count()
+        if new:
+            if rolling is not None:
+                rolling.drop()
+            roots, rolling = components(links)
+        if new * FEW < of:
+            break
     # 2: what is left between components
-    placed = shared.join(heads, "sig").join(roots, "node", "left").select("sig", "node", "members", F.coalesce("root", "node").alias("root"))
+    if roots is None:
+        roots, rolling = components(links)
+    placed = shared.join(roots, "node", "left").select("sig", "node", "members", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
     placed = cut(placed.join(mixed, "sig"), "jaccard-mixed")
-    hot = (F.col("members") > HOT)
-    pressed = shared.join(heads, "sig").groupBy("node").agg(F.sum((hot | (F.col("sig") >= short_signature(0))).cast("long")).alias("hot"), F.max((F.col("sig") >= short_signature(0)).cast("long")).alias("short"))
     edges = [start for start in plan.starts if start <= largest]
     spare = F.element_at(F.array(*(F.lit(plan.spare(start)) for start in edges)), F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))))
-    sizes = filled.groupBy("node").agg(F.first("n").alias("n"))
-    pressed = pressed.filter("hot > 0").join(sizes, "node").filter((F.col("hot") > spare) | (F.col("short") > 0)).select("node")
-    cool = placed.filter(~hot)
-    warm = placed.filter(hot).join(pressed, "node", "left_semi")
-    between = []
-    for part in (cool, warm):
-        x = part.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-        y = part.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-        between.append(x.join(y, "sig").filter("a < b AND ra <> rb").select("a", "b"))
-    rest = between[0].unionByName(between[1]).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot, short = F.col("members") > HOT, F.col("sig") >= short_signature(0)
+    per_node = shared.groupBy("node").agg(F.sum((hot & ~short).cast("long")).alias("hot"), F.max(short.cast("int")).alias("short"))
+    per_node = per_node.join(filled.groupBy("node").agg(F.first("n").alias("n")), "node")
+    # shared signatures that a linked partner must have at least, hot ones among them; none is sure for short sets
+    needs = cut(per_node.select("node", "hot", F.when(F.col("short") > 0, 0).otherwise(spare + 1).cast("long").alias("need"),
+                                ((F.col("hot") > spare) | (F.col("short") > 0)).alias("pressed")), "jaccard-needs")
+    cool = placed.filter(~hot).select("sig", "node", "root")
+    x = cool.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
+    y = cool.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = x.join(y, "sig").filter("a < b AND ra <> rb").select("a", "b")
+    warm = placed.filter(hot).join(needs.filter("pressed").select("node"), "node", "left_semi").select("node", "root").distinct()
+    warm = cut(warm, "jaccard-warm")
+    sets = cut(_sets(docs, filled, warm.select("node")), "jaccard-sets")
+    hotly = cut(_blocks(sets.join(_able(sets), "node").join(warm, "node"), plan), "jaccard-links")
+    rest = between.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    for side in ("a", "b"):
+        rest = rest.join(needs.select(F.col("node").alias(side), F.col("hot").alias(f"hot_{side}"), F.col("need").alias(f"need_{side}")), side)
+    rest = rest.filter(F.col("common") >= F.least("need_a", "need_b") - F.least("hot_a", "hot_b")).select("a", "b")
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = cut(_verify(rest, docs, filled), "jaccard-links")
+    more = cut(_verify(rest, docs, filled).unionByName(hotly), "jaccard-links")
     if not more.isEmpty():
         rolling.drop()
         roots, rolling = components(links.unionByName(more))
