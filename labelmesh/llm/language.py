@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from labelmesh.llm.shipping import ship
 
@@ -155,10 +155,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", te
     return fit_counts(counts[rank].astype(np.float64) if len(counts) else counts, [langs[i] for i in rank])
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``rejected`` in a struct column ``_language``; no shuffle."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def language_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """Struct (lang_pred, score, rejected) of each whole text."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     @F.arrow_udf(kind)
@@ -170,7 +170,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.bool_())],
             names=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_language", identify(F.col(text).cast("string")))
+    return identify(text.cast("string"))
 
 
 def identify_languages(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -181,5 +181,5 @@ def identify_languages(docs: DataFrame, model: Model | None = None, key: str = "
     language first in order. Repeated rows and null keys are predicted row by row; an empty table gives no rows.
     """
     model = model or fit(docs, key=key, text=text, lang=lang)
-    rows = with_language(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model)
-    return rows.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "_language.lang_pred", "_language.score", "_language.rejected")
+    rows = docs.select(F.col(key).alias("key"), language_of(F.col(text), model, docs.sparkSession).alias("found"))
+    return rows.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelmesh.runtime import cut
+from labelmesh.runtime import cut, fits_broadcast
 
 WEIGHTS = (5, 2, 1)
 #: bits of a document's hash, and of each histogram level
@@ -119,9 +119,14 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept."""
-    columns = docs.columns
+    prefix = "_mix"
+    while any(column.lower().startswith(prefix) for column in docs.columns):
+        prefix += "_"
     mix = plan_mix(docs, key=key, source=source, **options)
-    sources = mix.sources.select(F.col("source").alias("_mix_source"), F.col("rounds").alias("_mix_rounds"), F.col("below").alias("_mix_below"))
-    copies = F.col("_mix_rounds") + (hash_of(docs[key]) < F.col("_mix_below")).cast("long")
-    joined = docs.join(sources, docs[source].eqNullSafe(F.col("_mix_source")))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
+    name = lambda column: f"{prefix}{column}"
+    sources = mix.sources.select(*(F.col(column).alias(name(column)) for column in ("source", "rounds", "below")))
+    copies = F.col(name("rounds")) + (hash_of(docs[key]) < F.col(name("below"))).cast("long")
+    if fits_broadcast(sources.count(), 100):
+        sources = F.broadcast(sources)
+    joined = docs.join(sources, docs[source].eqNullSafe(F.col(name("source"))))
+    return joined.withColumn(name("copy"), F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
