@@ -23,9 +23,11 @@ TEXT_BLOCK = 1 << 22
 #: a signature shared by more sets than this is hot; spare segments, as a share, that let a set do without hot ones
 HOT, SPARE = 20, 0.1
 #: first rounds at most; they end when fewer than one comparison in so many finds a link
-ROUNDS, FEW = 8, 50
+ROUNDS, FEW = 8, 10
+#: common signatures, as a share of a set's size, that make a comparison worth while in the first rounds
+LIKELY = 0.05
 #: signatures of one reducing bucket (on average), of one packed row, and of a bucket's buffer
-BUCKET, PACKED, BUFFER = 2_000_000, 1_000_000, 1_000_000
+BUCKET, PACKED, BUFFER = 500_000, 400_000, 300_000
 #: elements of a block of sets that is compared with another
 BLOCK_TOKENS = 1 << 17
 #: assumed share of equal tokens in unrelated sets, for the cost of a plan
@@ -496,15 +498,18 @@ def classes_of(docs: DataFrame) -> DataFrame:
     sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
     shared = cut(shared.join(sizes, "sig"), "jaccard-members")
     # 1: each set with one set of another component, the first of most of its signatures; this only saves work in 2
-    roots, rolling, tried, links = None, None, None, None
+    roots, rolling, tried, links, open_ = None, None, None, None, shared
+    node_sizes = cut(filled.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("size")), "jaccard-sizes")
     for _ in range(ROUNDS):
-        placed = shared.select("sig", "node", "members", F.col("node").alias("root")) if roots is None else shared.join(
+        placed = open_.select("sig", "node", "members", F.col("node").alias("root")) if roots is None else open_.join(
             roots, "node", "left").select("sig", "node", "members", F.coalesce("root", "node").alias("root"))
         at = F.struct("root", "node")
         ends = placed.groupBy("sig").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo.root <> hi.root")
         placed = cut(placed.join(ends, "sig"), "jaccard-mixed")  # signatures of more than one component
+        open_ = placed.select("sig", "node", "members")
         other = F.when(F.col("lo.root") == F.col("root"), F.col("hi.node")).otherwise(F.col("lo.node"))
         near = placed.select("node", other.alias("other")).groupBy("node", "other").agg(F.count(F.lit(1)).alias("n"))
+        near = near.join(node_sizes, "node").filter(F.col("n") >= LIKELY * F.col("size"))
         pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node", "other", "n")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -523,14 +528,14 @@ def classes_of(docs: DataFrame) -> DataFrame:
     # 2: what is left between components
     if roots is None:
         roots, rolling = components(links)
-    placed = shared.join(roots, "node", "left").select("sig", "node", "members", F.coalesce("root", "node").alias("root"))
+    placed = open_.join(roots, "node", "left").select("sig", "node", "members", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
     placed = cut(placed.join(mixed, "sig"), "jaccard-mixed")
     edges = [start for start in plan.starts if start <= largest]
     spare = F.element_at(F.array(*(F.lit(plan.spare(start)) for start in edges)), F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("n"))))
     hot, short = F.col("members") > HOT, F.col("sig") >= short_signature(0)
     per_node = shared.groupBy("node").agg(F.sum((hot & ~short).cast("long")).alias("hot"), F.max(short.cast("int")).alias("short"))
-    per_node = per_node.join(filled.groupBy("node").agg(F.first("n").alias("n")), "node")
+    per_node = per_node.join(node_sizes.withColumnRenamed("size", "n"), "node")
     # shared signatures that a linked partner must have at least, hot ones among them; none is sure for short sets
     needs = cut(per_node.select("node", "hot", F.when(F.col("short") > 0, 0).otherwise(spare + 1).cast("long").alias("need"),
                                 ((F.col("hot") > spare) | (F.col("short") > 0)).alias("pressed")), "jaccard-needs")
