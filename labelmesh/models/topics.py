@@ -121,7 +121,7 @@ class TopicLabelModel:
         counts = arrays.array([f"zbar[{i}] * size" for i in range(t)])
         return docs.select("item_id", F.expr(counts).alias("d"), F.expr(meta).alias("meta"))
 
-    def sample_topics(self) -> None:
+    def sample_topics(self, sample: bool = True) -> None:
         t, num = self.n_topics, arrays.num
         if self.eta is None:
             self.fit_eta()
@@ -136,7 +136,7 @@ class TopicLabelModel:
             u = rand.fast_uniform_text(self.seed * 1_000_003 + self.sweeps, "item_id", "pos", str(i))
             scores.append(
                 f"ln((d[{i}] - {own} + {num(self.alpha)}) * (c[{i}] - {own} + {num(self.priors.b_phi)}) / "
-                f"({num(totals[i] + self.vocabulary * self.priors.b_phi)} - {own})) + meta[{i}] - ln(-ln({u}))"
+                f"({num(totals[i] + self.vocabulary * self.priors.b_phi)} - {own})) + meta[{i}]" + (f" - ln(-ln({u}))" if sample else "")
             )
         drawn = joined.withColumn("_s", F.expr(arrays.array(scores)))
         self.rolling.push(drawn.select("item_id", "pos", "word", arrays.argmax("_s").alias("z")))
@@ -147,7 +147,7 @@ class TopicLabelModel:
         self.labels.sweep("y", sample, class_scores=self.eta.scores)
 
     def sweep(self, sample: bool = True) -> "TopicLabelModel":
-        self.sample_topics()
+        self.sample_topics(sample)
         self.fit_eta()
         self.move_labels(sample)
         return self

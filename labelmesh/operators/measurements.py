@@ -57,11 +57,16 @@ def cosine_adjacency(sources: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+#: sources whose cosines with a batch of items are held at once
+SOURCE_BLOCK = 256
+
+
 def knn_location(sources: DataFrame, items: DataFrame, neighbors: int, id_type: str = "bigint") -> DataFrame:
     """(source_id, item_id, cosine, rank): the ``neighbors`` nearest items of every source location.
 
     The sources travel to every task once (their size is checked); each batch of items keeps its own best
-    per source, and the best of those are the exact answer. ``neighbors`` < 1 keeps every item.
+    per source, and the best of those are the exact answer. ``neighbors`` < 1 keeps every item. Zero vectors
+    have no cosine: as sources and as items they give no rows.
     """
     found = _batched_neighbors(sources, items, neighbors, id_type)
     if found is None:
@@ -89,7 +94,9 @@ def _batched_neighbors(sources: DataFrame, items: DataFrame, neighbors: int, id_
     held = sources.select("source_id", "location").collect()
     keys = [r["source_id"] for r in held]
     matrix = np.array([r["location"] for r in held], dtype="float64")
-    shared = items.sparkSession.sparkContext.broadcast((keys, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+    size = np.linalg.norm(matrix, axis=1)
+    keys = [key for key, length in zip(keys, size) if length > 0]
+    shared = items.sparkSession.sparkContext.broadcast((keys, matrix[size > 0] / size[size > 0, None]))
 
     def nearest(batches: Iterator) -> Iterator:
         import numpy as np
@@ -102,13 +109,15 @@ def _batched_neighbors(sources: DataFrame, items: DataFrame, neighbors: int, id_
                 continue
             ids = batch["item_id"].to_numpy()
             rows = np.stack(batch["location"].to_numpy()).astype("float64")
-            lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-            cosines = (rows / np.where(lengths > 0, lengths, 1.0)) @ unit.T
+            lengths = np.linalg.norm(rows, axis=1)
+            ids, rows = ids[lengths > 0], rows[lengths > 0] / lengths[lengths > 0, None]
             keep = len(ids) if neighbors < 1 else min(neighbors, len(ids))
-            for s in range(len(names)):
-                column = cosines[:, s]
-                order = np.lexsort((ids, -np.round(column, 9)))[:keep]
-                yield pd.DataFrame({"source_id": np.repeat(names[s], len(order)), "item_id": ids[order], "cosine": column[order]})
+            for first in range(0, len(names) if len(ids) else 0, SOURCE_BLOCK):
+                cosines = rows @ unit[first:first + SOURCE_BLOCK].T
+                for s in range(cosines.shape[1]):
+                    column = cosines[:, s]
+                    order = np.lexsort((ids, -np.round(column, 9)))[:keep]
+                    yield pd.DataFrame({"source_id": np.repeat(names[first + s], len(order)), "item_id": ids[order], "cosine": column[order]})
 
     schema = T._parse_datatype_string(f"source_id {id_type}, item_id {id_type}, cosine double")
     return items.select("item_id", "location").mapInPandas(nearest, schema)

@@ -134,3 +134,17 @@ def test_late_rows_are_dropped(spark):
     stream.write_windows(activity, out, f"{out}-state").awaitTermination()
     got = sorted((str(r["start"].date()), r["n"], r["share"]) for r in spark.read.parquet(out).collect())
     assert got == [("2024-01-01", 2, [0.0, 1.0]), ("2024-01-05", 1, [0.0, 1.0]), ("2024-01-06", 1, [0.0, 1.0])]
+
+
+def test_zero_vectors_and_source_blocks_give_the_same_neighbours(spark, monkeypatch):
+    from labelmesh.operators import measurements as X
+
+    items = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0 if i % 4 else 0.0]) for i in range(30)], "item_id bigint, location array<double>")
+    sources = spark.createDataFrame([(1, [1.0, 2.0, 0.5]), (2, [0.0, 0.0, 0.0]), (3, [0.0, 1.0, 1.0])], "source_id bigint, location array<double>")
+    seen = []
+    for block, largest in ((256, X.fits_broadcast), (1, X.fits_broadcast), (256, lambda rows, size: False)):
+        monkeypatch.setattr(X, "SOURCE_BLOCK", block)
+        monkeypatch.setattr(X, "fits_broadcast", largest)
+        seen.append(sorted((r.source_id, r.item_id, round(r.cosine, 9), r["rank"]) for r in X.knn_location(sources, items, 4).collect()))
+    assert seen[0] == seen[1] == seen[2]
+    assert {r[0] for r in seen[0]} == {1, 3} and 0 not in {r[1] for r in seen[0]}
