@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from labelmesh.llm.shipping import ship
 
 #: labelled rows of each class that the model is fitted on
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: an insult is learned if so many toxic rows have it and its log-likelihood ratio is so high
 LEAST_ROWS, LEAST_RATIO, MOST_INSULTS = 5, 25.0, 400
 #: besides whole words, beginnings of words of these lengths
@@ -144,22 +144,27 @@ def _ratio(a: float, b: float, toxic: float, clean: float) -> float:
     return 2 * (part(a, toxic * p) + part(b, clean * p) + part(toxic - a, toxic * (1 - p)) + part(clean - b, clean * (1 - p)))
 
 
-def learn_insults(rows: list[tuple[int, set[str]]]) -> Grammar:
-    """Insults that explain toxic rows, best first, each from the toxic rows that those before it leave unexplained."""
-    toxic = [p for y, p in rows if y]
-    clean = [p for y, p in rows if not y]
-    clean_counts: dict[str, int] = defaultdict(int)
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, patterns in enumerate(toxic):
-        for pattern in patterns:
-            where[pattern].add(i)
-    where = {p: rows for p, rows in where.items() if len(rows) >= LEAST_ROWS}
-    for patterns in clean:
-        for pattern in patterns:
-            if pattern in where:
-                clean_counts[pattern] += 1
+def learn_insults(rows: list[tuple[int, str]]) -> Grammar:
+    """Insults that explain toxic rows, best first, each from the toxic rows that those before it leave unexplained.
+
+    Passes over the sample hold counts of patterns, never the patterns of all its rows.
+    """
+    toxic = [text for y, text in rows if y]
+    clean = [text for y, text in rows if not y]
+    toxic_counts: Counter[str] = Counter()
+    for text in toxic:
+        toxic_counts.update(_patterns(text))
+    toxic_counts = {p: n for p, n in toxic_counts.items() if n >= LEAST_ROWS}
+    clean_counts: Counter[str] = Counter()
+    for text in clean:
+        clean_counts.update(p for p in _patterns(text) if p in toxic_counts)
     odds = lambda a, b: math.log((a + 0.5) / (len(toxic) + 1)) - math.log((b + 0.5) / (len(clean) + 1))
-    where = {p: r for p, r in where.items() if odds(len(r), clean_counts[p]) > 2 and _ratio(len(r), clean_counts[p], len(toxic), len(clean)) >= LEAST_RATIO}
+    where: dict[str, set[int]] = {p: set() for p, n in toxic_counts.items() if odds(n, clean_counts[p]) > 2
+                                  and _ratio(n, clean_counts[p], len(toxic), len(clean)) >= LEAST_RATIO}
+    for i, text in enumerate(toxic):
+        for pattern in _patterns(text):
+            if pattern in where:
+                where[pattern].add(i)
     chosen: dict[str, float] = {}
     left = set(range(len(toxic)))
     while where and len(chosen) < MOST_INSULTS:
@@ -179,7 +184,7 @@ def learn_insults(rows: list[tuple[int, set[str]]]) -> Grammar:
 
 
 def fit_rows(rows: list[tuple[int, str]], weight_of: tuple[float, float] = (1.0, 1.0)) -> Model:
-    grammar = learn_insults([(y, _patterns(text)) for y, text in rows])
+    grammar = learn_insults(rows)
     x = np.array([grammar.features(text) for _, text in rows]).reshape(-1, len(FEATURES))
     y = np.array([y for y, _ in rows], dtype=float)
     scale = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(len(FEATURES))
