@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from labelmesh.llm.components import components, smallest_key
-from labelmesh.llm.shipping import ship
+from labelmesh.llm.shipping import ship, small_batches
 from labelmesh.runtime import cut, fits_broadcast
 
 #: words of a shingle; links need 100 * intersection >= PERCENT * union
@@ -27,7 +27,7 @@ ROUNDS, FEW = 8, 10
 #: common signatures, as a share of a set's size, that make a comparison worth while in the first rounds
 LIKELY = 0.05
 #: signatures of one reducing bucket (on average), of one packed row, and of a bucket's buffer
-BUCKET, PACKED, BUFFER = 500_000, 400_000, 300_000
+BUCKET, PACKED, BUFFER = 300_000, 250_000, 200_000
 #: elements of a block of sets that is compared with another
 BLOCK_TOKENS = 1 << 17
 #: assumed share of equal tokens in unrelated sets, for the cost of a plan
@@ -483,8 +483,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def classes_of(docs: DataFrame) -> DataFrame:
     """(key, n, component_id) of ``docs`` (key, text)."""
+    ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
     rows = cut(_measure(docs), "jaccard-rows")
     filled = rows.filter("n > 0").select("key", "n", "node")
     # sizes rounded to 2 %, so a bounded table whatever the number of documents

@@ -15,7 +15,7 @@ DIMENSIONS, ORDERS = 4096, (1, 2, 3)
 #: characters whose n-grams are counted in one go
 BLOCK = 1 << 20
 #: labelled rows that the centroids are fitted on, shared evenly by the languages; the most languages
-SAMPLE_ROWS, MOST_LANGUAGES, CENTROIDS = 2000, 200, 3
+SAMPLE_ROWS, MOST_LANGUAGES, CENTROIDS = 1600, 200, 3
 #: a text of at least so many n-grams is rejected if its cosine is below this share of the lowest in its centroid's sample
 REACH, LEAST_NGRAMS = 0.5, 400
 UNKNOWN = "und"
@@ -100,7 +100,7 @@ def fit_counts(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS)
     keep = counts.sum(axis=1) > 0
     counts, langs = counts[keep], [lang for lang, k in zip(langs, keep) if k]
     languages = sorted(set(langs))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(counts.dtype)
     model = Model(languages, idf, np.empty((0, DIMENSIONS)), np.empty(0, dtype=int), np.empty(0))
     vectors, label = model.vectors(counts), np.array(langs)
     rows, of, floor = [], [], []
@@ -149,10 +149,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", te
     share = F.coalesce(*(F.when(F.col("lang") == r.lang, min(1.0, each / r.n)) for r in sizes), F.lit(0.0))
     sample = rows.filter(draw < share).withColumn("order", order).orderBy("order", "key", "lang").limit(2 * sample_rows)
     found = _counted(sample, ["lang", "order"]).toArrow()
-    counts = np.array(found.column("counts").to_pylist(), dtype=np.float32).reshape(-1, DIMENSIONS)
+    counts = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
     rank = np.lexsort((np.array(found.column("lang").to_pylist()), np.array(found.column("order").to_pylist()))) if len(counts) else []
     langs = found.column("lang").to_pylist()
-    return fit_counts(counts[rank].astype(np.float64) if len(counts) else counts, [langs[i] for i in rank])
+    return fit_counts(counts[rank] if len(counts) else counts, [langs[i] for i in rank])
 
 
 def language_of(text: Column, model: Model, spark: SparkSession) -> Column:

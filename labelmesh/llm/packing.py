@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from labelmesh.llm.shipping import small_batches
 from labelmesh.llm.tokens import ByteBpe, once, publish, vocabulary
 from labelmesh.runtime import cut
 
@@ -130,7 +131,8 @@ def pack_documents(
     table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    measured = cut(measure(docs, path, end_id, length, key, text), "packing-measured")
+    with small_batches(spark):
+        measured = cut(measure(docs, path, end_id, length, key, text), "packing-measured")
     counts = measured.groupBy("last", "part").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("crcs") - F.when(F.col("last") > 0, 1).otherwise(0)).alias("_full"))
     counts = cut(counts, "packing-counts")
     histogram = {r["last"]: r["n"] for r in counts.filter("last > 0").groupBy("last").agg(F.sum("_n").alias("n")).collect()}

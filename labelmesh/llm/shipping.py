@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+#: rows that tasks and Python workers exchange at once where rows are whole texts or sets
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Smaller exchanges with Python workers for what is run (not only planned) inside."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
