@@ -13,7 +13,7 @@ from labelmesh.models.variational import Fit, machine_scores, prior_scores, voca
 from labelmesh.operators import counts, joins, votes
 from labelmesh.priors import Priors
 from labelmesh.runtime import cut, scalars
-from labelmesh.skew import Spread
+from labelmesh.skew import ROWS_PER_SPLIT, Spread
 
 
 @dataclass
@@ -26,6 +26,20 @@ class PointModel:
     unknown: list[list[float]]
     words: DataFrame | None = None
     log_mu: list[list[float]] | None = None
+    spread: Spread | None = None
+
+
+def training_spread(soft: DataFrame, n_labels: int, rows_per_split: int | None = None) -> Spread:
+    """Split of the (annotator, label) keys that are hot in the training annotations, from their soft counts.
+
+    A stream cannot be counted before it runs, so its join with the model takes this plan.
+    """
+    limit = rows_per_split or ROWS_PER_SPLIT
+    sized = soft.select("annotator_id", "label", F.expr(arrays.total(arrays.cells("c", n_labels))).alias("_rows"))
+    hot = cut(sized.filter(F.col("_rows") > limit).select(
+        "annotator_id", "label", F.ceil(F.col("_rows") / limit).cast("int").alias("_splits")), "hot_keys")
+    rows = hot.count()
+    return Spread(["annotator_id", "label"], ["item_id"], hot if rows else None, rows)
 
 
 def log_confusion(confusion: DataFrame, n_labels: int) -> DataFrame:
@@ -50,7 +64,7 @@ def point_model(fit: Fit) -> PointModel:
     row = diag + (k - 1) * off
     unknown = [[math.log((diag if t == a else off) / row) for t in range(k)] for a in range(k)]
     labels = cut(log_confusion(fit.confusion(), k), "label_weights")
-    model = PointModel(k, [math.log(v / total) for v in fit.class_prior], labels, unknown)
+    model = PointModel(k, [math.log(v / total) for v in fit.class_prior], labels, unknown, spread=training_spread(fit.soft, k))
     if fit.vocab is not None:
         model.words = log_words(fit.vocab, k, fit.n_features, fit.priors)
     if fit.machine_cells is not None:
@@ -70,7 +84,7 @@ def expected_model(fit: Fit) -> PointModel:
     logs = staged.withColumn("v", F.expr(f"{digamma('value')} - {digamma('t')}"))
     w = arrays.array([f"max(CASE WHEN truth = {c} THEN v END)" for c in range(k)])
     labels = cut(logs.groupBy("annotator_id", "label").agg(F.expr(w).alias("w")), "label_weights")
-    model = PointModel(k, prior_scores(fit.class_prior), labels, unknown)
+    model = PointModel(k, prior_scores(fit.class_prior), labels, unknown, spread=training_spread(fit.soft, k))
     if fit.vocab is not None:
         model.words = vocab_weights(fit.vocab, k, fit.n_features, fit.priors)
     if fit.machine_cells is not None:
@@ -115,6 +129,9 @@ def annotation_scores(annotations: DataFrame, model: PointModel) -> DataFrame:
     ) + " END"
     if joins.fits_broadcast(rows, 8 * k + 64):
         joined = annotations.join(F.broadcast(model.labels), ["annotator_id", "label"], "left")
+    elif annotations.isStreaming:
+        spread = model.spread or Spread(["annotator_id", "label"], ["item_id"], None)
+        joined = spread.join(annotations, model.labels, "left")
     else:
         joined = Spread.plan(annotations, ["annotator_id", "label"], ["item_id"]).join(annotations, model.labels, "left")
     weighted = joined.withColumn("w", F.expr(f"coalesce(w, {prior})"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelmesh.functions import arrays, rand
 from labelmesh.functions.special import lgamma_ratio
@@ -176,13 +176,18 @@ class Sweeper:
     # -- moves ----------------------------------------------------------------------------------
 
     def set_temperature(self, temperature: float) -> None:
-        """A new temperature also restarts the marginal tallies."""
+        """A new temperature also restarts the marginal tallies, from the current state."""
         if temperature == self.temperature:
             return
         self.temperature = temperature
         self.machine_seen.clear()
-        zeros = F.array_repeat(F.lit(0).cast("bigint"), self.corpus.n_labels)
-        self.state = self.rolling.push(self.state.withColumn("y_seen", zeros).withColumn("m_seen", zeros))
+        self.state = self.rolling.push(self.state.withColumns({f"{v}_seen": self._one_more(v, fresh=True) for v in ("y", "m")}))
+
+    def _one_more(self, variable: str, fresh: bool = False) -> Column:
+        """The tallies of y or m with the current value counted once more (or alone)."""
+        before = "0L" if fresh else "{0}_seen[{1}]"
+        cells = [f"{before.format(variable, c)} + CASE WHEN {variable} = {c} THEN 1L ELSE 0L END" for c in range(self.corpus.n_labels)]
+        return F.expr(arrays.array(cells))
 
     def sweep(self, variable: str = "all", sample: bool = True, half: int | None = None,
               class_scores: DataFrame | None = None) -> "Sweeper":
@@ -216,11 +221,11 @@ class Sweeper:
             y, m = f"CASE WHEN {mine} THEN {y} ELSE y END", f"CASE WHEN {mine} THEN {m} ELSE m END"
         moved = scored.select("item_id", F.expr(y).alias("y"), F.expr(m).alias("m"), "weight", "observed_label", "size",
                               "y_seen", "m_seen")
-        tally = "transform({0}_seen, (v, k) -> v + CASE WHEN k = {0} THEN 1L ELSE 0L END)"
-        moved = moved.withColumn("y_seen", F.expr(tally.format("y"))).withColumn("m_seen", F.expr(tally.format("m")))
+        if sample:
+            moved = moved.withColumns({f"{v}_seen": self._one_more(v) for v in ("y", "m")})
         self.state = self.rolling.push(moved)
         self.sweeps += 1
-        if self.kind == MULTI:
+        if self.kind == MULTI and sample:
             self.machine_seen.append(self.machine_cells())
         return self
 
@@ -231,8 +236,12 @@ class Sweeper:
     # -- results --------------------------------------------------------------------------------
 
     def marginal(self) -> DataFrame:
-        """(item_id, y, m): the most frequent values since the tallies were restarted."""
-        return self.state.select("item_id", arrays.argmax("y_seen").alias("y"), arrays.argmax("m_seen").alias("m"))
+        """(item_id, y, m): the values sampled most often since the tallies were restarted, the current ones if none was."""
+        return self.state.select("item_id", *(self._mode(v).alias(v) for v in ("y", "m")))
+
+    @staticmethod
+    def _mode(variable: str) -> Column:
+        return F.when(F.expr(f"array_max({variable}_seen) > 0"), arrays.argmax(f"{variable}_seen")).otherwise(F.col(variable))
 
     def mean_machine(self) -> list[float]:
         """Machine confusion averaged over the tallied sweeps, rows normalised."""
@@ -248,7 +257,7 @@ class Sweeper:
         c, k = self.corpus, self.corpus.n_labels
         modes = self.state
         if self.sweeps:
-            modes = cut(modes.withColumn("y", arrays.argmax("y_seen")).withColumn("m", arrays.argmax("m_seen")), "modes")
+            modes = cut(modes.withColumns({v: self._mode(v) for v in ("y", "m")}), "modes")
         at = replace(self, state=modes)
         theta = at.class_counts()
         diag, off = self.priors.annotator_cell(k)
@@ -287,7 +296,7 @@ class Step:
 
     def __post_init__(self):
         if self.operation not in ("sample", "maximize"):
-            raise ValueError(f"cannot {self.operation}: choose sample or maximize")
+            raise ValueError(f"cannot {self.operation}: an operation is sample or maximize")
         if self.variable not in ("y", "m", "all"):
             raise ValueError(f"cannot {self.operation} unknown variable {self.variable}")
 

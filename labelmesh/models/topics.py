@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelmesh.functions import arrays, rand
@@ -121,13 +119,19 @@ class TopicLabelModel:
         counts = arrays.array([f"zbar[{i}] * size" for i in range(t)])
         return docs.select("item_id", F.expr(counts).alias("d"), F.expr(meta).alias("meta"))
 
-    def sample_topics(self, sample: bool = True) -> None:
+    def _plain_terms(self) -> DataFrame:
+        """Per document: topic counts, with no weight from labels."""
+        counts = arrays.array([f"zbar[{i}] * size" for i in range(self.n_topics)])
+        return self.proportions().select("item_id", F.expr(counts).alias("d"), F.expr(arrays.zeros(self.n_topics)).alias("meta"))
+
+    def sample_topics(self, sample: bool = True, labelled: bool = True) -> None:
+        """Move every token; with ``labelled`` off the topics do not see the labels."""
         t, num = self.n_topics, arrays.num
-        if self.eta is None:
+        if labelled and self.eta is None:
             self.fit_eta()
         words = self.words.push(topic_counts(self.tokens, t, "word"))
         totals = scalars(words.agg(arrays.sum_arrays("c", t).alias("t")), "t", t)
-        docs = self.documents.push(self._document_terms())
+        docs = self.documents.push(self._document_terms() if labelled else self._plain_terms())
         rows = self.by_item.join(self.tokens, docs)
         joined = joins.attach(rows, words, ["word"], ["item_id", "pos"], t, self.vocabulary, self.by_word)
         scores = []
@@ -153,9 +157,9 @@ class TopicLabelModel:
         return self
 
     def predictions(self) -> DataFrame:
-        """(item_id, label): the current label of annotated documents, the classifier's for the rest."""
+        """(item_id, label): the label sampled most often of annotated documents, the classifier's for the rest."""
         guess = self.eta.scores.select("item_id", arrays.argmax("lp").alias("guess"))
-        return guess.join(self.labels.state.select("item_id", "y"), "item_id", "left").select(
+        return guess.join(self.labels.marginal().select("item_id", "y"), "item_id", "left").select(
             "item_id", F.coalesce("y", "guess").alias("label")
         )
 
@@ -197,11 +201,11 @@ def topic_label_model(tokens: DataFrame, annotations: DataFrame, items: DataFram
     return model
 
 
-def topic_then_label(features: DataFrame, annotations: DataFrame, items: DataFrame, n_labels: int, n_topics: int,
-                     priors: Priors = Priors(), iterations: int = 10, seed: int = 0) -> DataFrame:
+def topic_then_label(tokens: DataFrame, annotations: DataFrame, items: DataFrame, n_labels: int, n_topics: int,
+                     priors: Priors = Priors(), sample_sweeps: int = 25, maximize_sweeps: int = 1, seed: int = 0) -> DataFrame:
     """Pipelined variant: topics never see the labels. Returns (item_id, label).
 
-    A classifier over topic shares is trained on the vote shares; its log probabilities and the annotations
+    The same token sweeps over every token find the topics. A classifier over topic shares is trained on the vote shares; its log probabilities and the annotations
     under smoothed confusions then decide each item.
     """
     from labelmesh.models.scoring import log_confusion
@@ -209,11 +213,10 @@ def topic_then_label(features: DataFrame, annotations: DataFrame, items: DataFra
     from labelmesh.operators.votes import soft_majority
 
     k = n_labels
-    words = classifier.sparse_design(features, items, 1)
-    if words.vectors is None:
-        raise ValueError("vocabulary too wide for a topic matrix: raise the word cutoff")
-    lda = LDA(k=n_topics, maxIter=iterations, seed=seed, featuresCol="features", optimizer="online").fit(words.vectors)
-    shares = lda.transform(words.vectors).select("item_id", vector_to_array("topicDistribution").alias("x"))
+    model = TopicLabelModel.start(tokens, annotations, items, n_labels, n_topics, priors, seed=seed)
+    for sample in [True] * sample_sweeps + [False] * maximize_sweeps:
+        model.sample_topics(sample, labelled=False)
+    shares = model.proportions().select("item_id", F.slice("zbar", 1, n_topics).alias("x"))
     design = classifier.dense_design(cut(shares, "zbar"), "x", k)
     soft = cut(soft_majority(annotations, items, k).filter(F.col("p").isNotNull()), "soft_labels")
     scores = classifier.fit(design, soft, priors).scores

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from labelmesh.functions import rand
 from labelmesh.operators.joins import attach
-from labelmesh.runtime import cut
+from labelmesh.runtime import cut, fits_broadcast
 from labelmesh.skew import ROWS_PER_SPLIT
 
 
@@ -165,33 +165,27 @@ def known_items(predictions: DataFrame, items: DataFrame) -> DataFrame:
 def nth_annotation(events: DataFrame, order: list[str], rows_per_split: int | None = None) -> DataFrame:
     """Replay position of each event among its annotator's events on the same item, earliest first.
 
-    A pair with more than ``rows_per_split`` events is ranked in slices of its first order column (a time or
-    number): positions inside a slice, plus the sizes of the slices before it.
+    Pairs with more than ``rows_per_split`` events are dealt by ranges of (pair, order columns), whatever their types:
+    positions inside a range, plus the sizes of the pair's ranges before it.
     """
     pair, limit = ["item_id", "annotator_id"], rows_per_split or ROWS_PER_SPLIT
+    ranked = F.row_number().over(Window.partitionBy(*pair).orderBy(*order))
     sizes = events.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None:
-        return events.withColumn("nth", F.row_number().over(Window.partitionBy(*pair).orderBy(*order)))
+    pairs, rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if not pairs:
+        return events.withColumn("nth", ranked)
     hot = cut(sizes.select(*pair), "hot_pairs")
-    slices = -(-largest // limit)
-    at = F.col(order[0]).cast("timestamp").cast("double") if "timestamp" in events.schema[order[0]].dataType.simpleString() \
-        else F.col(order[0]).cast("double")
-    keyed = events.withColumn("_at", at)
-    edges = keyed.join(F.broadcast(hot), pair, "left_semi").groupBy(*pair).agg(
-        F.percentile_approx("_at", [i / slices for i in range(1, slices)]).alias("_edges")
-    )
-    sliced = keyed.join(F.broadcast(cut(edges, "slice_edges")), pair, "left").withColumn(
-        "_slice", F.expr("coalesce(size(filter(_edges, e -> e < _at)), 0)")
-    ).withColumn("_slice", F.greatest("_slice", F.lit(0))).drop("_edges", "_at")
-    before = sliced.join(F.broadcast(hot), pair, "left_semi").groupBy(*pair, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(hot) if fits_broadcast(pairs, 64) else hot
+    dealt = events.join(hot, pair, "left_semi").repartitionByRange(-(-rows // limit), *pair, *order)
+    # stored: the ranges come from a sample, and every reader must see the same ones
+    sliced = cut(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
+    before = sliced.groupBy(*pair, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*pair).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = before.select(*pair, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*pair, "_slice").orderBy(*order)
-    ranked = sliced.withColumn("_r", F.row_number().over(inside))
-    return ranked.join(F.broadcast(cut(offsets, "slice_offsets")), [*pair, "_slice"], "left").withColumn(
-        "nth", (F.col("_r") + F.coalesce("_offset", F.lit(0))).cast("int")
-    ).select(*events.columns, "nth")
+    inside = F.row_number().over(Window.partitionBy(*pair, "_slice").orderBy(*order))
+    busy = sliced.withColumn("_r", inside).join(offsets, [*pair, "_slice"]).withColumn(
+        "nth", (F.col("_r") + F.col("_offset")).cast("int")).select(*events.columns, "nth")
+    return events.join(hot, pair, "left_anti").withColumn("nth", ranked).select(*events.columns, "nth").unionByName(busy)
 
 
 def dense_index(values: DataFrame, column: str, out: str, buckets: int = 256) -> DataFrame:

@@ -16,13 +16,11 @@ SEED, TOPICS = 3, 6
 
 
 def _tokens(spark, sf):
-    """Tokens of every document whose word passes the corpus cutoff."""
-    words = V.doc_features(spark, sf).select(F.col("feature").alias("word")).distinct()
-    return prep.tokenize(V.documents(spark, sf)).join(words, "word", "left_semi").select("item_id", "pos", "word")
+    """Every token of every document."""
+    return prep.tokenize(V.documents(spark, sf))
 
 
-Z = f"""{S.features()}, z AS (SELECT t.item_id, t.pos, t.word, {S.hash_int(str(SEED), 't.item_id', 't.pos')} % {TOPICS} AS z
-  FROM tok t WHERE t.word IN (SELECT feature FROM feat))"""
+Z = f"""{S.TOKENS}, z AS (SELECT t.item_id, t.pos, t.word, {S.hash_int(str(SEED), 't.item_id', 't.pos')} % {TOPICS} AS z FROM tok t)"""
 
 
 @query("topic_proportions", f"""WITH {Z}, docs AS (SELECT doc_id AS item_id FROM documents),
@@ -58,12 +56,12 @@ def log_resp_em(spark, sf):
     """Document quality from the reviewed labels; the classifier labels the documents without one."""
     items = V.doc_items(spark, sf)
     design = classifier.sparse_design(V.doc_features(spark, sf), items, 2)
-    return long_p(loglinear.log_resp_em(V.label_annotations(spark, sf), items, design, 2, P, 3).posterior)
+    return long_p(loglinear.log_resp_em(V.label_annotations(spark, sf), items, design, 2, P).posterior)
 
 
 @query("discriminative_em")
 def discriminative_em(spark, sf):
-    fit = loglinear.discriminative_em(V.doc_annotations(spark, sf), V.doc_features(spark, sf), V.doc_items(spark, sf), 2, P, 3)
+    fit = loglinear.discriminative_em(V.doc_annotations(spark, sf), V.doc_features(spark, sf), V.doc_items(spark, sf), 2, P)
     return M.argmax_labels(fit.posterior)
 
 
@@ -78,5 +76,5 @@ def topic_label_model(spark, sf):
 @query("topic_then_label")
 def topic_then_label(spark, sf):
     return topics.topic_then_label(
-        V.doc_features(spark, sf), V.doc_annotations(spark, sf), V.doc_items(spark, sf), 2, TOPICS, P, 3, SEED
+        _tokens(spark, sf), V.doc_annotations(spark, sf), V.doc_items(spark, sf), 2, TOPICS, P, 3, 1, SEED
     )

@@ -16,8 +16,8 @@ from labelmesh.priors import Priors
 
 #: (alpha, beta) of the noise prior are b_gamma and c_gamma
 P = Priors(b_gamma=2.0, c_gamma=1.0)
-#: corpus count above which a word becomes a labelled word; neighbours kept per location
-COMMON, NEAR = 200, 20
+#: neighbours kept per location
+NEAR = 20
 
 _EMPTY = {
     "item_id": "bigint", "predicate": "string", "location": "array<double>", "source_item": "bigint", "neighbors": "int",
@@ -63,8 +63,8 @@ def doc_marks(spark, sf):
 
 
 def doc_words(spark, sf):
-    """Common words as labelled words: label from the word's length, value four fifths of its tokens."""
-    words = V.doc_features(spark, sf).groupBy("feature").agg(F.sum("value").alias("n")).filter(F.col("n") > COMMON)
+    """Every word as a labelled word: label from the word's length, value four fifths of its tokens."""
+    words = V.doc_features(spark, sf).groupBy("feature").agg(F.sum("value").alias("n"))
     return _shape(words.select(
         F.col("feature").alias("predicate"), F.expr("cast(length(feature) % 2 AS int)").alias("label"),
         F.expr("n * 0.8D").alias("value"), F.lit(5).alias("annotator_id"),
@@ -100,7 +100,7 @@ def log_vote(spark, sf):
 
 
 @query("measurement_counts", f"""WITH {S.features()}, {S.DOC_ANN},
-w AS (SELECT feature FROM feat GROUP BY feature HAVING sum(value) > {COMMON})
+w AS (SELECT DISTINCT feature FROM feat)
 SELECT annotator_id, count(*)::BIGINT AS n FROM ann GROUP BY 1
 UNION ALL SELECT 5, count(*) FROM w UNION ALL SELECT 6, count(DISTINCT quality) FROM labels""")
 def measurement_counts(spark, sf):
@@ -123,7 +123,7 @@ def knn_location(spark, sf):
     return rounded(ms.knn_location(sources, V.emb_items(spark, sf), NEAR), "cosine")
 
 
-WORD_TARGETS = f"""w AS (SELECT feature, sum(value) AS n FROM feat GROUP BY feature HAVING sum(value) > {COMMON}),
+WORD_TARGETS = f"""w AS (SELECT feature, sum(value) AS n FROM feat GROUP BY feature),
 tg AS (SELECT f.item_id, f.feature, length(f.feature) % 2 AS label, 1.0 / w.n AS sigma, 0.8::DOUBLE AS tau
   FROM feat f JOIN w ON w.feature = f.feature)"""
 

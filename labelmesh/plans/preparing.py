@@ -144,9 +144,13 @@ def backoff_state(spark, sf):
     return prep.backoff_state(items, saved, prep.uniform_assignment(items, 2, SEED))
 
 
-@query("bag_of_words", f"WITH {S.features()} SELECT * FROM feat")
+#: corpus count at or below which bag_of_words drops a word
+WORD_CUTOFF = 5
+
+
+@query("bag_of_words", f"WITH {S.features(WORD_CUTOFF)} SELECT * FROM feat")
 def bag_of_words(spark, sf):
-    return V.doc_features(spark, sf)
+    return V.doc_features(spark, sf, WORD_CUTOFF)
 
 
 @query("doc_size", f"WITH {S.features()} SELECT item_id, sum(value) AS size FROM feat GROUP BY 1")

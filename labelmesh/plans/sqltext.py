@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelmesh.plans.views import EMB_ACCURACY, WORD_CUTOFF
+from labelmesh.plans.views import EMB_ACCURACY
 
 
 def hash_int(seed: str, *keys: str) -> str:
@@ -26,9 +26,9 @@ def digamma(x: str) -> str:
 
 LINE_EVENTS = """ev AS (
   SELECT l_partkey AS item_id, l_suppkey AS annotator_id,
-         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,
+         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS label,
          l_shipdate AS ts, l_orderkey, l_linenumber
-  FROM lineitem)"""
+  FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R'))"""
 
 LINE = LINE_EVENTS + """,
 items AS (SELECT p_partkey AS item_id FROM part),
@@ -36,8 +36,8 @@ ann AS (SELECT item_id, annotator_id, label, count(*)::BIGINT AS n FROM ev GROUP
 
 ORDERS = """ev AS (
   SELECT o_custkey AS item_id, o_orderpriority AS annotator_id,
-         CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label, o_orderdate AS ts, o_orderkey
-  FROM orders),
+         CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS label, o_orderdate AS ts, o_orderkey
+  FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')),
 items AS (SELECT c_custkey AS item_id FROM customer),
 ann AS (SELECT item_id, annotator_id, label, count(*)::BIGINT AS n FROM ev GROUP BY ALL)"""
 
@@ -65,7 +65,7 @@ TOKENS = """tok AS (
   FROM (SELECT doc_id AS item_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM documents))"""
 
 
-def features(cutoff: int = WORD_CUTOFF) -> str:
+def features(cutoff: int = 0) -> str:
     return f"""{TOKENS},
 bag AS (SELECT item_id, word AS feature, count(*)::DOUBLE AS value FROM tok GROUP BY ALL),
 feat AS (SELECT b.* FROM bag b

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _code(column: str, values: list[str]):
-    return (F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)) - 1).cast("int")
+    """Position of the value, NULL for any other."""
+    return (F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)), F.lit(0)) - 1).cast("int")
 
 
 def line_events(spark, sf) -> DataFrame:
@@ -33,7 +34,7 @@ def line_events(spark, sf) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         "l_orderkey",
         "l_linenumber",
-    )
+    ).filter("label IS NOT NULL")
 
 
 def line_annotations(spark, sf) -> DataFrame:
@@ -51,7 +52,7 @@ def order_events(spark, sf) -> DataFrame:
         _code("o_orderstatus", ["F", "O", "P"]).alias("label"),
         F.col("o_orderdate").alias("ts"),
         "o_orderkey",
-    )
+    ).filter("label IS NOT NULL")
 
 
 def order_annotations(spark, sf) -> DataFrame:
@@ -69,7 +70,7 @@ def event_annotations(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("annotator_id"),
         _code("event_type", EVENT_TYPES).alias("label"),
         "ts",
-    )
+    ).filter("label IS NOT NULL")
 
 
 def emb_items(spark, sf) -> DataFrame:
@@ -128,11 +129,7 @@ def doc_annotations(spark, sf) -> DataFrame:
     return votes.filter(F.col("label").isNotNull()).withColumn("n", F.lit(1).cast("bigint"))
 
 
-#: corpus count at or below which a word is dropped in the registered document queries
-WORD_CUTOFF = 5
-
-
-def doc_features(spark, sf, cutoff: int = WORD_CUTOFF) -> DataFrame:
+def doc_features(spark, sf, cutoff: int = 0) -> DataFrame:
     return prep.bag_of_words(documents(spark, sf).select("item_id", "text"), cutoff)
 
 

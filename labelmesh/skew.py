@@ -11,9 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from labelmesh.runtime import cut
+from labelmesh.runtime import cut, fits_broadcast
 
-#: At most total_rows / ROWS_PER_SPLIT keys can be hot, which bounds the broadcast table of hot keys.
+#: At most total_rows / ROWS_PER_SPLIT keys can be hot.
 ROWS_PER_SPLIT = 2_000_000
 
 
@@ -22,6 +22,7 @@ class Spread:
     keys: list[str]
     by: list[str]
     hot: DataFrame | None
+    rows: int = 0
 
     @classmethod
     def plan(cls, big: DataFrame, keys: list[str], by: list[str], rows_per_split: int | None = None) -> "Spread":
@@ -32,7 +33,15 @@ class Spread:
             .filter(F.col("_rows") > limit)
             .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_splits"))
         )
-        return cls(keys, by, None if hot.isEmpty() else cut(hot, "hot_keys"))
+        if hot.isEmpty():
+            return cls(keys, by, None)
+        kept = cut(hot, "hot_keys")
+        return cls(keys, by, kept, kept.count())
+
+    @property
+    def table(self) -> DataFrame:
+        """The hot keys, broadcast where their counted number allows it."""
+        return F.broadcast(self.hot) if fits_broadcast(self.rows, 16 + 32 * len(self.keys)) else self.hot
 
     @property
     def on(self) -> list[str]:
@@ -43,7 +52,7 @@ class Spread:
         if self.hot is None:
             return df
         return (
-            df.join(F.broadcast(self.hot), self.keys, "left")
+            df.join(self.table, self.keys, "left")
             .withColumn("_split", F.pmod(F.xxhash64(*self.by), F.coalesce("_splits", F.lit(1))).cast("int"))
             .drop("_splits")
         )
@@ -53,7 +62,7 @@ class Spread:
         if self.hot is None:
             return df
         return (
-            df.join(F.broadcast(self.hot), self.keys, "left")
+            df.join(self.table, self.keys, "left")
             .withColumn("_split", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)))
             .drop("_splits")
         )

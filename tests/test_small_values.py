@@ -178,6 +178,8 @@ def test_replay_of_a_hot_pair(spark):
     """Ranks of a pair cut into slices equal those of one window, ties in the first order column included."""
     rows = [(1, 1, (i * 7919) % 97, i) for i in range(500)] + [(2, i % 3, i % 5, i) for i in range(40)]
     events = spark.createDataFrame(rows, "item_id int, annotator_id int, ts int, event int")
-    plain = prep.nth_annotation(events, ["ts", "event"]).collect()
-    sliced = prep.nth_annotation(events, ["ts", "event"], rows_per_split=50)
-    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain))
+    for at in ("ts", "date_add(DATE'2024-01-01', ts)", "cast(ts AS string)", "timestamp_seconds(ts)", "DATE'2024-01-01'"):
+        shown = events.withColumn("ts", F.expr(at))
+        plain = prep.nth_annotation(shown, ["ts", "event"]).collect()
+        sliced = prep.nth_annotation(shown, ["ts", "event"], rows_per_split=50)
+        assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain))

@@ -69,11 +69,22 @@ def test_topic_label_models(spark, corpus):
     got = {r["item_id"]: r["label"] for r in model.predictions().collect()}
     assert len(got) == 21 and all(got[i] == i % 2 for i in range(10))
     assert math.isfinite(model.log_joint())
-    bag = prep.bag_of_words(docs)
-    piped = {r["item_id"]: r["label"] for r in topics.topic_then_label(bag, ann, docs, 2, T, P, 10, SEED).collect()}
+    piped = {r["item_id"]: r["label"] for r in topics.topic_then_label(prep.tokenize(docs), ann, docs, 2, T, P, 5, 1, SEED).collect()}
     assert len(piped) == 21 and all(piped[i] == i % 2 for i in range(10))
 
 
+def test_greedy_topics_are_repeatable_and_ignore_the_seed_of_draws(spark, corpus):
+    docs, ann = corpus
+    model = topics.TopicLabelModel.start(prep.tokenize(docs), ann, docs, 2, T, P, 0.5, SEED)
+    first = sorted(map(tuple, model.tokens.collect()))
+    model.sample_topics(sample=False, labelled=False)
+    once = sorted(map(tuple, model.tokens.collect()))
+    again = topics.TopicLabelModel.start(prep.tokenize(docs), ann, docs, 2, T, P, 0.5, SEED)
+    again.sweeps = 7
+    again.sample_topics(sample=False, labelled=False)
+    assert sorted(map(tuple, again.tokens.collect())) == once != first
+
+
 def test_sparse_vectors(spark, corpus):
     docs, _ = corpus
     bag = prep.bag_of_words(docs)
@@ -110,9 +121,16 @@ def test_running_vote_over_batches(spark, sf, files):
     assert sorted(map(tuple, stream.current_votes(spark, small).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_stream_score_over_batches(spark, sf, files):
+@pytest.mark.parametrize("wide", [False, True])
+def test_stream_score_over_batches(spark, sf, files, wide, monkeypatch):
+    """The same rows from a broadcast model and from one joined by split keys."""
     batch = prep.compile_annotations(V.event_annotations(V.table(spark, sf, "events")))
     model = scoring.point_model(M.item_resp_vb(batch, batch.select("item_id").distinct(), 5, Priors(), 1))
+    if wide:
+        monkeypatch.setattr("labelmesh.operators.joins.fits_broadcast", lambda rows, size: False)
+        soft = batch.groupBy("annotator_id", "label").agg(F.array(F.sum("n").cast("double"), *[F.lit(0.0)] * 4).alias("c"))
+        model.spread = scoring.training_spread(soft, 5, 2)
+        assert model.spread.hot is not None
     out = shared_path(spark, "score")
     stream.stream_score(arriving(spark, files), model, out, f"{out}-state").awaitTermination()
     got = {r["item_id"]: r["p"] for r in stream.current_scores(spark, out, model).collect()}
