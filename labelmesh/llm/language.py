@@ -65,9 +65,11 @@ class Model:
     floor: np.ndarray  # least cosine that each accepts
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
+        weighted = np.log1p(counts)
+        weighted *= self.idf  # in place: a sample's vectors are held once
         size = np.linalg.norm(weighted, axis=1, keepdims=True)
-        return weighted / np.where(size > 0, size, 1)
+        weighted /= np.where(size > 0, size, 1)
+        return weighted
 
     def predict(self, counts: np.ndarray) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each row of counts."""
@@ -98,7 +100,8 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_counts(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
     keep = counts.sum(axis=1) > 0
-    counts, langs = counts[keep], [lang for lang, k in zip(langs, keep) if k]
+    if not keep.all():
+        counts, langs = counts[keep], [lang for lang, k in zip(langs, keep) if k]
     languages = sorted(set(langs))
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(counts.dtype)
     model = Model(languages, idf, np.empty((0, DIMENSIONS)), np.empty(0, dtype=int), np.empty(0))
@@ -149,10 +152,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", te
     share = F.coalesce(*(F.when(F.col("lang") == r.lang, min(1.0, each / r.n)) for r in sizes), F.lit(0.0))
     sample = rows.filter(draw < share).withColumn("order", order).orderBy("order", "key", "lang").limit(2 * sample_rows)
     found = _counted(sample, ["lang", "order"]).toArrow()
-    counts = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
-    rank = np.lexsort((np.array(found.column("lang").to_pylist()), np.array(found.column("order").to_pylist()))) if len(counts) else []
     langs = found.column("lang").to_pylist()
-    return fit_counts(counts[rank] if len(counts) else counts, [langs[i] for i in rank])
+    rank = np.lexsort((np.array(langs), np.array(found.column("order").to_pylist()))) if langs else []
+    counts, place, at = np.empty((len(langs), DIMENSIONS), dtype=np.float32), np.argsort(rank), 0
+    for chunk in found.column("counts").chunks:  # rows go straight to their places
+        counts[place[at:at + len(chunk)]] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+        at += len(chunk)
+    del found
+    return fit_counts(counts, [langs[i] for i in rank])
 
 
 def language_of(text: Column, model: Model, spark: SparkSession) -> Column:
