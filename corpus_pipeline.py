@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelmesh.llm import jaccard, language, mixing, packing, toxicity
-from labelmesh.runtime import shared_path
+from labelmesh.runtime import cut, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +22,31 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id.
+    """One row of each class of near copies: the one with the smallest id, then text hash; rows without an id come last.
 
-    Texts without words all stay. Rows that repeat an id are one document, of which the first by text stays; of rows
-    without an id only exact copies go.
+    A row is known by its id and the hash of its text, so rows that repeat an id with other texts are documents of their
+    own, as are rows without an id. Of rows equal in both the first by the other columns stays. Texts without words all
+    stay.
     """
-    classes = jaccard.classes_of(docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text")))
-    named = classes.filter("n > 0 AND key IS NOT NULL")
-    gone = named.filter("key <> component_id").select(F.col("key").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    twice = classes.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    prefix = "_near"
+    while any(column.lower().startswith(prefix) for column in docs.columns):
+        prefix += "_"
+    name = lambda column: f"{prefix}{column}"
+    text = F.col("text").cast("string")
+    known = docs.withColumn(name("hash"), F.unhex(F.sha2(text, 256)))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(name("hash")).alias("hash"))
+    classes = cut(jaccard.classes_of(known.select(key.alias("key"), text.alias("text"))).filter("n > 0").groupBy("key", "component_id").agg(
+        F.count(F.lit(1)).alias("rows")), "near-classes")
+    named = lambda rows: rows.select(F.col("key.id").alias(name("id")), F.col("key.hash").alias(name("same")))
+    same = lambda rows: rows["doc_id"].eqNullSafe(F.col(name("id"))) & (rows[name("hash")] == F.col(name("same")))
+    kept = known.join(named(classes.filter("NOT key <=> component_id")), same(known), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    twice = named(classes.filter("key <=> component_id AND rows > 1"))
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice.select(F.col("key").alias("_again")), kept["doc_id"].eqNullSafe(F.col("_again")), "left_semi")
-    once = kept.join(twice.select(F.col("key").alias("_again")), kept["doc_id"].eqNullSafe(F.col("_again")), "left_anti")
-    best = again.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
-    best = best.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
-    return once.unionByName(best).unionByName(again.filter("doc_id IS NULL").dropDuplicates(["text"]))
+        return kept.select(*columns)
+    again, once = kept.join(twice, same(kept), "left_semi"), kept.join(twice, same(kept), "left_anti")
+    first = again.groupBy("doc_id", name("hash")).agg(F.min(F.struct(*columns)).alias(name("row")))
+    return once.select(*columns).unionByName(first.select(*(F.col(f"{name('row')}.`{c}`").alias(c) for c in docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

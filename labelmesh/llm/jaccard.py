@@ -194,7 +194,7 @@ def _measure(docs: DataFrame) -> DataFrame:
                 nodes.append(node_of(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "n", "node"])
 
-    schema = T.StructType([docs.schema["key"]]).add("n", "long").add("node", "long")
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType)]).add("n", "long").add("node", "long")
     return docs.mapInArrow(run, schema)
 
 
@@ -325,7 +325,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     found = rows.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key"))
     found = cut(found.select("key", "node"), "jaccard-wanted")
     keys = found.withColumnRenamed("key", "_key")
-    if fits_broadcast(found.count(), 24):
+    if fits_broadcast(found.count(), 80):
         keys = F.broadcast(keys)
     texts = docs.join(keys, docs["key"].eqNullSafe(F.col("_key"))).select("node", "text")
 

@@ -258,6 +258,23 @@ def test_pipeline_equals_plain_stages(spark, sf, duck, tokenizer):  # noqa: F811
     check_packing(got, mixed, tokenizer, 1024)
 
 
+def test_one_row_of_each_class_of_texts_stays(spark, sf):
+    a, b, c = (" ".join(f"{letter}{i}" for i in range(40)) for letter in "abc")
+    near_a, near_b, near_c = f"{a} more", f"{b} more", f"{c} more"
+    rows = [(3, a, "x"), (7, near_a, "x"), (7, b, "x"), (9, near_b, "x"),  # clashing ids
+            (None, c, "x"), (None, near_c, "x"), (None, a, "x"),  # near copies without ids, and one of a numbered row
+            (5, "one text of five", "y"), (5, "one text of five", "x"), (5, "other words than those", "x"),
+            (None, "no id here", None), (None, "no id here", None), (8, " ", "x"), (8, " ", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _near string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    got = Counter(map(tuple, got.collect()))
+    kept_c = [t for t in (c, near_c) if (None, t, "x") in got]
+    assert len(kept_c) == 1
+    assert got == Counter([(3, a, "x"), (7, b, "x"), (None, kept_c[0], "x"), (5, "one text of five", "x"), (5, "other words than those", "x"),
+                           (None, "no id here", None), (8, " ", "x"), (8, " ", "x"), (None, None, "x")])
+
+
 def test_stages_take_awkward_rows(spark, sf):
     for docs in (documents(spark), empty(spark)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
