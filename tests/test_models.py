@@ -268,6 +268,25 @@ def test_classifier_by_joins_agrees(spark, stub):
         assert np.exp(a[i]) == pytest.approx(np.exp(b[i]), abs=0.05)
 
 
+def test_both_classifier_solvers_agree_at_the_switch(spark, monkeypatch):
+    """Lowering the limit of dense coefficients changes the solver, not the probabilities."""
+    r = np.random.default_rng(5)
+    features = [(i, f"w{f}", float(n)) for i in range(60) for f, n in zip(r.choice(30, 6, False), r.integers(1, 6, 6))]
+    features = spark.createDataFrame(features, "item_id int, feature string, value double")
+    items = spark.range(62).select(F.col("id").cast("int").alias("item_id"))
+    soft = spark.createDataFrame([(i, [0.0, *map(float, r.dirichlet([0.3, 0.3]))]) for i in range(50)], "item_id int, p array<double>")
+    dense = classifier.fit(classifier.sparse_design(features, items, 3), soft, Priors())
+    monkeypatch.setattr(classifier, "MAX_COEFFICIENTS", 10)
+    design = classifier.sparse_design(features, items, 3)
+    assert design.vectors is None
+    joined = classifier.fit(design, soft, Priors())
+    a = {r["item_id"]: r["lp"] for r in dense.scores.collect()}
+    b = {r["item_id"]: r["lp"] for r in joined.scores.collect()}
+    assert set(a) == set(b) == set(range(62))
+    assert max(np.abs(np.exp(a[i]) - np.exp(b[i])).max() for i in a) < 2e-3
+    assert joined.table.count() == len(dense.coefficients[0]) and all(len(x["w"]) == 3 and x["w"][0] == 0 for x in joined.table.collect())
+
+
 def test_absent_classes_keep_a_chance(spark):
     """A class no training row has gets its smoothed share, whatever its place."""
     vectors = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(8)], "item_id int, x array<double>")
