@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from labelmesh.llm.tokens import ByteBpe, once, publish, vocabulary
 
-#: ids of a shard, rounds of replacement, and how often a pair must occur to become a rule
-SHARD_TOKENS, ROUNDS, LEAST = 1 << 19, 5, 6
-#: symbols of a shard fit 16 bits while there are no more than these
+#: ids of a shard, and how often a pair must occur to become a rule
+SHARD_TOKENS, LEAST = 1 << 19, 6
+#: symbols of a shard are stored in 16 bits while there are no more than these, in 32 bits above
 NARROW = 1 << 16
-#: places of a round's lookup table; of pairs that meet in one place the most frequent is replaced
+#: places of a round's lookup table; of pairs that meet in one place the most frequent is replaced, the others in later rounds
 SLOTS = 1 << 18
 
 
@@ -74,7 +74,7 @@ def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * 2654435761 + right * 40503) >> 11) & (SLOTS - 1)
 
 
-def _frequent(symbols: np.ndarray, least: int, room: int) -> np.ndarray:
+def _frequent(symbols: np.ndarray, least: int) -> np.ndarray:
     """Pairs that occur ``least`` times, most frequent first, of which no two can overlap in the text."""
     keys = np.sort((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:].astype(np.uint64))
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -86,8 +86,6 @@ def _frequent(symbols: np.ndarray, least: int, room: int) -> np.ndarray:
     rights: set[int] = set()
     chosen = []
     for key in keys[order].tolist():
-        if len(chosen) == room:
-            break
         left, right = key >> 32, key & 0xFFFFFFFF
         if left in rights or right in lefts or left == right and (left in lefts or right in rights):
             continue
@@ -97,19 +95,16 @@ def _frequent(symbols: np.ndarray, least: int, room: int) -> np.ndarray:
     return np.array(chosen, dtype=np.int64).reshape(-1, 2)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST) -> Grammar:
     """Repeatedly gives the frequent pairs a nonterminal. In one round all pairs are replaced that cannot overlap,
     which is the same as replacing them one after the other; a pair of equal symbols is replaced from the left of
-    each run. Ends when no pair is frequent, after ``rounds``, or when symbols fill 16 bits."""
+    each run. Ends when no pair is frequent, or after ``rounds`` if given."""
     symbols = ids.astype(np.int64)
     rules, lengths, levels = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64), []
     top = max(base, int(symbols.max(initial=0)) + 1)
     base = top
-    for _ in range(rounds):
-        room = NARROW - base - len(rules) if base < NARROW else NARROW
-        if len(symbols) < 2 or room <= 0:
-            break
-        pairs = _frequent(symbols, least, room)
+    while (rounds is None or len(levels) < rounds) and len(symbols) > 1:
+        pairs = _frequent(symbols, least)
         if not len(pairs):
             break
         table = np.full(SLOTS, -1, dtype=np.int32)
@@ -170,7 +165,7 @@ def unpack(row: dict) -> Grammar:
 
 def write_token_files(
     docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS,
-    rounds: int = ROUNDS, least: int = LEAST, key: str = "doc_id", text: str = "text",
+    rounds: int | None = None, least: int = LEAST, key: str = "doc_id", text: str = "text",
 ) -> None:
     """Writes the ids of all texts, ``end_id`` after each, to ``folder`` in ascending key order.
 

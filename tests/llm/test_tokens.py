@@ -145,6 +145,20 @@ def test_grammar_round_trip_and_random_access():
             assert length == len(again.expand(np.array([g.base + int(np.flatnonzero((g.rules == rule).all(1))[0])])))
 
 
+def test_no_frequent_pair_is_left():
+    """With the values that op3 uses: copies, symbols past 16 bits, and pairs that meet in the lookup table."""
+    r = np.random.default_rng(8)
+    copies = np.tile(r.integers(0, 50257, 3000), 40)
+    wide = r.permutation(np.repeat(np.arange(20000), 6))  # more frequent pairs than 16 bits have symbols for
+    for ids in (copies, np.stack((2 * wide, 2 * wide + 1), axis=1).ravel()):
+        g = grammar.compress(ids.astype("<u4"), 50257)
+        _, counts = np.unique((g.symbols[:-1] << 32) | g.symbols[1:], return_counts=True)
+        assert counts.max() < grammar.LEAST
+        again = grammar.unpack(grammar._pack(g))
+        assert (again.expand(again.symbols) == ids).all()
+        assert len(g.symbols) <= len(ids) / 2
+
+
 @pytest.mark.parametrize("shard", [1, 300, 1 << 19])
 def test_token_files_of_awkward_rows(spark, tokenizer, tmp_path, shard):
     docs = documents(spark)
