@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from labelmesh.llm.tokens import ByteBpe, once, publish, vocabulary
+from labelmesh.llm.tokens import AddedBpe, ByteBpe, once, publish, vocabulary
 
 #: ids of a shard, and how often a pair must occur to become a rule
 SHARD_TOKENS, LEAST = 1 << 19, 6
@@ -166,6 +166,7 @@ def unpack(row: dict) -> Grammar:
 def write_token_files(
     docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS,
     rounds: int | None = None, least: int = LEAST, key: str = "doc_id", text: str = "text",
+    added: bool = False,
 ) -> None:
     """Writes the ids of all texts, ``end_id`` after each, to ``folder`` in ascending key order.
 
@@ -173,14 +174,14 @@ def write_token_files(
     shard's whole documents. Keys are dealt by range, so each task writes one run of the order (``part``) and needs
     memory for one shard. Spark's writer commits whole tasks, so a lost executor's shards are written again. Null
     texts have the end id alone, null keys come first, rows that repeat a key are ordered by text, an empty table
-    gives an empty folder.
+    gives an empty folder. With ``added`` the strings of added tokens inside a text give these tokens.
     """
     vocab = publish(docs.sparkSession, path or vocabulary("byte_bpe_50k.json"))
     kept = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_keys", T.ArrayType(kept.schema["key"].dataType)), *SHARD.fields])
 
     def run(batches):
-        bpe = once(ByteBpe, vocab.value)
+        bpe = once(AddedBpe if added else ByteBpe, vocab.value)
         end = np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         names, parts, sizes, held, start, shard = [], [], [], 0, 0, 0

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from labelmesh.llm.shipping import small_batches
-from labelmesh.llm.tokens import ByteBpe, once, publish, vocabulary
+from labelmesh.llm.tokens import AddedBpe, ByteBpe, once, publish, vocabulary
 from labelmesh.runtime import cut
 
 LENGTH = 1024
@@ -79,7 +79,7 @@ class Plan:
 
 
 def measure(
-    docs: DataFrame, path: str | None, end_id: int, length: int, key: str, text: str,
+    docs: DataFrame, path: str | None, end_id: int, length: int, key: str, text: str, added: bool,
 ) -> DataFrame:
     """One row per document, no shuffle: key, tokens, checksum of every piece, and its place among equals in its task.
 
@@ -92,7 +92,7 @@ def measure(
               .add("full_before", "long").add("last", "integer").add("twin", "long"))
 
     def run(batches):
-        bpe = once(ByteBpe, vocab.value)
+        bpe = once(AddedBpe if added else ByteBpe, vocab.value)
         end = np.array([end_id], dtype="<u4").tobytes()
         part, full, seen = TaskContext.get().partitionId(), 0, [0] * length
         for batch in batches:
@@ -118,6 +118,7 @@ def measure(
 
 def pack_documents(
     docs: DataFrame, path: str | None = None, end_id: int = 0, length: int = LENGTH, key: str = "doc_id", text: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece: key, ``start`` and ``length`` in its document's ids, checksum, ``sequence_id``, ``offset``.
 
@@ -128,11 +129,12 @@ def pack_documents(
     is padded to: ``length``, or nothing more where the ids are a power of two.
 
     Null and empty texts have the end id alone; null keys and repeated rows are documents like any other; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. With ``added`` the strings of added tokens inside a text give these
+    tokens.
     """
     spark = docs.sparkSession
     with small_batches(spark):
-        measured = cut(measure(docs, path, end_id, length, key, text), "packing-measured")
+        measured = cut(measure(docs, path, end_id, length, key, text, added), "packing-measured")
     counts = measured.groupBy("last", "part").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("crcs") - F.when(F.col("last") > 0, 1).otherwise(0)).alias("_full"))
     counts = cut(counts, "packing-counts")
     histogram = {r["last"]: r["n"] for r in counts.filter("last > 0").groupBy("last").agg(F.sum("_n").alias("n")).collect()}

@@ -64,14 +64,14 @@ FROM turns GROUP BY conv_id
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of all documents written to grammar-compressed files and read back."""
     folder = shared_path(spark, "token-files")
-    grammar.write_token_files(_read(spark, sf, "documents"), folder)
+    grammar.write_token_files(_read(spark, sf, "documents"), folder, added=True)
     return grammar.document_checksums(grammar.read_token_files(spark, folder))
 
 
 @_query
 def op6_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents and the sequences that hold them."""
-    return packing.pack_documents(_read(spark, sf, "documents"))
+    return packing.pack_documents(_read(spark, sf, "documents"), added=True)
 
 
 @_query

@@ -137,6 +137,21 @@ class ByteBpe:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
 
+class AddedBpe(ByteBpe):
+    """The library's plain call: strings of added tokens inside a text give these tokens' ids."""
+
+    def __init__(self, blob: bytes):
+        super().__init__(blob)
+        self.whole = type(self.tokenizer).from_buffer(blob)
+        added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+
+    def encode(self, text: str | None) -> bytes:
+        if text and self.added and self.added.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return super().encode(text)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others for
     the letters from U+0100 on in ascending order."""

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from awkward import TEXTS, documents, empty
 from labelmesh.llm import chat, grammar, packing, queries, token_counts
@@ -189,6 +190,24 @@ def test_op3_over_the_table(spark, sf, tokenizer):
         start += n
 
 
+def test_op3_and_op6_follow_the_plain_call(spark, tmp_path):
+    """Strings of added tokens inside a text give these tokens, as an unchanged tokenizer does."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BYTES)
+    docs = documents(spark).withColumn("doc_id", F.monotonically_increasing_id()).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(spark.read.parquet(f"{tmp_path}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    assert any(50256 in ids_of(plain, r.text, 2)[:-1] for r in rows)
+    got = sorted(tuple(r) for r in queries.QUERIES["op3_token_files"](spark, str(tmp_path)).collect())
+    start = 0
+    for (doc, begin, n, code), r in zip(got, rows, strict=True):
+        ids = ids_of(plain, r.text, 2)
+        assert (doc, begin, n, code) == (r.doc_id, start, len(ids), crc(ids))
+        start += n
+    check_packing(queries.QUERIES["op6_pack_sequences"](spark, str(tmp_path)).collect(), rows, plain, 1024)
+
+
 def check_packing(rows, docs, tokenizer, length):
     """Every id in one piece, sequences gapless and not too long; returns the share of padding."""
     want = Counter()
