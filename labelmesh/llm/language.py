@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from labelmesh.llm.shipping import ship
+from labelmesh.runtime import cut, fits_broadcast
 
 #: hashed n-grams (n = 1, 2, 3) of letters and word ends
 DIMENSIONS, ORDERS = 4096, (1, 2, 3)
 #: characters whose n-grams are counted in one go
 BLOCK = 1 << 20
-#: labelled rows that the centroids are fitted on, shared evenly by the languages; the most languages
-SAMPLE_ROWS, MOST_LANGUAGES, CENTROIDS = 1600, 200, 3
+#: labelled rows that the centroids are fitted on, shared evenly by the languages; rows of a language that the sample grows by
+SAMPLE_ROWS, LANGUAGE_ROWS, CENTROIDS = 1600, 8, 3
 #: a text of at least so many n-grams is rejected if its cosine is below this share of the lowest in its centroid's sample
 REACH, LEAST_NGRAMS = 0.5, 400
 UNKNOWN = "und"
@@ -77,7 +78,7 @@ class Model:
         if not len(self.languages):
             return [(UNKNOWN, 0.0, True)] * len(counts)
         cosine = self.vectors(counts) @ self.centroids.T
-        best = np.stack([cosine[:, self.of == i].max(axis=1) for i in range(len(self.languages))], axis=1)
+        best = np.maximum.reduceat(cosine, np.searchsorted(self.of, np.arange(len(self.languages))), axis=1)
         nearest, first = cosine.argmax(axis=1), best.argmax(axis=1)
         power = np.exp(20 * (best - best.max(axis=1, keepdims=True)))
         score = power.max(axis=1) / power.sum(axis=1)
@@ -139,18 +140,23 @@ def _counted(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on at most ``sample_rows`` labelled rows (twice as many where rows repeat), the same on every run."""
+    """Fits on about ``sample_rows`` labelled rows, or ``LANGUAGE_ROWS`` a language if these are more, the same on every run.
+
+    Every language has a row at least; rows equal in key, text and language count once.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return fit_counts(np.zeros((0, DIMENSIONS)), [])
-    each = sample_rows / len(sizes)
     order = F.xxhash64(F.lit("language"), "key", "text")
-    draw = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, min(1.0, each / r.n)) for r in sizes), F.lit(0.0))
-    sample = rows.filter(draw < share).withColumn("order", order).orderBy("order", "key", "lang").limit(2 * sample_rows)
+    rows = rows.withColumn("order", order).withColumn("draw", F.pmod("order", F.lit(1 << 30)) / float(1 << 30))
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")), "language-sizes")
+    languages = sizes.count()
+    if not languages:
+        return fit_counts(np.zeros((0, DIMENSIONS)), [])
+    each = max(sample_rows / languages, LANGUAGE_ROWS)
+    sizes = F.broadcast(sizes) if fits_broadcast(languages, 100) else sizes
+    sample = rows.join(sizes, "lang").filter((F.col("draw") < F.lit(float(each)) / F.col("n")) | (F.col("draw") == F.col("least")))
+    sample = cut(sample.select("lang", "order", "text").dropDuplicates(["lang", "order"]), "language-sample")
     found = _counted(sample, ["lang", "order"]).toArrow()
     langs = found.column("lang").to_pylist()
     rank = np.lexsort((np.array(langs), np.array(found.column("order").to_pylist()))) if langs else []

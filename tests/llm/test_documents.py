@@ -1,5 +1,6 @@
 """Mixing, quality, language, toxicity, near copies, embeddings and the pipeline against plain versions."""
 
+import binascii
 import math
 import random
 import re
@@ -111,6 +112,20 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in language.identify_languages(unlabelled).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 200, rare ones beside a common one and a row that repeats often."""
+    r = random.Random(9)
+    words = {i: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5)] for i in range(230)}
+    rows = [(1000 * i + n, " ".join(r.choice(words[i]) for _ in range(60)), f"l{i:03}") for i in range(230) for n in range(30 if i == 0 else 4)]
+    rows += [(None, rows[0][1], "l000")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    used = {lang for key, _, lang in rows if key is not None and binascii.crc32(str(key).encode()) % 3 != 1}
+    assert len(used) > 220 and set(model.languages) == used
+    got = model.predict(np.stack([language.count_ngrams(text) for _, text, _ in rows[:949]]))
+    assert all(g[0] == lang for g, (_, _, lang) in zip(got, rows) if lang in used)
+
+
 def test_ngram_counts_do_not_depend_on_blocks(monkeypatch):
     text = "Ünïted  stätes, of the! 12 " * 50
     whole = language.count_ngrams(text)
