@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmesh.llm import chat, divergence, grammar, jaccard, language, mixing, packing, subspace, token_counts, toxicity
+from labelmesh.llm import boosting, chat, divergence, grammar, jaccard, language, lexical, mixing, packing, periods, subspace, token_counts, toxicity
 from labelmesh.runtime import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,41 @@ FROM v JOIN r ON r.x = v.vec_id GROUP BY vec_id
 def op9_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return jaccard.jaccard_classes(_read(spark, sf, "documents"))
+
+
+@_query
+def op11_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    return boosting.score_quality(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
+@_query
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), g AS (SELECT count(*)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0
+), m AS (SELECT r, doc_id, 100 - 75 + (75 * len(t) * g.n) // g.l AS m FROM d, g WHERE len(t) > 0
+), p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL
+), f AS (SELECT term, floor(1000 * ln((2 * any_value(g.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term
+), a AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL
+), s AS (
+  SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM a JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of every document, those whose end is made periodic among them."""
+    return periods.periodic_runs(_read(spark, sf, "documents"), periods.planted)

@@ -33,10 +33,10 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     """Smaller exchanges with Python workers for what is run (not only planned) inside."""
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
