@@ -42,8 +42,8 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(lang).alias("lang"))
     rows = rows.withColumn("words", _words(F.col("text")))
-    rows = rows.withColumn("windows", F.when(F.size("words") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))))
+    rows = rows.withColumn("hashes", F.when(F.size("words") >= WINDOW, F.transform("words", lambda w: F.xxhash64(w))))
+    rows = rows.withColumn("windows", F.transform(F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) != "")
     common = F.array_join(F.transform("words", lambda w: F.when(F.length(w) > LONGEST, OTHER).otherwise(F.element_at(
         F.array(F.lit(OTHER), *map(F.lit, LETTERS)), F.array_position(F.array(*map(F.lit, WORDS)), F.lower(w)).cast("int") + 1))), "")
@@ -71,10 +71,15 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     return rows.withColumn("word_chars", total - F.element_at("classes", space)).withColumn("n_symbols", F.element_at("classes", symbol))
 
 
-def _share(counts: Column) -> Column:
-    """Counts as shares; nothing counted gives zeros."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(counts, lambda c: F.when(total > 0, c / total).otherwise(0.0))
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
+
+
+def _shares(rows: DataFrame, **counts: str) -> DataFrame:
+    """Adds columns of counts as shares; nothing counted gives zeros. Each total is a column of its own, summed once."""
+    totals = rows.withColumns({f"_{name}_total": _total(F.col(column)) for name, column in counts.items()})
+    share = lambda name: lambda c: F.when(F.col(f"_{name}_total") > 0, c / F.col(f"_{name}_total")).otherwise(0.0)
+    return totals.withColumns({name: F.transform(F.col(column).cast("array<double>"), share(name)) for name, column in counts.items()})
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -101,13 +106,11 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     group = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
     rows = cut(base_counts(docs, key, text, lang).withColumn("base_failed", failed).withColumn("group", group), "quality-counts")
     references = rows.filter(~F.col("base_failed")).groupBy("group").agg(
-        _totals("classes", len(CLASSES) + 1).alias("class_reference"), _totals("common", len(WORDS) + 1).alias("word_reference")).select(
-        "group", _share(F.col("class_reference")).alias("class_reference"), _share(F.col("word_reference")).alias("word_reference"))
-    judged = rows.join(F.broadcast(references), "group", "left")
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    judged = judged.withColumn("class_distance", F.when(chars >= LEAST_CHARS, distance(_share(double("classes")), F.col("class_reference")))
-                               ).withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS, distance(_share(double("common")), F.col("word_reference"))))
+        _totals("classes", len(CLASSES) + 1).alias("class_sums"), _totals("common", len(WORDS) + 1).alias("word_sums"))
+    references = _shares(references, class_reference="class_sums", word_reference="word_sums").select("group", "class_reference", "word_reference")
+    judged = _shares(rows, class_shares="classes", word_shares="common").join(F.broadcast(references), "group", "left")
+    judged = judged.withColumn("class_distance", F.when(F.col("_class_shares_total") >= LEAST_CHARS, distance(F.col("class_shares"), F.col("class_reference")))
+                               ).withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS, distance(F.col("word_shares"), F.col("word_reference"))))
     far = F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False)) | F.coalesce(F.col("word_distance") > WORD_LIMIT, F.lit(False))
     return judged.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
