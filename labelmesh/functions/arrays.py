@@ -87,6 +87,24 @@ def argmax(column: str) -> Column:
     return F.expr(f"cast(array_position({column}, array_max({column})) - 1 AS int)")
 
 
+#: Longest array whose running sums are written out one by one.
+UNROLLED = 24
+
+
+def draw(df: DataFrame, weights: str, uniform: str, size: int, out: str) -> DataFrame:
+    """Adds ``out``, an index drawn from an array column of weights by a number in (0, 1): where their running sum passes its share."""
+    if size > UNROLLED:
+        start = "named_struct('s', 0D, 'i', 0)"
+        passed = "(a, x) -> named_struct('s', a.s + x, 'i', a.i + CASE WHEN a.s + x <= _g THEN 1 ELSE 0 END)"
+        staged = df.withColumn("_g", F.expr(f"({uniform}) * aggregate({weights}, 0D, (a, x) -> a + x)"))
+        pick = f"least(aggregate({weights}, {start}, {passed}).i, {size - 1})"
+    else:
+        w = cells(weights, size)
+        staged = df.withColumn("_g", F.expr(f"({uniform}) * {total(w)}"))
+        pick = " ".join(["CASE", *(f"WHEN _g < {total(w[:i + 1])} THEN {i}" for i in range(size - 1)), "WHEN _g IS NOT NULL THEN", str(size - 1), "END"])
+    return staged.withColumn(out, F.expr(f"cast({pick} AS int)")).drop("_g")
+
+
 def long_form(df: DataFrame, column: str, index: str, value: str) -> DataFrame:
     keep = [c for c in df.columns if c != column]
     return df.select(*keep, F.posexplode(column).alias(index, value))

@@ -52,7 +52,7 @@ class MeasurementModel:
 
     @classmethod
     def build(cls, measurements: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
-              priors: Priors = Priors(), trusted=None, pre_scaled: bool = False, id_type: str = "bigint",
+              priors: Priors = Priors(), trusted=None, pre_scaled: bool = False,
               more_kinds: dict[str, Kind] | None = None) -> "MeasurementModel":
         """``trusted``: annotator id with a fixed, very small noise; None for no such annotator.
 
@@ -71,7 +71,7 @@ class MeasurementModel:
         if kinds & {ms.PREDICATE, ms.LOCATION}:
             rest = measurements.filter(F.col("kind").isin(ms.PREDICATE, ms.LOCATION))
             words = features if ms.PREDICATE in kinds else None
-            targets = cut(ms.measurement_targets(rest, items, words, id_type), "targets")
+            targets = cut(ms.measurement_targets(rest, items, words), "targets")
             scaled = ms.scale_measurements(targets, rest, ms.measurement_ranges(targets, rest, words), pre_scaled)
             coupled = cut(scaled.select("meas_id", "annotator_id", "label", "item_id", "sigma", "tau"), "coupled")
         for name, kind in (more_kinds or {}).items():
@@ -230,8 +230,8 @@ def annotator_variance(noise: DataFrame) -> DataFrame:
 
 def measurement_vb(measurements: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
                    priors: Priors = Priors(), iterations: int = 10, rho: float | None = None, trusted=None,
-                   pre_scaled: bool = False, halves: bool = False, id_type: str = "bigint") -> MeasurementModel:
-    model = MeasurementModel.build(measurements, items, n_labels, features, priors, trusted, pre_scaled, id_type)
+                   pre_scaled: bool = False, halves: bool = False) -> MeasurementModel:
+    model = MeasurementModel.build(measurements, items, n_labels, features, priors, trusted, pre_scaled)
     for _ in range(iterations):
         if halves:
             model.step(rho, 0).step(rho, 1)

@@ -29,6 +29,18 @@ class PointModel:
     spread: Spread | None = None
 
 
+@dataclass
+class ClassifierModel:
+    """Coefficients by feature with intercepts, and log confusion per (annotator_id, label) unless annotations are features."""
+
+    n_labels: int
+    intercepts: list[float]
+    weights: DataFrame
+    labels: DataFrame | None
+    unknown: list[list[float]]
+    spread: Spread | None = None
+
+
 def training_spread(soft: DataFrame, n_labels: int, rows_per_split: int | None = None) -> Spread:
     """Split of the (annotator, label) keys that are hot in the training annotations, from their soft counts.
 
@@ -60,11 +72,8 @@ def log_words(vocab: DataFrame, n_labels: int, n_features: int, priors: Priors)
 def point_model(fit: Fit) -> PointModel:
     k = fit.n_labels
     total = sum(fit.class_prior)
-    diag, off = fit.priors.annotator_cell(k)
-    row = diag + (k - 1) * off
-    unknown = [[math.log((diag if t == a else off) / row) for t in range(k)] for a in range(k)]
     labels = cut(log_confusion(fit.confusion(), k), "label_weights")
-    model = PointModel(k, [math.log(v / total) for v in fit.class_prior], labels, unknown, spread=training_spread(fit.soft, k))
+    model = PointModel(k, [math.log(v / total) for v in fit.class_prior], labels, _log_rows(fit.priors, k, math.log), spread=training_spread(fit.soft, k))
     if fit.vocab is not None:
         model.words = log_words(fit.vocab, k, fit.n_features, fit.priors)
     if fit.machine_cells is not None:
@@ -76,15 +85,8 @@ def point_model(fit: Fit) -> PointModel:
 def expected_model(fit: Fit) -> PointModel:
     """Like :func:`point_model` with expected log parameters under the variational posterior."""
     k = fit.n_labels
-    diag, off = fit.priors.annotator_cell(k)
-    row = digamma_value(diag + (k - 1) * off)
-    unknown = [[digamma_value(diag if t == a else off) - row for t in range(k)] for a in range(k)]
-    grid = fit.confusion()
-    staged = grid.withColumn("t", F.expr("sum(value) OVER (PARTITION BY annotator_id, truth)"))
-    logs = staged.withColumn("v", F.expr(f"{digamma('value')} - {digamma('t')}"))
-    w = arrays.array([f"max(CASE WHEN truth = {c} THEN v END)" for c in range(k)])
-    labels = cut(logs.groupBy("annotator_id", "label").agg(F.expr(w).alias("w")), "label_weights")
-    model = PointModel(k, prior_scores(fit.class_prior), labels, unknown, spread=training_spread(fit.soft, k))
+    labels = cut(_expected_log_confusion(fit.confusion(), k), "label_weights")
+    model = PointModel(k, prior_scores(fit.class_prior), labels, _log_rows(fit.priors, k, digamma_value), spread=training_spread(fit.soft, k))
     if fit.vocab is not None:
         model.words = vocab_weights(fit.vocab, k, fit.n_features, fit.priors)
     if fit.machine_cells is not None:
@@ -92,6 +94,88 @@ def expected_model(fit: Fit) -> PointModel:
     return model
 
 
+def _log_rows(priors: Priors, k: int, log) -> list[list[float]]:
+    """Rows by label, entries by truth, of the prior confusion's ``log``."""
+    diag, off = priors.annotator_cell(k)
+    row = log(diag + (k - 1) * off)
+    return [[log(diag if t == a else off) - row for t in range(k)] for a in range(k)]
+
+
+def _expected_log_confusion(grid: DataFrame, k: int) -> DataFrame:
+    """(annotator_id, label, w): digamma of the cell less that of its row, by truth."""
+    staged = grid.withColumn("t", F.expr("sum(value) OVER (PARTITION BY annotator_id, truth)"))
+    logs = staged.withColumn("v", F.expr(f"{digamma('value')} - {digamma('t')}"))
+    return logs.groupBy("annotator_id", "label").agg(F.expr(arrays.array([f"max(CASE WHEN truth = {c} THEN v END)" for c in range(k)])).alias("w"))
+
+
+def classifier_model(fit) -> ClassifierModel:
+    """What a classifier-backed fit (:class:`labelmesh.models.loglinear.LogLinearFit`) says about items it has not seen."""
+    from labelmesh.models import loglinear
+
+    k, labels, unknown = fit.n_labels, None, []
+    if fit.kind == loglinear.EXPECTED:
+        labels, unknown = cut(_expected_log_confusion(fit.confusion, k), "label_weights"), _log_rows(fit.priors, k, digamma_value)
+    elif fit.kind == loglinear.POINT:
+        labels, unknown = cut(log_confusion(fit.confusion, k), "label_weights"), _log_rows(fit.priors, k, math.log)
+    return ClassifierModel(k, fit.intercepts, fit.weights, labels, unknown, training_spread(fit.soft, k))
+
+
+def feature_scores(features: DataFrame, model: ClassifierModel) -> DataFrame:
+    """Per feature row (item_id, e): its sparse product with the coefficients. Features the model lacks are skipped."""
+    k, rows = model.n_labels, model.weights.count()
+    if joins.fits_broadcast(rows, 8 * k + 64):
+        joined = features.join(F.broadcast(model.weights), "feature")
+    elif features.isStreaming:
+        joined = features.join(model.weights, "feature")
+    else:
+        joined = Spread.plan(features, ["feature"], ["item_id"]).join(features, model.weights)
+    return joined.select("item_id", arrays.scaled("w", "value", k).alias("e"))
+
+
+def evidence_rows(model: PointModel | ClassifierModel, annotations: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """(item_id, e) rows, in batch or arriving, whose sums per item are added to :func:`offsets`."""
+    from labelmesh.models.loglinear import all_features, annotation_features
+
+    parts = []
+    if isinstance(model, PointModel):
+        if model.log_mu is not None:
+            raise ValueError("a model with two classes has no additive evidence: use score_items")
+        if features is not None and model.words is not None:
+            parts.append(joins.feature_terms(features, model.words, model.n_labels))
+    elif model.labels is None:
+        every = all_features(annotations, features) if annotations is not None and features is not None else None
+        words = every if every is not None else annotation_features(annotations) if features is None else features.withColumn(
+            "feature", F.concat(F.lit("word:"), F.col("feature").cast("string")))
+        return feature_scores(words, model)
+    elif features is not None:
+        parts.append(feature_scores(features, model))
+    if annotations is not None:
+        parts.append(annotation_scores(annotations, model))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def offsets(model: PointModel | ClassifierModel) -> list[float]:
+    """Log weight of each class before any evidence."""
+    return model.log_theta if isinstance(model, PointModel) else model.intercepts
+
+
+def score_evidence(summed: DataFrame, model: PointModel | ClassifierModel) -> DataFrame:
+    """(item_id, p) from (item_id, evidence)."""
+    k = model.n_labels
+    scores = [f"{arrays.num(t)} + coalesce({e}, 0D)" for t, e in zip(offsets(model), arrays.cells("evidence", k))]
+    return arrays.softmax(summed.select("item_id", F.expr(arrays.array(scores)).alias("_s")), "_s", "p", k)
+
+
+def score_items_classifier(features: DataFrame, model: ClassifierModel, items: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
+    """(item_id, p) of new items under a classifier-backed model; an item with neither features nor annotations gets the
+    intercepts alone, one without annotations the classifier alone."""
+    summed = joins.sum_terms(evidence_rows(model, annotations, features), model.n_labels)
+    return score_evidence(items.select("item_id").distinct().join(summed, "item_id", "left"), model)
+
+
 #: alternations between the two classes of a new item (fixed value)
 ALTERNATIONS = 10
 
@@ -120,7 +204,7 @@ def score_items_expected(annotations: DataFrame, fit: Fit, items: DataFrame | No
     return now.select("item_id", F.expr(f"{turns}.g").alias("p"))
 
 
-def annotation_scores(annotations: DataFrame, model: PointModel) -> DataFrame:
+def annotation_scores(annotations: DataFrame, model: PointModel | ClassifierModel) -> DataFrame:
     """Per annotation row (item_id, e). Annotators the model has not seen count with the prior confusion."""
     k = model.n_labels
     rows = model.labels.count()

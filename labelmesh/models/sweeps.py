@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelmesh.functions import arrays, rand
 from labelmesh.functions.special import lgamma_ratio
-from labelmesh.models import bounds
+from labelmesh.models import bounds, tuning
 from labelmesh.models.corpus import Corpus
 from labelmesh.models.scoring import PointModel, log_confusion, log_words
 from labelmesh.operators import counts, joins
@@ -183,6 +183,18 @@ class Sweeper:
         self.machine_seen.clear()
         self.state = self.rolling.push(self.state.withColumns({f"{v}_seen": self._one_more(v, fresh=True) for v in ("y", "m")}))
 
+    def restart_tallies(self) -> None:
+        """Marginal tallies start at nothing again."""
+        self.machine_seen.clear()
+        nothing = F.expr(arrays.array(["0L"] * self.corpus.n_labels))
+        self.state = self.rolling.push(self.state.withColumns({"y_seen": nothing, "m_seen": nothing}))
+
+    def changed(self, *variables: str) -> int:
+        """Items whose last sweep gave them another value."""
+        before = self.rolling.generations[-2][0].select("item_id", *(F.col(v).alias(f"_{v}") for v in variables))
+        other = " OR ".join(f"{v} <> _{v}" for v in variables)
+        return self.state.join(before, "item_id").filter(other).count()
+
     def _one_more(self, variable: str, fresh: bool = False) -> Column:
         """The tallies of y or m with the current value counted once more (or alone)."""
         before = "0L" if fresh else "{0}_seen[{1}]"
@@ -271,9 +283,23 @@ class Sweeper:
             model.log_mu = [[math.log(v) for v in mean[a * k:(a + 1) * k]] for a in range(k)]
         return model
 
+    def hard_confusion(self) -> DataFrame:
+        """(annotator_id, label, c): weighted counts by the items' current labels, without prior."""
+        return self.corpus.soft_confusion(self._hard("y"))
+
+    def tune(self) -> None:
+        """Re-estimates b_theta, (b_gamma, c_gamma) and, with words, b_phi from the current counts."""
+        c, k = self.corpus, self.corpus.n_labels
+        tuned = tuning.with_confusion(self.priors, k, self.hard_confusion())
+        tuned = tuned.with_(b_theta=tuning.symmetric(joins.class_sums(self._hard("y"), k), k, self.priors.b_theta))
+        if self.kind != ITEM:
+            vocab = cut(c.soft_vocab(self._hard("y" if self.kind == MOM else "m")), "tuning_vocab")
+            tuned = tuned.with_(b_phi=tuning.vocabulary(vocab, k, c.n_features, self.priors.b_phi))
+        self.priors = tuned
+
     def confusion(self) -> DataFrame:
         c = self.corpus
-        soft = c.soft_confusion(self._hard("y"))
+        soft = self.hard_confusion()
         return counts.confusion_grid(soft, c.annotators(), c.n_labels, *self.priors.annotator_cell(c.n_labels))
 
     def log_joint(self) -> float:
@@ -297,24 +323,26 @@ class Step:
     def __post_init__(self):
         if self.operation not in ("sample", "maximize"):
             raise ValueError(f"cannot {self.operation}: an operation is sample or maximize")
-        if self.variable not in ("y", "m", "all"):
-            raise ValueError(f"cannot {self.operation} unknown variable {self.variable}")
+        if self.variable not in ("y", "m", "z", "b", "all"):
+            raise ValueError(f"no variable {self.variable}: a step moves y, m, z (topics), b (their classifier) or all")
 
 
 #: the log joint is reported every this many sampling sweeps (fixed value)
 JOINT_EVERY = 25
 
 
-def train(run: Sweeper, schedule: list[Step]) -> list[dict]:
-    """Run the schedule; returns the log joint trace."""
+def train(run: Sweeper, schedule: list[Step], tune_every: int = 0) -> list[dict]:
+    """Run the schedule; returns the log joint trace. ``tune_every``: sweeps after which priors are re-estimated (0: never)."""
     trace = []
     for step in schedule:
+        if step.variable in ("z", "b"):
+            raise ValueError(f"no variable {step.variable} here: label models have y, m or all")
         if step.operation == "sample":
             run.set_temperature(step.temperature)
         for i in range(step.iterations):
             run.sweep(step.variable, sample=step.operation == "sample")
+            if tune_every and run.sweeps % tune_every == 0:
+                run.tune()
             if step.operation == "maximize" or i % JOINT_EVERY == 0:
                 trace.append({"step": step.operation, "variable": step.variable, "iteration": i, "log_joint": run.log_joint()})
     return trace
-
-

@@ -1,19 +1,29 @@
 """Prior strengths by maximum a posteriori, as fixed-point steps over aggregated counts.
 
-Each step is one aggregate over a count table; only its sums return to the driver. Both strengths carry a
-Gamma(2, 2) hyper-prior.
+Both strengths carry a Gamma(2, 2) hyper-prior. Counts of hard assignments are whole numbers, so they are first counted
+themselves: a histogram says how many cells, and how many draws in all, have each count. A step then costs the number of
+distinct counts, whatever the number of documents; histograms of ordinary size are iterated on the driver. Soft counts
+repeat less; their steps aggregate the count table.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from labelmesh.functions import arrays
 from labelmesh.functions.special import digamma, digamma_value
 from labelmesh.priors import Priors
+from labelmesh.runtime import cut
 
 #: Gamma hyper-prior shape and rate, relative stop (fixed values)
 SHAPE, RATE, STOP = 2.0, 2.0, 1e-4
+#: relative stop and steps where a step costs a histogram on the driver
+EXACT, EXACT_STEPS = 1e-10, 5000
+#: most histogram rows that are iterated on the driver
+DRIVER_ROWS = 200_000
 
 
 def symmetric_step(rows: DataFrame, n_labels: int, alpha: float) -> float:
@@ -28,20 +38,18 @@ def symmetric_step(rows: DataFrame, n_labels: int, alpha: float) -> float:
     return (SHAPE - 1.0 + alpha * up) / (RATE + n_labels * down)
 
 
-def _accelerated(step, start: list[float], max_steps: int) -> list[float]:
+def _accelerated(step, start: list[float], max_steps: int, stop: float = STOP) -> list[float]:
     """Fixed point of ``step`` on a few positive scalars.
 
     After every (dimension + 1) plain steps their logs are combined so that the linear part of the error
     cancels (minimal polynomial extrapolation); each step is a pass over the count table, so few matter.
     """
-    import numpy as np
-
     size, done = len(start), 0
     path = [np.log(start)]
     while done < max_steps:
         path.append(np.log(step(list(np.exp(path[-1])))))
         done += 1
-        if np.max(np.abs(path[-1] - path[-2])) <= STOP:
+        if np.max(np.abs(path[-1] - path[-2])) <= stop:
             break
         if len(path) == size + 2:
             moves = np.diff(path, axis=0)
@@ -54,8 +62,107 @@ def _accelerated(step, start: list[float], max_steps: int) -> list[float]:
     return [float(v) for v in np.exp(path[-1])]
 
 
-def symmetric(rows: DataFrame, n_labels: int, alpha: float, max_steps: int = 100) -> float:
-    return _accelerated(lambda x: [symmetric_step(rows, n_labels, x[0])], [alpha], max_steps)[0]
+# -- histograms ---------------------------------------------------------------------------------------
+
+
+@dataclass
+class Histogram:
+    """(kind, value, n): how often a count occurs, among cells (of one or more kinds) and among draws' totals."""
+
+    table: DataFrame
+    rows: int
+    held: dict[str, tuple[np.ndarray, np.ndarray]] | None = None
+
+    @classmethod
+    def of(cls, counted: DataFrame) -> "Histogram":
+        """``counted``: (e ARRAY<STRUCT<kind, value>>) per draw. Zeros do not matter to any sum here."""
+        table = counted.select(F.explode("e").alias("e")).filter("e.value > 0").groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
+        table = cut(table, "histogram")
+        out = cls(table, table.count())
+        if out.rows <= DRIVER_ROWS:
+            rows = table.toPandas()
+            out.held = {kind: (part["value"].to_numpy(np.float64), part["n"].to_numpy(np.float64)) for kind, part in rows.groupby("kind")}
+        return out
+
+    def excess(self, **strengths: float) -> dict[str, float]:
+        """For each kind the sum over its counts of digamma(count + strength) - digamma(strength)."""
+        base = {kind: digamma_value(a) for kind, a in strengths.items()}
+        if self.held is not None:
+            none = (np.empty(0), np.empty(0))
+            return {kind: float((n * (digamma_values(v + a) - base[kind])).sum()) for kind, a in strengths.items() for v, n in [self.held.get(kind, none)]}
+        gain = lambda kind, a: digamma(f"(value + {arrays.num(a)})") + f" - {arrays.num(base[kind])}"
+        row = self.table.agg(*(F.expr(f"coalesce(sum(CASE WHEN kind = '{kind}' THEN n * ({gain(kind, a)}) END), 0D)").alias(kind)
+                               for kind, a in strengths.items())).first()
+        return row.asDict()
+
+    @property
+    def effort(self) -> tuple[int, float]:
+        """Steps and stop of an iteration: exact where a step costs nothing."""
+        return (EXACT_STEPS, EXACT) if self.held is not None else (100, STOP)
+
+
+def digamma_values(x: np.ndarray) -> np.ndarray:
+    """:func:`digamma_value` of every element."""
+    z = x + 6.0
+    r = 1.0 / (z * z)
+    series = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r * (1 / 132)))))
+    return np.log(z) - 0.5 / z - series - sum(1.0 / (x + i) for i in range(6))
+
+
+def _cells(kind: str, column: str) -> str:
+    return f"transform({column}, x -> named_struct('kind', '{kind}', 'value', cast(x AS double)))"
+
+
+def _total(column: str, size: int) -> str:
+    return f"array(named_struct('kind', 'total', 'value', {arrays.total(arrays.cells(column, size))}))"
+
+
+def symmetric(rows: DataFrame, n_labels: int, alpha: float) -> float:
+    """MAP strength of a symmetric Dirichlet-multinomial. ``rows``: (c ARRAY) of counts, one per draw."""
+    seen = Histogram.of(rows.select(F.expr(f"concat({_cells('cell', 'c')}, {_total('c', n_labels)})").alias("e")))
+
+    def step(x: list[float]) -> list[float]:
+        sums = seen.excess(cell=x[0], total=n_labels * x[0])
+        return [(SHAPE - 1.0 + x[0] * sums["cell"]) / (RATE + n_labels * sums["total"])]
+
+    return _accelerated(step, [alpha], *seen.effort)[0]
+
+
+def vocabulary(vocab: DataFrame, n_classes: int, n_features: int, b_phi: float) -> float:
+    """MAP b_phi. ``vocab``: (c ARRAY by class) per word; each class is a draw over all words, so the totals are few."""
+    seen = Histogram.of(vocab.select(F.expr(_cells("cell", "c")).alias("e")))
+    totals = [t or 0.0 for t in vocab.agg(arrays.sum_arrays("c", n_classes).alias("t")).first()["t"]]
+
+    def step(x: list[float]) -> list[float]:
+        whole = n_features * x[0]
+        down = sum(digamma_value(t + whole) - digamma_value(whole) for t in totals)
+        return [(SHAPE - 1.0 + x[0] * seen.excess(cell=x[0])["cell"]) / (RATE + n_features * down)]
+
+    return _accelerated(step, [b_phi], *seen.effort)[0]
+
+
+def hard_confusion(rows: DataFrame, n_labels: int, diag: float, off: float) -> tuple[float, float]:
+    """MAP (diagonal, off-diagonal) strengths shared by all rows (truth, c ARRAY over labels)."""
+    kinds = "transform(c, (x, i) -> named_struct('kind', CASE WHEN i = truth THEN 'diag' ELSE 'off' END, 'value', cast(x AS double)))"
+    seen = Histogram.of(rows.select(F.expr(f"concat({kinds}, {_total('c', n_labels)})").alias("e")))
+
+    def step(x: list[float]) -> list[float]:
+        sums = seen.excess(diag=x[0], off=x[1], total=x[0] + (n_labels - 1) * x[1])
+        return [(SHAPE - 1.0 + x[0] * sums["diag"]) / (RATE + sums["total"]),
+                (SHAPE - 1.0 + x[1] * sums["off"]) / (RATE + (n_labels - 1) * sums["total"])]
+
+    found = _accelerated(step, [diag, off], *seen.effort)
+    return found[0], found[1]
+
+
+def with_confusion(priors: Priors, n_labels: int, cells: DataFrame) -> Priors:
+    """``priors`` with (b_gamma, c_gamma) tuned to hard counts (annotator_id, label, c by truth)."""
+    diag, off = hard_confusion(confusion_rows(cells, n_labels), n_labels, *priors.annotator_cell(n_labels))
+    strength = diag + (n_labels - 1) * off
+    return priors.with_(b_gamma=diag / strength, c_gamma=strength)
+
+
+# -- soft counts --------------------------------------------------------------------------------------
 
 
 def confusion_step(rows: DataFrame, n_labels: int, diag: float, off: float) -> tuple[float, float]:
@@ -77,8 +184,8 @@ def confusion_step(rows: DataFrame, n_labels: int, diag: float, off: float) -> t
     )
 
 
-def confusion(rows: DataFrame, n_labels: int, diag: float, off: float, max_steps: int = 100) -> tuple[float, float]:
-    found = _accelerated(lambda x: list(confusion_step(rows, n_labels, *x)), [diag, off], max_steps)
+def confusion(rows: DataFrame, n_labels: int, diag: float, off: float, max_steps: int = 100, stop: float = STOP) -> tuple[float, float]:
+    found = _accelerated(lambda x: list(confusion_step(rows, n_labels, *x)), [diag, off], max_steps, stop)
     return found[0], found[1]
 
 
@@ -100,31 +207,38 @@ def vocab_step(vocab: DataFrame, n_labels: int, n_features: int, b_phi: float) -
     return (SHAPE - 1.0 + b_phi * row["up"]) / (RATE + n_features * down)
 
 
-def tune_priors(fit_posterior: DataFrame, soft: DataFrame, priors: Priors, n_labels: int,
-                vocab: DataFrame | None = None, n_features: int = 0, per_item: bool = True) -> Priors:
+def tune_priors(fit_posterior: DataFrame, soft: DataFrame, priors: Priors, n_labels: int, vocab: DataFrame | None = None,
+                n_features: int = 0, per_item: bool = True, max_steps: int = 100, stop: float = STOP) -> Priors:
     """New b_theta, (b_gamma, c_gamma) and, with words, b_phi.
 
     The label-only model takes every item's distribution as a draw for b_theta; with ``per_item`` off the
     summed class counts are the one draw, as in the models with words.
     """
     from labelmesh.operators.joins import class_sums
-    from labelmesh.runtime import cut
 
-    draws = fit_posterior.select(F.col("p").alias("c")) if per_item else class_sums(fit_posterior, n_labels)
-    b_theta = symmetric(draws, n_labels, priors.b_theta)
+    draws = cut(fit_posterior.select(F.col("p").alias("c")) if per_item else class_sums(fit_posterior, n_labels), "tuning_draws")
+    b_theta = _accelerated(lambda x: [symmetric_step(draws, n_labels, x[0])], [priors.b_theta], max_steps, stop)[0]
+    tuned = tune_annotators(soft, priors, n_labels, max_steps, stop).with_(b_theta=b_theta)
+    if vocab is not None:
+        tuned = tuned.with_(b_phi=_accelerated(lambda x: [vocab_step(vocab, n_labels, n_features, x[0])], [priors.b_phi], max_steps, stop)[0])
+    return tuned
+
+
+def tune_annotators(soft: DataFrame, priors: Priors, n_labels: int, max_steps: int = 100, stop: float = STOP) -> Priors:
+    """New (b_gamma, c_gamma) from soft counts (annotator_id, label, c by truth)."""
     rows = cut(confusion_rows(soft, n_labels), "confusion_rows")
-    diag, off = confusion(rows, n_labels, *priors.annotator_cell(n_labels))
+    diag, off = confusion(rows, n_labels, *priors.annotator_cell(n_labels), max_steps, stop)
     c_gamma = diag + (n_labels - 1) * off
-    b_phi = priors.b_phi
-    if vocab is not None:
-        b_phi = _accelerated(lambda x: [vocab_step(vocab, n_labels, n_features, x[0])], [b_phi], 100)[0]
-    return priors.with_(b_theta=b_theta, b_gamma=diag / c_gamma, c_gamma=c_gamma, b_phi=b_phi)
+    return priors.with_(b_gamma=diag / c_gamma, c_gamma=c_gamma)
 
 
-def inline_tuner(corpus, posterior: DataFrame, priors: Priors) -> Priors:
+def inline_tuner(corpus, posterior: DataFrame, priors: Priors, max_steps: int = 100, stop: float = STOP) -> Priors:
     """Pass as ``tune`` to a variational fit to re-estimate priors after every iteration."""
-    from labelmesh.runtime import cut
-
     soft = cut(corpus.soft_confusion(posterior), "tuning_soft")
     vocab = cut(corpus.soft_vocab(posterior), "tuning_vocab") if corpus.features is not None else None
-    return tune_priors(posterior, soft, priors, corpus.n_labels, vocab, corpus.n_features, corpus.features is None)
+    return tune_priors(posterior, soft, priors, corpus.n_labels, vocab, corpus.n_features, corpus.features is None, max_steps, stop)
+
+
+def annotator_tuner(corpus, posterior: DataFrame, priors: Priors) -> Priors:
+    """The same for models without class and word priors."""
+    return tune_annotators(cut(corpus.soft_confusion(posterior), "tuning_soft"), priors, corpus.n_labels)

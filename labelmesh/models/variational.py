@@ -164,7 +164,7 @@ def _finish(corpus: Corpus, posterior: DataFrame, priors: Priors, machine: DataF
 
 def multi_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame, n_labels: int,
                   start: DataFrame, priors: Priors = Priors(), iterations: int = 10,
-                  rows_per_split: int | None = None) -> Fit:
+                  rows_per_split: int | None = None, tune=None) -> Fit:
     """Adds a second latent class per item (posterior ``h``) that explains the words.
 
     ``start`` gives the initial h as (item_id, h). Both posteriors of an iteration are computed from the
@@ -179,6 +179,8 @@ def multi_resp_vb(annotations: DataFrame, features: DataFrame, items: DataFrame,
         now = state.last
         older = state.generations[-2][0] if len(state.generations) > 1 else now
         state.push(_pair_step(corpus, now, older, priors, vocabs))
+        if tune is not None:
+            priors = tune(corpus, state.last.select("item_id", "p"), priors)
     pair = state.last
     fit = _finish(corpus, pair.select("item_id", "p"), priors, pair.select("item_id", "h"))
     fit.machine = pair.select("item_id", "h")

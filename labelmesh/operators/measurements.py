@@ -6,11 +6,11 @@ predicate (labelled word), location or source_item with neighbors (labelled loca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-
-from labelmesh.operators.joins import attach, fits_broadcast
+from labelmesh.operators.joins import attach
+from labelmesh.operators.neighbors import nearest
+from labelmesh.runtime import cut
 from labelmesh.skew import Spread
 
 ANNOTATION, PROPORTION, PREDICATE, LOCATION = "annotation", "label_proportion", "labeled_predicate", "labeled_location"
@@ -57,23 +57,12 @@ def cosine_adjacency(sources: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-#: sources whose cosines with a batch of items are held at once
-SOURCE_BLOCK = 256
-
-
-def knn_location(sources: DataFrame, items: DataFrame, neighbors: int, id_type: str = "bigint") -> DataFrame:
+def knn_location(sources: DataFrame, items: DataFrame, neighbors: int) -> DataFrame:
     """(source_id, item_id, cosine, rank): the ``neighbors`` nearest items of every source location.
 
-    The sources travel to every task once (their size is checked); each batch of items keeps its own best
-    per source, and the best of those are the exact answer. ``neighbors`` < 1 keeps every item. Zero vectors
-    have no cosine: as sources and as items they give no rows.
+    ``neighbors`` < 1 keeps every item. Zero vectors have no cosine: as sources and as items they give no rows.
     """
-    found = _batched_neighbors(sources, items, neighbors, id_type)
-    if found is None:
-        found = cosine_adjacency(_long(sources, "source_id"), _long(items, "item_id"))
-    best = Window.partitionBy("source_id").orderBy(F.desc(F.round("cosine", 9)), F.asc("item_id"))
-    ranked = found.withColumn("rank", F.row_number().over(best)) if neighbors >= 1 else found.withColumn("rank", F.lit(0))
-    return ranked.filter(F.col("rank") <= neighbors) if neighbors >= 1 else ranked
+    return nearest(sources.select("source_id", "location", F.lit(neighbors).alias("k")), items)
 
 
 def _long(df: DataFrame, key: str) -> DataFrame:
@@ -82,71 +71,23 @@ def _long(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _batched_neighbors(sources: DataFrame, items: DataFrame, neighbors: int, id_type: str) -> DataFrame | None:
-    size = sources.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("location")).alias("d")).first()
-    if not size["n"]:
-        empty = f"source_id {id_type}, item_id {id_type}, cosine double"
-        return items.sparkSession.createDataFrame([], empty)
-    if not fits_broadcast(size["n"], 8 * (size["d"] or 1) + 32):
-        return None
-    import numpy as np
-
-    held = sources.select("source_id", "location").collect()
-    keys = [r["source_id"] for r in held]
-    matrix = np.array([r["location"] for r in held], dtype="float64")
-    size = np.linalg.norm(matrix, axis=1)
-    keys = [key for key, length in zip(keys, size) if length > 0]
-    shared = items.sparkSession.sparkContext.broadcast((keys, matrix[size > 0] / size[size > 0, None]))
-
-    def nearest(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        names, unit = shared.value
-        names = np.asarray(names)
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch["item_id"].to_numpy()
-            rows = np.stack(batch["location"].to_numpy()).astype("float64")
-            lengths = np.linalg.norm(rows, axis=1)
-            ids, rows = ids[lengths > 0], rows[lengths > 0] / lengths[lengths > 0, None]
-            keep = len(ids) if neighbors < 1 else min(neighbors, len(ids))
-            for first in range(0, len(names) if len(ids) else 0, SOURCE_BLOCK):
-                cosines = rows @ unit[first:first + SOURCE_BLOCK].T
-                for s in range(cosines.shape[1]):
-                    column = cosines[:, s]
-                    order = np.lexsort((ids, -np.round(column, 9)))[:keep]
-                    yield pd.DataFrame({"source_id": np.repeat(names[first + s], len(order)), "item_id": ids[order], "cosine": column[order]})
-
-    schema = T._parse_datatype_string(f"source_id {id_type}, item_id {id_type}, cosine double")
-    return items.select("item_id", "location").mapInPandas(nearest, schema)
-
-
-def location_targets(measurements: DataFrame, items: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """(meas_id, item_id, sigma): nearest items of each labelled location, weighted by cosine."""
+def location_targets(measurements: DataFrame, items: DataFrame) -> DataFrame:
+    """(meas_id, item_id, sigma): nearest items of each labelled location, weighted by cosine.
+
+    All measurements are looked up together, each with its own number of neighbours.
+    """
     asked = measurements.filter(F.col("kind") == LOCATION)
-    own = items.select(F.col("item_id").alias("source_item"), F.col("location").alias("_own"))
-    given = asked.filter(F.col("location").isNotNull()).select("meas_id", "neighbors", "location")
+    own = items.select(F.col("item_id").alias("source_item"), F.col("location").cast("array<double>").alias("_own"))
+    given = asked.filter(F.col("location").isNotNull()).select("meas_id", "neighbors", F.col("location").cast("array<double>"))
     by_item = asked.filter(F.col("location").isNull()).select("meas_id", "neighbors", "source_item").join(
-        own, "source_item"
-    ).select("meas_id", "neighbors", F.col("_own").alias("location"))
-    located = given.select("meas_id", "neighbors", F.col("location").cast("array<double>")).unionByName(
-        by_item.select("meas_id", "neighbors", F.col("location").cast("array<double>"))
-    )
-    out = None
-    for row in located.select("neighbors").distinct().collect():
-        k = row["neighbors"] or 0
-        part = located.filter(F.coalesce("neighbors", F.lit(0)) == k).select(F.col("meas_id").alias("source_id"), "location")
-        near = knn_location(part, items, k, id_type).select(F.col("source_id").alias("meas_id"), "item_id", F.col("cosine").alias("sigma"))
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        return measurements.sparkSession.createDataFrame([], f"meas_id {id_type}, item_id {id_type}, sigma double")
-    return out
+        own, "source_item").select("meas_id", "neighbors", F.col("_own").alias("location"))
+    located = cut(given.unionByName(by_item).select(F.col("meas_id").alias("source_id"), "location", F.col("neighbors").alias("k")), "located")
+    if located.isEmpty():
+        return located.join(items.select("item_id"), F.lit(False)).select(F.col("source_id").alias("meas_id"), "item_id", F.lit(0.0).alias("sigma"))
+    return nearest(located, items).select(F.col("source_id").alias("meas_id"), "item_id", F.col("cosine").alias("sigma"))
 
 
-def measurement_targets(measurements: DataFrame, items: DataFrame, features: DataFrame | None = None,
-                        id_type: str = "bigint") -> DataFrame:
+def measurement_targets(measurements: DataFrame, items: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """(meas_id, annotator_id, kind, label, item_id, sigma) of all item-level kinds.
 
     Label proportions refer to every item and are kept as per-class sums instead. A measurement without
@@ -156,7 +97,7 @@ def measurement_targets(measurements: DataFrame, items: DataFrame, features: Dat
     if features is not None:
         parts.append(predicate_targets(measurements, features).select("meas_id", "item_id", "sigma"))
     if "location" in items.columns:
-        parts.append(location_targets(measurements, items, id_type))
+        parts.append(location_targets(measurements, items))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

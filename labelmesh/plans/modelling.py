@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from labelmesh.models import bounds, scoring, sweeps, tuning, variational as M
@@ -134,6 +136,22 @@ def elbo_mom_resp(spark, sf):
     return rounded(_one_row(spark, bound=value), "bound", digits=1)
 
 
+@query("elbo_multi_resp", f"""WITH {MULTI}, {_nu(2, 2)},
+vf AS (SELECT f.feature, h.truth, sum(f.value * h.g) + {P.b_phi} AS v FROM feat f JOIN h2 h ON h.item_id = f.item_id GROUP BY f.feature, h.truth),
+nf AS (SELECT count(DISTINCT feature) AS f FROM feat),
+tf AS (SELECT a.truth, b.truth AS m, {S.prior_cell(*U.machine_cell(2), 'a.truth', 'b.truth')} + sum(a.g * b.g) AS v
+  FROM g2 a JOIN h2 b ON b.item_id = a.item_id GROUP BY a.truth, b.truth)
+SELECT round({_beta_sql(2)} - (SELECT sum(g * ln(g)) FROM g2 WHERE g > 0) - (SELECT sum(g * ln(g)) FROM h2 WHERE g > 0)
+ + {Q.beta_rows('vf', 'v', 'truth')} - 2 * (SELECT f * lgamma({P.b_phi}::DOUBLE) - lgamma(f * {P.b_phi}::DOUBLE) FROM nf)
+ + (SELECT sum(lgamma(t + 1)) FROM (SELECT sum(value) AS t FROM feat GROUP BY item_id)) - (SELECT sum(lgamma(value + 1)) FROM feat)
+ + {Q.beta_rows('tf', 'v', 'truth')} - 2 * ({' + '.join(f'lgamma({v!r}::DOUBLE)' for v in U.machine_cell(2))} - lgamma({sum(U.machine_cell(2))!r}::DOUBLE))
+ , 0) AS bound""")
+def elbo_multi_resp(spark, sf):
+    fit = _multi_fit(spark, sf, 2)
+    value = bounds.elbo(fit, V.doc_annotations(spark, sf), V.doc_features(spark, sf))
+    return rounded(_one_row(spark, bound=value), "bound", digits=0)
+
+
 # -- sweeps ---------------------------------------------------------------------------------------
 
 LINE_STATE = f"{S.LINE}, {S.MAJORITY}, st AS (SELECT item_id, label AS y FROM maj), {Q.sweep_counts(3, P)}"
@@ -223,6 +241,19 @@ def log_joint(spark, sf):
     return rounded(_one_row(spark, log_joint=_line_run(spark, sf).log_joint()), "log_joint", digits=2)
 
 
+@query("log_joint_words", f"""WITH {DOC_STATE}, {Q.m_conditional('y', P)}, {Q.confusion_grid(2, P)}
+SELECT round((SELECT sum(lgamma(c)) FROM cc) + {Q.beta_rows('full_nv', 'v', 'annotator_id', 'truth')} + {Q.beta_rows('fv', 'v', 'truth')}, 1) AS log_joint""")
+def log_joint_words(spark, sf):
+    return rounded(_one_row(spark, log_joint=_doc_run(spark, sf, sweeps.MOM).log_joint()), "log_joint", digits=1)
+
+
+@query("log_joint_pair", f"""WITH {BLOCK}, {Q.confusion_grid(2, P)}
+SELECT round((SELECT sum(lgamma(c)) FROM cc) + {Q.beta_rows('full_nv', 'v', 'annotator_id', 'truth')} + {Q.beta_rows('fv', 'v', 'truth')}
+  + {Q.beta_rows('mu', 'v', 'truth')}, 1) AS log_joint""")
+def log_joint_pair(spark, sf):
+    return rounded(_one_row(spark, log_joint=_doc_run(spark, sf, sweeps.MULTI).log_joint()), "log_joint", digits=1)
+
+
 @query("rescore_from_assignment", f"""WITH {LINE_STATE}, {CONFUSION.replace('0.5 *', '1.0 *')},
 lw AS (SELECT annotator_id, truth, label, ln(value / sum(value) OVER (PARTITION BY annotator_id, truth)) AS w FROM conf),
 th AS (SELECT truth, ln(c / sum(c) OVER ()) AS w FROM cc),
@@ -235,15 +266,38 @@ def rescore_from_assignment(spark, sf):
     return long_p(scoring.score_items(V.line_annotations(spark, sf), _line_run(spark, sf).point_model()))
 
 
-@query("training_schedule")
+_STAGE = f"{Q.sweep_counts(2, P)}, {Q.y_conditional()}, {Q.m_conditional('m', P)}, {Q.ym_conditional(2, P)}"
+
+
+def _stage(i: int) -> str:
+    """The block conditional of state ``st<i>``, all its tables numbered."""
+    return re.sub(r"\b(st|k|cc|nn|cells|js|nv|nt|ya|pairs|yt|ys|fv|ft|sz|ma|ms|mu|mr|block)\b", rf"\g<1>{i}", _STAGE)
+
+
+def _summed(i: int, keep: str) -> str:
+    """The block of state i with the other variable summed out."""
+    return f"""sum{i} AS (SELECT item_id, {keep}, any_value(t) + ln(sum(exp(s - t))) AS s
+  FROM (SELECT *, max(s) OVER (PARTITION BY item_id) AS t FROM block{i}) GROUP BY item_id, {keep})"""
+
+
+@query("training_schedule", f"""WITH {DOCS}, {S.MAJORITY},
+st0 AS (SELECT item_id, label AS y, ({S.hash_int(str(SEED), 'item_id')} % 2)::INT AS m FROM maj), {_stage(0)},
+st1 AS ({_pick('block0', f"s / 2 + {Q.gumbel(f'{SEED}-0', 'item_id', 'y * 2 + m')}", 'y, m', 'y, m')}), {_stage(1)}, {_summed(1, 'y')},
+st2 AS (SELECT p.item_id, p.y, st1.m FROM ({_pick('sum1', f"s + {Q.gumbel(f'{SEED}-1', 'item_id', 'y')}", 'y', 'y')}) p JOIN st1 ON st1.item_id = p.item_id),
+{_stage(2)}, {_summed(2, 'm')},
+st3 AS (SELECT p.item_id, st2.y, p.m FROM ({_pick('sum2', 'round(s, 7)', 'm', 'm')}) p JOIN st2 ON st2.item_id = p.item_id), {_stage(3)},
+st4 AS ({_pick('block3', 'round(s, 7)', 'y, m', 'y, m')})
+SELECT st1.item_id, least(st1.y, st2.y) AS y, st1.m, st4.y AS y_now, st4.m AS m_now
+FROM st1 JOIN st2 ON st2.item_id = st1.item_id JOIN st4 ON st4.item_id = st1.item_id""")
 def training_schedule(spark, sf):
-    """Annealed sampling, then greedy sweeps; the marginal modes of the last stage."""
+    """Annealed sampling, then greedy sweeps; the marginal modes since the last change of temperature, and the last values."""
     run = _doc_run(spark, sf, sweeps.MULTI)
     sweeps.train(run, [
         sweeps.Step("sample", "all", 1, 2.0), sweeps.Step("sample", "y", 1), sweeps.Step("maximize", "m", 1),
         sweeps.Step("maximize", "all", 1),
     ])
-    return run.marginal()
+    now = run.state.select("item_id", F.col("y").alias("y_now"), F.col("m").alias("m_now"))
+    return run.marginal().join(now, "item_id")
 
 
 # -- scoring, baseline, tuning, alignment -----------------------------------------------------------
@@ -285,7 +339,26 @@ def score_new_items_expected(spark, sf):
     return long_p(scoring.score_items_expected(new, _line_fit(spark, sf, 1)))
 
 
-@query("score_new_items_pair")
+def _turn(i: str) -> str:
+    """One alternation of an item's two posteriors under fixed parameters, for two classes."""
+    g = [f"th{a} + ye{a} + h0 * mu{a}0 + h1 * mu{a}1" for a in range(2)]
+    return f"""SELECT i, item_id, ye0, ye1, me0, me1, g, 1 / (1 + exp((me1 + (1 - g) * mu11 + g * mu01) - (me0 + g * mu00 + (1 - g) * mu10))) AS h0,
+    1 / (1 + exp((me0 + g * mu00 + (1 - g) * mu10) - (me1 + (1 - g) * mu11 + g * mu01))) AS h1
+  FROM (SELECT {i} AS i, item_id, ye0, ye1, me0, me1, 1 / (1 + exp(({g[1]}) - ({g[0]}))) AS g, mu00, mu01, mu10, mu11"""
+
+
+@query("score_new_items_pair", f"""WITH RECURSIVE {DOCS}, {Q.start(2)}, {Q.simplex(2, SEED)}, {Q.pair_step(1, 'g0', 'h0', 'g0', 'h0', 2, U)},
+{Q.m_step(2, 'g1', 2, U)}, {Q.word_step(2, 'h1', 2, U)}, {Q.evidence(2, True)},
+tv AS (SELECT a.truth, b.truth AS m, {S.prior_cell(*U.machine_cell(2), 'a.truth', 'b.truth')} + sum(a.g * b.g) AS v
+  FROM g1 a JOIN h1 b ON b.item_id = a.item_id GROUP BY a.truth, b.truth),
+tw AS (SELECT truth, m, {S.digamma('v')} - {S.digamma('t')} AS w FROM (SELECT *, sum(v) OVER (PARTITION BY truth) AS t FROM tv)),
+par AS (SELECT {', '.join(f'max(w) FILTER (truth = {a} AND m = {b}) AS mu{a}{b}' for a in range(2) for b in range(2))},
+  (SELECT lp FROM pr2 WHERE truth = 0) AS th0, (SELECT lp FROM pr2 WHERE truth = 1) AS th1 FROM tw),
+ev AS (SELECT i.item_id, {', '.join(f'coalesce(max({t}.e) FILTER ({t}.truth = {a}), 0) AS {n}{a}' for t, n in (('x', 'ye'), ('f', 'me')) for a in range(2))}
+  FROM items i LEFT JOIN ae2 x ON x.item_id = i.item_id LEFT JOIN fe2 f ON f.item_id = i.item_id GROUP BY i.item_id),
+turns AS (SELECT 0 AS i, item_id, ye0, ye1, me0, me1, 0::DOUBLE AS g, exp(1::DOUBLE) AS h0, exp(1::DOUBLE) AS h1 FROM ev UNION ALL
+  {_turn('i + 1')} FROM turns CROSS JOIN par WHERE i < {scoring.ALTERNATIONS}))
+SELECT item_id, truth, round(CASE truth WHEN 0 THEN g ELSE 1 - g END, 5) AS p FROM turns CROSS JOIN {S.classes(2)} c WHERE i = {scoring.ALTERNATIONS}""")
 def score_new_items_pair(spark, sf):
     """Documents scored as new items under the two-class model."""
     fit = _multi_fit(spark, sf, 1)
@@ -362,13 +435,74 @@ def tune_priors_step(spark, sf):
     return rounded(_one_row(spark, b_theta=b_theta, diag=diag, off_diag=off), "b_theta", "diag", "off_diag")
 
 
-@query("tune_priors")
+def _strengths(soft: str, k: int) -> str:
+    """cf(annotator_id, truth, label, c): every row of soft counts on all labels."""
+    return f"""cf AS (SELECT r.annotator_id, r.truth, l.truth AS label, coalesce(x.c, 0) AS c FROM (SELECT DISTINCT annotator_id, truth FROM {soft}) r
+  CROSS JOIN {S.classes(k)} l LEFT JOIN {soft} x ON x.annotator_id = r.annotator_id AND x.truth = r.truth AND x.label = l.truth)"""
+
+
+#: a stop so tight that rounded strengths do not depend on the way to them
+TIGHT = {"max_steps": 400, "stop": 1e-8}
+
+
+def _tuned(spark, priors, *names):
+    return rounded(_one_row(spark, **{n: getattr(priors, n) for n in names}), *names, digits=3)
+
+
+_PAIR_OUT = "round((SELECT arg_max(d / (d + {n} * o), i) FROM con), 3) AS b_gamma, round((SELECT arg_max(d + {n} * o, i) FROM con), 3) AS c_gamma"
+
+
+@query("tune_priors", f"""WITH RECURSIVE {S.LINE}, {Q.variational(3, 1, False, P)}, {Q.m_step(2, 'g1', 3, U)}, {_strengths('soft2', 3)},
+tc AS (SELECT g AS v, 1 AS n FROM g1), tt AS (SELECT sum(g) AS v, 1 AS n FROM g1 GROUP BY item_id),
+{Q.fixed_point('theta', 'tc', 'tt', '3::DOUBLE', P.b_theta)}, {Q.fixed_pair('con', 'cf', 3, *U.annotator_cell(3))}
+SELECT round((SELECT arg_max(a, i) FROM theta), 3) AS b_theta, {_PAIR_OUT.format(n=2)}""")
 def tune_priors(spark, sf):
-    """Priors re-estimated to convergence after a fit."""
+    """Priors of the label-only model re-estimated to convergence after a fit."""
     fit = _line_fit(spark, sf, 1)
-    tuned = tuning.tune_priors(fit.posterior, fit.soft, fit.priors, 3)
-    return rounded(_one_row(spark, b_theta=tuned.b_theta, b_gamma=tuned.b_gamma, c_gamma=tuned.c_gamma),
-                   "b_theta", "b_gamma", "c_gamma")
+    return _tuned(spark, tuning.tune_priors(fit.posterior, fit.soft, fit.priors, 3, **TIGHT), "b_theta", "b_gamma", "c_gamma")
+
+
+@query("tune_priors_pair", f"""WITH RECURSIVE {DOCS}, {Q.start(2)}, {Q.simplex(2, SEED)}, {Q.pair_step(1, 'g0', 'h0', 'g0', 'h0', 2, U)},
+{Q.m_step(2, 'g1', 2, U)}, {Q.word_step(2, 'g1', 2, U)}, {_strengths('soft2', 2)},
+tc AS (SELECT sum(g) AS v, 1 AS n FROM g1 GROUP BY truth), tt AS (SELECT sum(g) AS v, 1 AS n FROM g1),
+wc AS (SELECT c AS v, 1 AS n FROM voc2), wz AS (SELECT sum(c) AS v, 1 AS n FROM voc2 GROUP BY truth), vn AS (SELECT count(DISTINCT feature)::DOUBLE AS f FROM feat),
+{Q.fixed_point('theta', 'tc', 'tt', '2::DOUBLE', P.b_theta)}, {Q.fixed_point('phi', 'wc', 'wz', '(SELECT f FROM vn)', P.b_phi)},
+{Q.fixed_pair('con', 'cf', 2, *U.annotator_cell(2))}
+SELECT round((SELECT arg_max(a, i) FROM theta), 3) AS b_theta, round((SELECT arg_max(a, i) FROM phi), 3) AS b_phi, {_PAIR_OUT.format(n=1)}""")
+def tune_priors_pair(spark, sf):
+    """Priors of the two-class model, tuned inside its fit."""
+    items = V.doc_items(spark, sf)
+    fit = M.multi_resp_vb(V.doc_annotations(spark, sf), V.doc_features(spark, sf), items, 2, M.random_simplex(items, 2, SEED), P, 1,
+                          tune=lambda *a: tuning.inline_tuner(*a, **TIGHT))
+    return _tuned(spark, fit.priors, "b_theta", "b_phi", "b_gamma", "c_gamma")
+
+
+_HARD = "cf AS (SELECT r.annotator_id, r.truth, l.truth AS label, coalesce(nn.c, 0) AS c FROM (SELECT js.annotator_id, k.truth FROM js CROSS JOIN k) r CROSS JOIN k l LEFT JOIN nn ON nn.annotator_id = r.annotator_id AND nn.truth = r.truth AND nn.label = l.truth)"
+
+
+@query("tune_sweep", f"""WITH RECURSIVE {LINE_STATE}, {_HARD},
+tc AS (SELECT c - {P.b_theta} AS v, 1 AS n FROM cc), tt AS (SELECT sum(v) AS v, 1 AS n FROM tc),
+{Q.fixed_point('theta', 'tc', 'tt', '3::DOUBLE', P.b_theta)}, {Q.fixed_pair('con', 'cf', 3, *P.annotator_cell(3))}
+SELECT round((SELECT arg_max(a, i) FROM theta), 3) AS b_theta, {_PAIR_OUT.format(n=2)}""")
+def tune_sweep(spark, sf):
+    """Priors of a sweep over labels, from histograms of its counts."""
+    run = _line_run(spark, sf)
+    run.tune()
+    return _tuned(spark, run.priors, "b_theta", "b_gamma", "c_gamma")
+
+
+@query("tune_sweep_pair", f"""WITH RECURSIVE {DOC_STATE}, {Q.m_conditional('m', P)}, {_HARD},
+tc AS (SELECT c - {P.b_theta} AS v, 1 AS n FROM cc), tt AS (SELECT sum(v) AS v, 1 AS n FROM tc),
+wc AS (SELECT v - {P.b_phi} AS v, count(*) AS n FROM fv GROUP BY 1), wz AS (SELECT sum(v - {P.b_phi}) AS v, 1 AS n FROM fv GROUP BY truth),
+vn AS (SELECT count(DISTINCT feature)::DOUBLE AS f FROM feat),
+{Q.fixed_point('theta', 'tc', 'tt', '2::DOUBLE', P.b_theta)}, {Q.fixed_point('phi', 'wc', 'wz', '(SELECT f FROM vn)', P.b_phi)},
+{Q.fixed_pair('con', 'cf', 2, *P.annotator_cell(2))}
+SELECT round((SELECT arg_max(a, i) FROM theta), 3) AS b_theta, round((SELECT arg_max(a, i) FROM phi), 3) AS b_phi, {_PAIR_OUT.format(n=1)}""")
+def tune_sweep_pair(spark, sf):
+    """The same with words through a second class."""
+    run = _doc_run(spark, sf, sweeps.MULTI)
+    run.tune()
+    return _tuned(spark, run.priors, "b_theta", "b_phi", "b_gamma", "c_gamma")
 
 
 _PERMS = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]

@@ -159,3 +159,41 @@ block AS (SELECT ys.item_id, ys.truth AS y, ms.truth AS m,
 
 def gumbel(seed: str, *keys: str) -> str:
     return f"(-ln(-ln({S.uniform(seed, *keys)})))"
+
+
+def confusion_grid(k: int, p: Priors) -> str:
+    """full_nv(annotator_id, truth, label, v): prior and counts on the full grid, from ``sweep_counts``."""
+    cell = S.prior_cell(*p.annotator_cell(k), "t.truth", "l.truth")
+    return f"""full_nv AS (SELECT js.annotator_id, t.truth, l.truth AS label, {cell} + coalesce(nn.c, 0) AS v
+  FROM js CROSS JOIN k t CROSS JOIN k l LEFT JOIN nn ON nn.annotator_id = js.annotator_id AND nn.truth = t.truth AND nn.label = l.truth)"""
+
+
+def beta_rows(source: str, value: str, *keys: str) -> str:
+    """Sum over the rows of a table of ln B."""
+    return f"(SELECT sum(b) FROM (SELECT sum(lgamma({value})) - lgamma(sum({value})) AS b FROM {source} GROUP BY {', '.join(keys)}))"
+
+
+def fixed_point(name: str, cells: str, totals: str, size: str, start: float, steps: int = 25) -> str:
+    """Fixed-point steps of one symmetric strength, two at a time and then extrapolated (Steffensen). ``cells`` and
+    ``totals`` give (v, n): how often a count occurs."""
+    def step(a: str) -> str:
+        return f"""(1 + {a} * (SELECT sum(n * ({S.digamma(f'(v + {a})')} - {S.digamma(a)})) FROM {cells}))
+      / (2 + {size} * (SELECT sum(n * ({S.digamma(f'(v + {size} * {a})')} - {S.digamma(f'({size} * {a})')})) FROM {totals}))"""
+
+    bend = "(ln(c) - 2 * ln(b) + ln(a))"
+    jump = f"least(greatest(exp(ln(a) - pow(ln(b) - ln(a), 2) / {bend}), c * exp(-2)), c * exp(2))"
+    return f"""{name} AS (SELECT 0 AS i, {start}::DOUBLE AS a UNION ALL
+  SELECT i + 1, CASE WHEN abs({bend}) < 1e-14 THEN c ELSE {jump} END
+  FROM (SELECT i, a, b, {step('b')} AS c FROM (SELECT i, a, {step('a')} AS b FROM {name} WHERE i < {steps})))"""
+
+
+def fixed_pair(name: str, cells: str, k: int, diag: float, off: float, steps: int = 2000) -> str:
+    """The same for the shared (diagonal, off-diagonal) strengths of ``cells`` (annotator_id, truth, label, c), by plain steps."""
+    whole = f"(d + {k - 1} * o)"
+    down = f"(SELECT sum({S.digamma(f'(v + {whole})')} - {S.digamma(whole)}) FROM {name}_rows)"
+    gain = lambda a, kind: f"(SELECT sum(n * ({S.digamma(f'(v + {a})')} - {S.digamma(a)})) FROM {name}_cells WHERE own = {kind})"
+    return f"""{name}_rows AS (SELECT sum(c) AS v FROM {cells} GROUP BY annotator_id, truth),
+{name}_cells AS (SELECT c AS v, truth = label AS own, count(*) AS n FROM {cells} WHERE c > 0 GROUP BY ALL),
+{name} AS (SELECT 0 AS i, {diag!r}::DOUBLE AS d, {off!r}::DOUBLE AS o UNION ALL
+  SELECT i + 1, (1 + d * gain_d) / (2 + down), (1 + o * gain_o) / (2 + {k - 1} * down)
+  FROM (SELECT *, {gain('d', 'true')} AS gain_d, {gain('o', 'false')} AS gain_o, {down} AS down FROM {name} WHERE i < {steps}))"""

@@ -11,6 +11,7 @@ from labelmesh.plans.registry import query
 from labelmesh.plans.voting import long_p
 from labelmesh.priors import Priors
 from labelmesh.runtime import shared_path
+from labelmesh.sources.models import load_model, save_model
 from labelmesh.streaming import annotations as stream
 
 P = Priors()
@@ -32,7 +33,7 @@ def event_stream(spark, sf):
 @query("running_vote", f"WITH {EVENTS}, {S.MAJORITY} SELECT item_id, label FROM maj")
 def running_vote(spark, sf):
     out = shared_path(spark, "running_vote")
-    stream.running_vote(event_stream(spark, sf), out, f"{out}-state").awaitTermination()
+    stream.running_vote(event_stream(spark, sf), 5, out, f"{out}-state").awaitTermination()
     return stream.current_votes(spark, out)
 
 
@@ -65,9 +66,11 @@ sc AS (SELECT a.item_id, lw.truth, any_value(th.w) + sum(a.n * lw.w) AS score FR
 {Q.softmax('res', 'sc', 'score')}
 SELECT item_id, truth, round(g, 6) AS p FROM res""")
 def stream_score(spark, sf):
-    """A model fitted on the events as a batch scores the same events as they stream in."""
+    """A model fitted on the events as a batch, saved and loaded, scores the same events as they stream in."""
     batch = prep.compile_annotations(V.event_annotations(V.table(spark, sf, "events")))
-    model = scoring.point_model(M.item_resp_vb(batch, batch.select("item_id").distinct(), 5, P, 1))
+    saved = shared_path(spark, "model")
+    save_model(spark, scoring.point_model(M.item_resp_vb(batch, batch.select("item_id").distinct(), 5, P, 1)), saved)
+    model = load_model(spark, saved)
     out = shared_path(spark, "stream_score")
     stream.stream_score(event_stream(spark, sf), model, out, f"{out}-state").awaitTermination()
     return long_p(stream.current_scores(spark, out, model))

@@ -54,6 +54,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one atomic step: readers see the old content or the new one, never part of it."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs
+    target, draft = files.Path(path), files.Path(f"{path}.{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    how[0] = files.Options.Rename.OVERWRITE
+    files.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, how)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small file; None where there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 class Rolling:
     """Cuts each generation of an iterated table and drops the files of those older than ``keep``."""
 

@@ -1,7 +1,7 @@
 """Annotations arriving as a stream: running votes, windowed activity and scoring with a saved model.
 
-Every operator writes its changes per micro-batch under a folder named after the batch, so a batch that is
-run again after a failure replaces its own rows. The current state of a key is its row of the latest batch.
+Spark keeps the sums of every item as state; a micro-batch brings the items that it touched, with their sums so far, and
+these replace their rows in a table with one row per item.
 """
 
 from __future__ import annotations
@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelmesh.functions import arrays
-from labelmesh.models.scoring import PointModel, annotation_scores
+from labelmesh.models.scoring import ClassifierModel, PointModel, evidence_rows, score_evidence
+from labelmesh.streaming.upserts import read_target, upsert
 
 AVAILABLE = {"availableNow": True}
 
 
-def _log_changes(changes: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+def _keep(changes: DataFrame, target: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        upsert(batch, number, target, ["item_id"])
 
     return (
         changes.writeStream.outputMode("update").foreachBatch(write)
@@ -25,29 +26,15 @@ def _log_changes(changes: DataFrame, out: str, checkpoint: str, trigger: dict) -
     )
 
 
-def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest row of every key in a change log."""
-    log = spark.read.parquet(out)
-    values = [c for c in log.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), "batch")
-    return log.groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*")
+def running_vote(stream: DataFrame, n_labels: int, target: str, checkpoint: str, trigger: dict = AVAILABLE) -> StreamingQuery:
+    """Keep the majority label of every item (ties: lowest label) as annotations arrive; only changed winners are written."""
+    counts = stream.groupBy("item_id").agg(arrays.count_by_class("label", "1", n_labels).alias("c"))
+    return _keep(counts.select("item_id", arrays.argmax("c").alias("label")), target, checkpoint, trigger)
 
 
-def compact(spark: SparkSession, out: str, target: str, keys: list[str]) -> None:
-    """Write the newest rows of a change log as batch 0 of a fresh log."""
-    latest(spark, out, keys).write.mode("overwrite").parquet(f"{target}/batch=0")
-
-
-def running_vote(stream: DataFrame, out: str, checkpoint: str, trigger: dict = AVAILABLE) -> StreamingQuery:
-    """Keep vote counts per (item_id, label) as annotations arrive."""
-    counts = stream.groupBy("item_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    return _log_changes(counts, out, checkpoint, trigger)
-
-
-def current_votes(spark: SparkSession, out: str) -> DataFrame:
-    """Majority label per item from the counts kept by :func:`running_vote` (ties: lowest label)."""
-    votes = latest(spark, out, ["item_id", "label"])
-    return votes.groupBy("item_id").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label"))
+def current_votes(spark: SparkSession, target: str) -> DataFrame:
+    """(item_id, label), as of the last batch."""
+    return read_target(spark, target)
 
 
 def windowed_activity(stream: DataFrame, n_labels: int, window: str, delay: str) -> DataFrame:
@@ -73,18 +60,24 @@ def write_windows(activity: DataFrame, out: str, checkpoint: str, trigger: dict
     )
 
 
-def stream_score(stream: DataFrame, model: PointModel, out: str, checkpoint: str, trigger: dict = AVAILABLE) -> StreamingQuery:
-    """Join arriving annotations with the saved model and keep every item's summed evidence."""
-    rows = annotation_scores(stream.withColumn("n", F.lit(1)), model)
-    evidence = rows.groupBy("item_id").agg(arrays.sum_arrays("e", model.n_labels).alias("evidence"))
-    return _log_changes(evidence, out, checkpoint, trigger)
+def stream_score(stream: DataFrame, model: PointModel | ClassifierModel, target: str, checkpoint: str, trigger: dict = AVAILABLE) -> StreamingQuery:
+    """Join arriving annotations with a model and keep every item's summed evidence.
+
+    The model may come from :func:`labelmesh.sources.models.load_model`, so a stream that was stopped goes on, from the
+    same checkpoint, with the model it began with.
+    """
+    return _keep_evidence(evidence_rows(model, annotations=stream.withColumn("n", F.lit(1))), model, target, checkpoint, trigger)
 
 
-def current_scores(spark: SparkSession, out: str, model: PointModel) -> DataFrame:
-    """(item_id, p) from the evidence kept by :func:`stream_score`."""
-    k = model.n_labels
-    scores = [f"{arrays.num(t)} + {e}" for t, e in zip(model.log_theta, arrays.cells("evidence", k))]
-    scored = latest(spark, out, ["item_id"]).select("item_id", F.expr(arrays.array(scores)).alias("_s"))
-    return arrays.softmax(scored, "_s", "p", k)
+def stream_score_features(stream: DataFrame, model: ClassifierModel, target: str, checkpoint: str, trigger: dict = AVAILABLE) -> StreamingQuery:
+    """The same for arriving features (item_id, feature, value) of new items, under a classifier."""
+    return _keep_evidence(evidence_rows(model, features=stream), model, target, checkpoint, trigger)
+
 
+def _keep_evidence(rows: DataFrame, model, target: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return _keep(rows.groupBy("item_id").agg(arrays.sum_arrays("e", model.n_labels).alias("evidence")), target, checkpoint, trigger)
 
+
+def current_scores(spark: SparkSession, target: str, model: PointModel | ClassifierModel) -> DataFrame:
+    """(item_id, p) from the evidence kept by :func:`stream_score`."""
+    return score_evidence(read_target(spark, target), model)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelmesh.functions import arrays
 from labelmesh.models import bounds, classifier, loglinear, measurement, scoring, sweeps, tuning, variational as M
-from labelmesh.operators import joins, measurements as ms, votes
+from labelmesh.operators import joins, measurements as ms, neighbors, votes
 from labelmesh.plans import measuring, views as V
 from labelmesh.priors import Priors
 
@@ -329,14 +329,53 @@ def test_measurement_halves_and_trust(spark, emb, sf):
     assert noise[0] < min(v for k, v in noise.items() if k not in (0, 5, 6))
 
 
+def plain_nearest(sources, items, digits=9):
+    """{(source, item): (cosine, rank)} by comparing everything."""
+    out = {}
+    for source, vector, k in sources:
+        scored = []
+        for item, other in items:
+            if other is not None and vector is not None and len(other) == len(vector) and any(other) and any(vector):
+                scored.append((-round(float(np.dot(vector, other) / np.linalg.norm(vector) / np.linalg.norm(other)), digits), item))
+        for rank, (cosine, item) in enumerate(sorted(scored)[:k if k and k > 0 else None], 1):
+            out[source, item] = (-cosine, rank if k and k > 0 else 0)
+    return out
+
+
+@pytest.mark.parametrize("pivots,piece", [(1, 8192), (40, 8192), (40, 7)])
+def test_nearest_items_equal_brute_force(spark, monkeypatch, pivots, piece):
+    monkeypatch.setattr(neighbors, "LEAST_PIVOTS", pivots)
+    monkeypatch.setattr(neighbors, "PIECE_ROWS", piece)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(12, 8))
+    items = [(i, (base[i % 12] * (1 + i % 3) + r.normal(size=8) * 0.1 * (i % 5)).tolist()) for i in range(300)]
+    items += [(1000 + i, base[0].tolist()) for i in range(60)] + [(2000, [0.0] * 8), (2001, None), (2002, [1.0, 2.0])]
+    sources = [(i, r.normal(size=8).tolist(), 1 + i % 9) for i in range(10)] + [(20 + i, base[i].tolist(), 4) for i in range(12)]
+    sources += [(50, base[0].tolist(), None), (51, base[1].tolist(), 0), (52, [0.0] * 8, 3), (53, None, 3), (54, base[2].tolist(), 5000), (55, [1.0, 2.0], 2)]
+    table = spark.createDataFrame(items, "item_id long, location array<double>").repartition(3)
+    asked = spark.createDataFrame(sources, "source_id int, location array<double>, k int")
+    got = {(x.source_id, x.item_id): (round(x.cosine, 9), x["rank"]) for x in neighbors.nearest(asked, table).collect()}
+    assert got == {k: (pytest.approx(c, abs=2e-9), n) for k, (c, n) in plain_nearest([s for s in sources if s[0] != 55], items).items()}
+    assert neighbors.nearest(asked, table.limit(0)).count() == 0 and neighbors.nearest(asked.limit(0), table).count() == 0
+
+
+def test_nearest_items_compare_few_pairs_of_clustered_vectors(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(50, 16)) * 4
+    items = [(i, (base[i % 50] + r.normal(size=16) * 0.2).tolist()) for i in range(6000)]
+    sources = [(i, (base[i % 50] + r.normal(size=16) * 0.2).tolist(), 5) for i in range(100)]
+    neighbors_of, pairs = neighbors.visits(spark.createDataFrame(sources, "source_id int, location array<double>, k int"),
+                                           spark.createDataFrame(items, "item_id long, location array<double>"))
+    assert pairs < 0.2 * len(items) * len(sources)
+
+
 @pytest.mark.parametrize("near", [3, 0])
-def test_nearest_items(spark, emb, sf, near, monkeypatch):
+def test_nearest_items(spark, emb, sf, near):
     items, _, _ = emb
     sources = measuring.centroids(spark, sf).select(F.col("label").cast("bigint").alias("source_id"), "location")
-    batched = rows(ms.knn_location(sources, items, near).select("source_id", "item_id", F.round("cosine", 7)))
-    monkeypatch.setattr("labelmesh.runtime.BROADCAST_BYTES", 0)
-    shuffled = rows(ms.knn_location(sources, items, near).select("source_id", "item_id", F.round("cosine", 7)))
-    assert batched == shuffled and len(batched) == 10 * (near or items.count())
+    got = rows(ms.knn_location(sources, items, near).select("source_id", "item_id", F.round("cosine", 7)))
+    every = ms.cosine_adjacency(ms._long(sources, "source_id"), ms._long(items, "item_id"))
+    assert len(got) == 10 * (near or items.count()) and set(got) <= set(rows(every.select("source_id", "item_id", F.round("cosine", 7))))
 
 
 def test_dense_index(spark, sf):
