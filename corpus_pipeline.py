@@ -10,13 +10,23 @@ from labelmesh.runtime import cut, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores below one half; the model learns from the labels that are not held out."""
+    """Rows whose text scores below one half; the model learns from the labels that are not held out.
+
+    Null and empty texts score as texts without a match and stay; rows that repeat an id or a text are judged one by one,
+    rows without an id too. Without labels of both classes all rows stay. All columns are kept, whatever their names; an
+    empty table gives an empty one.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.toxic_score(docs["text"], model, spark) < 0.5)
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the language model does not reject: with letters, and not far from every learned language."""
+    """Rows that the language model does not reject: with letters, and not far from every learned language.
+
+    Null and empty texts and texts without a letter go; short texts are held against short texts. Ties between languages
+    do not matter here. Repeated rows and rows without an id are judged one by one. Without a labelled row all go. All
+    columns are kept, whatever their names; an empty table gives an empty one.
+    """
     model = language.fit(docs)
     return docs.filter(~language.language_of(docs["text"], model, spark)["rejected"])
 
@@ -25,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each class of near copies: the one with the smallest id, then text hash; rows without an id come last.
 
     A row is known by its id and the hash of its text, so rows that repeat an id with other texts are documents of their
-    own, as are rows without an id. Of rows equal in both the first by the other columns stays. Texts without words all
-    stay.
+    own, as are rows without an id. Of rows equal in both the first by the other columns stays. Null texts and texts
+    without words all stay. All columns are kept, whatever their names; an empty table gives an empty one.
     """
     prefix = "_near"
     while any(column.lower().startswith(prefix) for column in docs.columns):
@@ -50,12 +60,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them: not at all, once or twice.
+
+    Null texts and texts without words have size 0 and go by their hash; rows without a source are a source. Rows equal in
+    id and text are taken by a hash of all columns, rows equal in all columns by number, so a source's words come near
+    its target whatever is repeated. All columns are kept, whatever their names; an empty table gives an empty one.
+    """
     return mixing.repeat_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and the sequences that hold them."""
+    """Pieces of the documents and the sequences that hold them.
+
+    Every row is packed, repeated ones as often as they occur; null and empty texts have their end id alone. Among open
+    sequences of equal room the order of creation decides. Only id and text are read; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, added=True)
 
 

@@ -24,11 +24,23 @@ from labelmesh.runtime import Rolling, cut, scalars
 ITEM, MOM, MULTI = "item", "mom", "multi"
 
 
-def _ratios(vector: str, own: str, step: str) -> str:
-    """Array of ln Gamma(v+step) - ln Gamma(v), the item's own amount taken out of its current class."""
-    base = "(c.v - c.o)"
-    paired = f"transform({vector}, (v, k) -> struct(v AS v, CASE WHEN k = cur THEN {own} ELSE 0D END AS o))"
-    return f"transform({paired}, c -> {lgamma_ratio(base, step)})"
+#: Longest vector whose entries are written out one by one; larger ones would outgrow a generated method.
+UNROLLED = 16
+
+
+def _ratios(df: DataFrame, vector: str, own: str, step: str, size: int, out: str, only: str | None = None) -> DataFrame:
+    """Adds ``out``, the array of ln Gamma(v+step) - ln Gamma(v), the item's own amount taken out of its current class.
+
+    ``only``: a condition for rows that need it; others get NULL.
+    """
+    if size <= UNROLLED:
+        base = arrays.array([f"{vector}[{i}] - CASE WHEN cur = {i} THEN {own} ELSE 0D END" for i in range(size)])
+        value = arrays.array([lgamma_ratio(f"_b[{i}]", step) for i in range(size)])
+    else:
+        base = f"transform({vector}, (v, k) -> v - CASE WHEN k = cur THEN {own} ELSE 0D END)"
+        value = f"transform(_b, b -> {lgamma_ratio('b', step)})"
+    value = f"CASE WHEN {only} THEN {value} END" if only else value
+    return df.withColumn("_b", F.expr(base)).withColumn(out, F.expr(value)).drop("_b")
 
 
 @dataclass
@@ -115,9 +127,8 @@ class Sweeper:
         rows = c.annotations.join(c.by_item.small(now), c.by_item.on).drop("_split")
         joined = joins.attach(rows, self._label_counts(), ["annotator_id", "label"], ["item_id"], 2 * c.n_labels,
                               c.cells, c.by_cell)
-        cell = _ratios("v", "weight * n", "cast(n AS double)")
-        total = _ratios("t", "weight * n_pair", "cast(n_pair AS double)")
-        staged = joined.select("item_id", "lead", F.expr(cell).alias("a"), F.expr(f"CASE WHEN lead THEN {total} END").alias("b"))
+        staged = _ratios(joined, "v", "weight * n", "cast(n AS double)", c.n_labels, "a")
+        staged = _ratios(staged, "t", "weight * n_pair", "cast(n_pair AS double)", c.n_labels, "b", "lead")
         e = [f"a[{i}] - CASE WHEN lead THEN b[{i}] ELSE 0D END" for i in range(c.n_labels)]
         return joins.sum_terms(staged.select("item_id", F.expr(arrays.array(e)).alias("e")), c.n_labels)
 
@@ -133,10 +144,9 @@ class Sweeper:
         now = self.state.select("item_id", F.col(column).alias("cur"), "weight", "size")
         rows = c.features.join(c.by_item_features.small(now), c.by_item_features.on).drop("_split")
         joined = joins.attach(rows, table, ["feature"], ["item_id"], k, c.n_features, c.by_feature)
-        terms = joined.select("item_id", F.expr(_ratios("v", "weight * value", "(weight * value)")).alias("e"))
-        summed = joins.sum_terms(terms, k)
-        length = _ratios(arrays.array([arrays.num(t) for t in totals]), "weight * size", "(weight * size)")
-        return now.join(summed, "item_id").withColumn("_len", F.expr(length)).select(
+        terms = _ratios(joined, "v", "weight * value", "(weight * value)", k, "e").select("item_id", "e")
+        both = now.join(joins.sum_terms(terms, k), "item_id").withColumn("_t", F.expr(arrays.array([arrays.num(t) for t in totals])))
+        return _ratios(both, "_t", "weight * size", "(weight * size)", k, "_len").select(
             "item_id", F.expr(arrays.array([f"evidence[{i}] - _len[{i}]" for i in range(k)])).alias("me")
         )
 
@@ -152,7 +162,7 @@ class Sweeper:
         both = both.withColumn("cur", F.col("y"))
         if class_scores is None:
             theta = arrays.array([num(c) for c in self.class_counts()])
-            both = both.withColumn("_p", F.expr(_ratios(theta, "weight", "weight")))
+            both = _ratios(both.withColumn("_t", F.expr(theta)), "_t", "weight", "weight", k, "_p").drop("_t")
         else:
             both = both.join(class_scores.withColumnRenamed("lp", "_p"), "item_id")
         ys = [
@@ -168,8 +178,8 @@ class Sweeper:
         mu = self.machine_cells()
         pair = arrays.array([num(v) for v in mu])
         rows = arrays.array([num(sum(mu[a * k:(a + 1) * k])) for a in range(k)])
-        both = both.withColumn("cur", F.expr(f"y * {k} + m")).withColumn("_pair", F.expr(_ratios(pair, "weight", "weight")))
-        both = both.withColumn("cur", F.col("y")).withColumn("_row", F.expr(_ratios(rows, "weight", "weight")))
+        both = _ratios(both.withColumn("cur", F.expr(f"y * {k} + m")).withColumn("_t", F.expr(pair)), "_t", "weight", "weight", k * k, "_pair")
+        both = _ratios(both.withColumn("cur", F.col("y")).withColumn("_t", F.expr(rows)), "_t", "weight", "weight", k, "_row").drop("_t")
         block = [f"ys[{a}] + me[{d}] + _pair[{a * k + d}] - _row[{a}]" for a in range(k) for d in range(k)]
         return both.withColumn("s", F.expr(arrays.array(block))).drop("ys", "me", "_pair", "_row", "cur")
 

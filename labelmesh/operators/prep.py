@@ -188,6 +188,17 @@ def nth_annotation(events: DataFrame, order: list[str], rows_per_split: int | No
     return events.join(hot, pair, "left_anti").withColumn("nth", ranked).select(*events.columns, "nth").unionByName(busy)
 
 
+def sorted_index(values: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): distinct values numbered 0..n-1 in their order, null left out; only a count per range is gathered."""
+    ranged = values.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(column)
+    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()), "sorted_values")
+    offset, at = F.when(F.lit(False), F.lit(0).cast("bigint")), 0
+    for r in sorted(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_range"]):
+        offset, at = offset.when(F.col("_range") == r["_range"], F.lit(at).cast("bigint")), at + r["n"]
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.select(column, (offset + rank - 1).alias(out))
+
+
 def dense_index(values: DataFrame, column: str, out: str, buckets: int = 256) -> DataFrame:
     """Number distinct values 0..n-1 without gathering them: rank inside hash buckets plus bucket offsets."""
     bucketed = values.select(column).distinct().withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(buckets)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelmesh.models import topics
 from labelmesh.operators import prep, votes
 from labelmesh.plans import sqltext as S, views as V
 from labelmesh.plans.registry import query
@@ -42,13 +43,22 @@ def read_annotations(spark, sf):
     )
 
 
-@query("read_documents", """SELECT doc_id AS item_id, lang AS gold,
-  md5(CASE WHEN position(chr(10) || chr(10) IN text) > 0
-      THEN substr(text, position(chr(10) || chr(10) IN text) + 2) ELSE text END) AS text_md5
-FROM documents""")
+@query("read_documents", r"""SELECT lang AS gold, md5(regexp_replace(text || chr(10), '(?s)\A.*?\r?\n\r?\n', '')) AS text_md5
+FROM documents WHERE text IS NOT NULL""")
 def read_documents(spark, sf):
-    docs = V.documents(spark, sf).select("item_id", F.col("lang").alias("gold"), "text")
-    return records.strip_header(docs).select("item_id", "gold", F.md5("text").alias("text_md5"))
+    """Every text written as a file of its own in a folder of its class, and the folders read back."""
+    path, prefix = shared_path(spark, "texts"), "class="
+    texts = V.documents(spark, sf).filter("text IS NOT NULL").select(F.concat(F.coalesce(F.col("lang"), F.lit("-"))).alias("class"), "text")
+    texts.write.partitionBy("class").option("maxRecordsPerFile", 1).text(path)
+    found = records.read_documents(spark, path)
+    gold = F.substring("gold", len(prefix) + 1, 1 << 20)
+    return found.select(F.when(gold != "-", gold).alias("gold"), F.md5("text").alias("text_md5"))
+
+
+@query("index_labels", """SELECT event_id, event_type, (SELECT count(DISTINCT o.event_type) FROM events o WHERE o.event_type < e.event_type)::INT AS label FROM events e""")
+def index_labels(spark, sf):
+    """Event types numbered in their order."""
+    return records.index_labels(V.table(spark, sf, "events").select("event_id", "event_type"), "event_type")[0]
 
 
 def _saved_run(spark, sf):
@@ -84,6 +94,23 @@ def state_from_predictions(spark, sf):
     ).withColumn("z_size", F.greatest("z_size", F.lit(0)))
 
 
+_TOKEN_Z = f"{S.hash_int(str(SEED), 'item_id', 'pos')} % 6"
+
+
+@query("token_state", f"""WITH {S.TOKENS}
+SELECT d.doc_id AS item_id, l.quality AS y, string_agg(({_TOKEN_Z})::VARCHAR, ',' ORDER BY pos) AS z
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN tok t ON t.item_id = d.doc_id GROUP BY d.doc_id, l.quality""")
+def token_state(spark, sf):
+    """Topics of every token saved with the items' labels, read back, turned into tokens and joined into arrays again."""
+    tokens = topics.start_topics(prep.tokenize(V.documents(spark, sf)), 6, SEED)
+    predicted = V.doc_items(spark, sf).select("item_id", F.col("observed_label").alias("label"), F.lit(None).cast("int").alias("alternative"))
+    path = shared_path(spark, "state")
+    state.write_state(state.state_from_predictions(predicted, tokens=tokens), path)
+    saved = state.read_state(spark, path)
+    again = state.token_state(state.topics_of_state(saved), chunk=1000)
+    return saved.select("item_id", "y").join(again, "item_id", "left").select("item_id", "y", F.concat_ws(",", F.transform("z", lambda x: x.cast("string"))).alias("z"))
+
+
 @query("predictions_table", f"""WITH {S.DOC_ITEMS}, {S.LABEL_ANN}
 SELECT item_id, ({S.hash_int(str(SEED), 'item_id')} % 2)::INT AS label,
   CASE WHEN item_id IN (SELECT item_id FROM ann) THEN 'labeled' ELSE 'unlabeled' END AS split

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmesh.functions import special
-from labelmesh.models import scoring
+from labelmesh.models import scoring, topics
 from labelmesh.operators import align, counts, prep, votes
 from labelmesh.priors import Priors
-from labelmesh.sources import annotations as records
+from labelmesh.sources import annotations as records, state
 
 P = Priors(b_theta=1 / 3, b_mu=0.75, c_mu=2.0, b_gamma=0.75, c_gamma=2.0, b_phi=1.23)
 DIAG, OFF = 1.5, 0.25
@@ -106,8 +106,8 @@ def test_json_records_majority_and_baseline(spark, tmp_path):
         path.mkdir()
         (path / "a.json").write_text("\n".join(order))
         labels, events = records.read_annotations(spark, str(path))
-        events, vocabulary = records.index_labels(events, "annotation")
-        assert vocabulary == ["0", "1"]
+        events, dictionary = records.index_labels(events, "annotation")
+        assert sorted(map(tuple, dictionary.collect())) == [("0", 0), ("1", 1)]
         ann = prep.compile_annotations(events.withColumnRenamed("annotator", "annotator_id"))
         items = labels.select("item_id")
         bag = prep.bag_of_words(labels.withColumnRenamed("data", "text").select("item_id", "text"))
@@ -116,11 +116,39 @@ def test_json_records_majority_and_baseline(spark, tmp_path):
 
 
 def test_text_folders(spark, tmp_path):
-    for name, text in (("space", "From: me\nSubject: x\n\nOrbit orbit moon"), ("sport", "no header here")):
+    for name, text in (("space", "From: me\nSubject: x\n\nOrbit orbit moon\nand star"), ("sport", "no header here"), ("mail", "To: you\r\n\r\nGoal\r\n\r\nmatch")):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "1.txt").write_text(text)
+        (tmp_path / name / "1.txt").write_bytes(text.encode())
+    assert records.read_documents(spark, str(tmp_path)).count() == 3
     got = {r["item_id"]: (r["gold"], r["text"]) for r in records.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"space/1.txt": ("space", "Orbit orbit moon"), "sport/1.txt": ("sport", "no header here")}
+    assert got == {"space/1.txt": ("space", "Orbit orbit moon\nand star"), "sport/1.txt": ("sport", "no header here"), "mail/1.txt": ("mail", "Goal\r\n\r\nmatch")}
+
+
+def test_label_dictionary_has_no_limit(spark):
+    labels = [f"label {i:05}" for i in range(12000)]
+    events = spark.createDataFrame([(i, labels[i % len(labels)]) for i in range(15000)] + [(-1, None)], "item_id long, mark string").repartition(3)
+    indexed, dictionary = records.index_labels(events, "mark")
+    assert {r.mark: r.label for r in dictionary.collect()} == {label: i for i, label in enumerate(labels)}
+    got = {r.item_id: r.label for r in indexed.collect()}
+    assert len(got) == 15001 and got[-1] is None and all(got[i] == i % len(labels) for i in range(15000))
+
+
+def test_token_state_round_trip(spark, tmp_path):
+    """Texts longer than a chunk, one without tokens, and a topic model that goes on from the saved state."""
+    tokens = spark.createDataFrame([(i, pos, (i + pos) % 5) for i, n in ((1, 2500), (2, 3), (3, 1000)) for pos in range(n)], "item_id long, pos int, z int").repartition(5)
+    items = spark.createDataFrame([(i, 0, None) for i in (1, 2, 3, 4)], "item_id long, label int, alternative int")
+    chunks = state.token_chunks(tokens, 100)
+    assert chunks.count() == 25 + 1 + 10
+    want = sorted(map(tuple, tokens.collect()))
+    assert sorted(map(tuple, state.topics_of_chunks(chunks).collect())) == want
+    state.write_state(state.state_from_predictions(items, tokens=tokens), str(tmp_path / "s"))
+    saved = state.read_state(spark, str(tmp_path / "s"))
+    assert {r.item_id: r.z is None for r in saved.collect()} == {1: False, 2: False, 3: False, 4: True}
+    assert sorted(map(tuple, state.topics_of_state(saved).collect())) == want
+    words = tokens.select("item_id", "pos", F.concat(F.lit("w"), F.col("pos") % 7).alias("word"))
+    marks = spark.createDataFrame([(1, 0, 1, 1), (2, 0, 0, 1)], "item_id long, annotator_id int, label int, n long")
+    model = topics.TopicLabelModel.start(words, marks, items, 2, 5, topics=state.topics_of_state(saved))
+    assert sorted((r.item_id, r.pos, r.z) for r in model.tokens.collect()) == want
 
 
 def test_strict_checks(spark):
