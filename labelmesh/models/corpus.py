@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from labelmesh.functions import arrays
 from labelmesh.operators import joins
-from labelmesh.runtime import Rolling
+from labelmesh.runtime import Rolling, drop_path, path_bytes, shared_path, stored_path
 from labelmesh.skew import Spread
 
 
-def _laid_out(df: DataFrame, spread: Spread) -> DataFrame:
-    """Written once with hot items split, then held partitioned by item so iterations need not shuffle it.
+#: bytes of a stored table that one bucket of its layout holds, about
+BUCKET_BYTES = 128 << 20
 
-    The held copy is only a cache: lost blocks are rebuilt from the written table.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.big(df).repartition(parts, *spread.on).persist(StorageLevel.MEMORY_AND_DISK)
+
+@dataclass
+class Layout:
+    """A table in buckets by item, hot items split; joins on the item read it as it lies."""
+
+    name: str
+    path: str
+    table: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, stored: str, spread: Spread) -> "Layout":
+        """``stored``: path of ``df``, whose size decides the number of buckets; at least as many as a shuffle has
+        partitions, or Spark would rather shuffle both sides of a join."""
+        spark = df.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-path_bytes(spark, stored) // BUCKET_BYTES))
+        name, path = f"labelmesh_{uuid.uuid4().hex}", shared_path(spark, "layout")
+        rows = spread.big(df).repartition(parts, *spread.on)
+        rows.write.bucketBy(parts, *spread.on).sortBy(*spread.on).option("path", path).format("parquet").saveAsTable(name)
+        return cls(name, path, spark.table(name))
+
+    def drop(self) -> None:
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_path(spark, self.path)
 
 
 @dataclass
@@ -36,6 +56,7 @@ class Corpus:
     n_features: int = 0
     by_item_features: Spread | None = None
     by_feature: Spread | None = None
+    layouts: list[Layout] = field(default_factory=list)
 
     @classmethod
     def build(cls, annotations: DataFrame, items: DataFrame, n_labels: int, features: DataFrame | None = None,
@@ -47,14 +68,16 @@ class Corpus:
         per_annotator = plain.select("annotator_id", "label").distinct().groupBy("annotator_id").count()
         sizes = per_annotator.agg(F.count(F.lit(1)).alias("j"), F.sum("count").alias("cells")).first()
         by_item = Spread.plan(plain, ["item_id"], ["annotator_id", "label"], rows_per_split)
-        corpus = cls(n_labels, sizes["j"], items, _laid_out(plain, by_item), sizes["cells"], by_item, held)
+        laid = Layout.of(plain, held.generations[0][1], by_item)
+        corpus = cls(n_labels, sizes["j"], items, laid.table, sizes["cells"], by_item, held, layouts=[laid])
         if not joins.fits_broadcast(sizes["cells"], 8 * n_labels + 64):
             corpus.by_cell = Spread.plan(plain, ["annotator_id", "label"], ["item_id"], rows_per_split)
         if features is not None:
             bag = features if written else held.push(features.select("item_id", "feature", "value"))
             corpus.n_features = bag.agg(F.countDistinct("feature")).first()[0]
             corpus.by_item_features = Spread.plan(bag, ["item_id"], ["feature"], rows_per_split)
-            corpus.features = _laid_out(bag, corpus.by_item_features)
+            corpus.layouts.append(Layout.of(bag, stored_path(bag), corpus.by_item_features))
+            corpus.features = corpus.layouts[-1].table
             if not joins.fits_broadcast(corpus.n_features, 8 * n_labels + 64):
                 corpus.by_feature = Spread.plan(bag, ["feature"], ["item_id"], rows_per_split)
         return corpus
@@ -99,8 +122,7 @@ class Corpus:
         )
 
     def release(self) -> None:
-        """Give up the cached layout and the stored copies once the results no longer read them."""
-        self.annotations.unpersist()
-        if self.features is not None:
-            self.features.unpersist()
+        """Remove the layout and the stored copies once the results no longer read them."""
+        for layout in self.layouts:
+            layout.drop()
         self.held.drop()

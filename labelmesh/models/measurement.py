@@ -46,6 +46,7 @@ class MeasurementModel:
     trusted: object = None
     rolling: Rolling = field(default_factory=lambda: Rolling("measured"))
     expectations: Rolling = field(default_factory=lambda: Rolling("expectations", keep=1))
+    meetings: Rolling = field(default_factory=lambda: Rolling("meetings", keep=1))
     noises: Rolling = field(default_factory=lambda: Rolling("noise"))
     noise: DataFrame | None = None
     theta: list[float] | None = None
@@ -127,7 +128,9 @@ class MeasurementModel:
         errors = own.select("annotator_id", F.expr("tau * tau - 2D * tau * _p + _p").alias("err"))
         per_meas = joined = shares = None
         if self.coupled is not None:
-            joined = self.by_item_coupled.join(self.coupled, p).withColumn("sp", F.expr("sigma * p[label]"))
+            # stored: the expectations and then the items' terms read it
+            joined = self.meetings.push(self.by_item_coupled.join(self.coupled, p).select(
+                "meas_id", "annotator_id", "label", "item_id", "sigma", "tau", F.expr("sigma * p[label]").alias("sp")))
             per_meas = self.expectations.push(self._expectations(joined))
             errors = errors.unionByName(per_meas.select("annotator_id", "err"))
         if self.proportions is not None:
@@ -182,7 +185,7 @@ class MeasurementModel:
         terms = self._by_label(rows, "w * (2D * tau - 1D)")
         if self.coupled is not None:
             expected = self._attach_noise(per_meas.select("meas_id", "annotator_id", "e"), weight, ["meas_id"]).select("meas_id", "e", "w")
-            full = joins.attach(joined.drop("p", "_split"), expected, ["meas_id"], ["item_id"], 2)
+            full = joins.attach(joined.drop("annotator_id"), expected, ["meas_id"], ["item_id"], 2)
             terms = terms.unionByName(self._by_label(full, "w * (2D * tau * sigma - sigma * sigma - 2D * sigma * (e - sp))"))
         flat, slope = [0.0] * k, [0.0] * k
         if self.proportions is not None:

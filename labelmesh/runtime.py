@@ -54,6 +54,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_bytes(spark: SparkSession, path: str | None) -> int:
+    """Size of all files under a path."""
+    if path is None:
+        return 0
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def stored_path(df: DataFrame) -> str | None:
+    """The folder of a table that was cut; None if it has no file."""
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file in one atomic step: readers see the old content or the new one, never part of it."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
