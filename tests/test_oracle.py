@@ -8,8 +8,7 @@ from oracle import compare
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 #: slow queries without SQL that have their own tests
-OWN_TESTS = {"tune_priors", "training_schedule", "log_resp_vb", "log_resp_em", "discriminative_em", "topic_label_model",
-             "topic_then_label"}
+OWN_TESTS = {"log_resp_vb", "log_resp_em", "discriminative_em", "topic_label_model", "topic_then_label", "topic_schedule"}
 
 
 @pytest.mark.parametrize("name", [q for q in QUERIES if q not in OWN_TESTS])
