@@ -13,8 +13,27 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: bytes that a task and its Python worker exchange at once; texts and sets differ too much for a number of rows to bound them
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(value: str) -> int:
+    number, unit = value.strip().lower().rstrip("b"), 1
+    for mark, size in (("k", 10), ("m", 20), ("g", 30)):
+        if number.endswith(mark):
+            number, unit = number[:-1], 1 << size
+    return int(number) * unit
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the package's modules to the application's workers, once; a worker then imports and keeps them."""
+    """Gives the package's modules to the application's workers, once; a worker then imports and keeps them.
+
+    Also bounds the session's exchanges with Python workers in bytes, where they may be larger.
+    """
+    now = _bytes(spark.conf.get(_BYTES))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
