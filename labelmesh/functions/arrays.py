@@ -87,8 +87,19 @@ def argmax(column: str) -> Column:
     return F.expr(f"cast(array_position({column}, array_max({column})) - 1 AS int)")
 
 
-#: Longest array whose running sums are written out one by one.
-UNROLLED = 24
+#: Longest array whose running sums are written out one by one, and most classes whose pairs are.
+UNROLLED, UNROLLED_CLASSES = 24, 12
+
+
+def matrix(rows: list[list[float]]) -> str:
+    """A driver table as an array of arrays."""
+    return array([array([num(v) for v in row]) for row in rows])
+
+
+def times(rows: list[list[float]], vector: str) -> str:
+    """Product of a driver table with an array column, as an array. The column is bound: a lambda would compute it for each row."""
+    dot = "aggregate(zip_with(_row, _vector, (a, b) -> a * b), 0D, (s, v) -> s + v)"
+    return let(vector, "_vector", f"transform({matrix(rows)}, _row -> {dot})")
 
 
 def draw(df: DataFrame, weights: str, uniform: str, size: int, out: str) -> DataFrame:

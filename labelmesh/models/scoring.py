@@ -191,13 +191,18 @@ def score_items_expected(annotations: DataFrame, fit: Fit, items: DataFrame | No
         return score_items(annotations, model, items, features)
     k, num = model.n_labels, arrays.num
     now = _item_evidence(annotations, model, items, features)
-    g = arrays.array([
-        arrays.total([num(model.log_theta[a]), f"ye[{a}]", *[f"_s.h[{m}] * {num(model.log_mu[a][m])}" for m in range(k)]])
-        for a in range(k)
-    ])
-    h = arrays.array([
-        arrays.total([f"me[{m}]", *[f"_g[{a}] * {num(model.log_mu[a][m])}" for a in range(k)]]) for m in range(k)
-    ])
+    if k <= arrays.UNROLLED_CLASSES:
+        g = arrays.array([
+            arrays.total([num(model.log_theta[a]), f"ye[{a}]", *[f"_s.h[{m}] * {num(model.log_mu[a][m])}" for m in range(k)]])
+            for a in range(k)
+        ])
+        h = arrays.array([
+            arrays.total([f"me[{m}]", *[f"_g[{a}] * {num(model.log_mu[a][m])}" for a in range(k)]]) for m in range(k)
+        ])
+    else:
+        theta = arrays.array([num(v) for v in model.log_theta])
+        g = f"transform({arrays.times(model.log_mu, '_s.h')}, (x, i) -> {theta}[i] + ye[i] + x)"
+        h = f"transform({arrays.times([list(c) for c in zip(*model.log_mu)], '_g')}, (x, i) -> me[i] + x)"
     both = f"named_struct('g', _g, 'h', {arrays.softmax_text(h)})"
     start = f"named_struct('g', {arrays.zeros(k)}, 'h', {arrays.array([num(math.e)] * k)})"
     turns = f"aggregate(sequence(1, {ALTERNATIONS}), {start}, (_s, i) -> {arrays.let(arrays.softmax_text(g), '_g', both)})"
@@ -244,10 +249,13 @@ def score_items(annotations: DataFrame, model: PointModel, items: DataFrame | No
         scores = [arrays.total([num(model.log_theta[c]), f"ye[{c}]", f"me[{c}]"]) for c in range(k)]
     else:
         base = base.withColumn("_top", F.expr(arrays.largest(arrays.cells("me", k))))
-        scores = []
-        for c in range(k):
-            inner = arrays.total([f"exp({num(model.log_mu[c][d])} + me[{d}] - _top)" for d in range(k)])
-            scores.append(arrays.total([num(model.log_theta[c]), f"ye[{c}]", f"ln({inner})"]))
+        if k <= arrays.UNROLLED_CLASSES:
+            inner = [arrays.total([f"exp({num(model.log_mu[c][d])} + me[{d}] - _top)" for d in range(k)]) for c in range(k)]
+        else:
+            mu = [[math.exp(v) for v in row] for row in model.log_mu]
+            base = base.withColumn("_in", F.expr(arrays.times(mu, "transform(me, v -> exp(v - _top))")))
+            inner = arrays.cells("_in", k)
+        scores = [arrays.total([num(model.log_theta[c]), f"ye[{c}]", f"ln({inner[c]})"]) for c in range(k)]
     scored = base.select("item_id", F.expr(arrays.array(scores)).alias("_s"))
     return arrays.softmax(scored, "_s", "p", k)
 

@@ -114,8 +114,9 @@ class Sweeper:
     def machine_cells(self) -> list[float]:
         k = self.corpus.n_labels
         diag, off = self.priors.machine_cell(k)
-        sums = [f"sum(CASE WHEN y = {a} AND m = {b} THEN weight ELSE 0D END)" for a in range(k) for b in range(k)]
-        seen = scalars(self.state.agg(F.expr(arrays.array(sums)).alias("c")), "c", k * k)
+        seen = [0.0] * (k * k)
+        for r in self.state.groupBy("y", "m").agg(F.sum("weight").alias("n")).collect():  # K*K rows at most
+            seen[r["y"] * k + r["m"]] += r["n"]
         return [v + (diag if i // k == i % k else off) for i, v in enumerate(seen)]
 
     # -- conditionals ---------------------------------------------------------------------------
@@ -180,8 +181,13 @@ class Sweeper:
         rows = arrays.array([num(sum(mu[a * k:(a + 1) * k])) for a in range(k)])
         both = _ratios(both.withColumn("cur", F.expr(f"y * {k} + m")).withColumn("_t", F.expr(pair)), "_t", "weight", "weight", k * k, "_pair")
         both = _ratios(both.withColumn("cur", F.col("y")).withColumn("_t", F.expr(rows)), "_t", "weight", "weight", k, "_row").drop("_t")
-        block = [f"ys[{a}] + me[{d}] + _pair[{a * k + d}] - _row[{a}]" for a in range(k) for d in range(k)]
-        return both.withColumn("s", F.expr(arrays.array(block))).drop("ys", "me", "_pair", "_row", "cur")
+        if k <= arrays.UNROLLED_CLASSES:
+            block = arrays.array([f"ys[{a}] + me[{d}] + _pair[{a * k + d}] - _row[{a}]" for a in range(k) for d in range(k)])
+        else:
+            block = f"flatten(transform(ys, (y, a) -> transform(_w, (w, d) -> y + w + _pr[a * {k} + d] - _rw[a])))"
+            for column, name in (("me", "_w"), ("_pair", "_pr"), ("_row", "_rw")):  # bound: a lambda would compute them each time
+                block = arrays.let(column, name, block)
+        return both.withColumn("s", F.expr(block)).drop("ys", "me", "_pair", "_row", "cur")
 
     # -- moves ----------------------------------------------------------------------------------
 
@@ -221,17 +227,24 @@ class Sweeper:
         scored = scored.withColumn("s", F.expr(f"transform(s, x -> x / {scale})"))
         size = k * k if self.kind == MULTI else k
         if self.kind == MULTI and variable in ("y", "m"):
-            groups = [[f"s[{c * k + d}]" if variable == "y" else f"s[{d * k + c}]" for d in range(k)] for c in range(k)]
             scored = scored.withColumn("_top", F.expr("array_max(s)"))
-            sums = [f"ln({' + '.join(f'coalesce(exp({t} - _top), 0D)' for t in g)})" for g in groups]
-            scored = scored.withColumn("s", F.expr(arrays.array(sums))).drop("_top")
+            if k <= arrays.UNROLLED_CLASSES:
+                groups = [[f"s[{c * k + d}]" if variable == "y" else f"s[{d * k + c}]" for d in range(k)] for c in range(k)]
+                sums = arrays.array([f"ln({' + '.join(f'coalesce(exp({t} - _top), 0D)' for t in g)})" for g in groups])
+            else:
+                place = f"c * {k} + d" if variable == "y" else f"d * {k} + c"
+                each = f"aggregate(sequence(0, {k - 1}), 0D, (acc, d) -> acc + coalesce(exp(_v[{place}] - _most), 0D))"
+                sums = arrays.let("s", "_v", arrays.let("array_max(_v)", "_most", f"transform(sequence(0, {k - 1}), c -> ln({each}))"))
+            scored = scored.withColumn("s", F.expr(sums)).drop("_top")
             size = k
-        if sample:
-            noise = [f"s[{i}] + {rand.gumbel_text(f'{self.seed}-{self.sweeps}', 'item_id', str(i))}" for i in range(size)]
+        low, drawn = "-1.7976931348623157E308D", f"{self.seed}-{self.sweeps}"
+        if size <= arrays.UNROLLED_CLASSES ** 2:
+            noise = [f"s[{i}] + {rand.gumbel_text(drawn, 'item_id', str(i))}" if sample else f"round(s[{i}], 9)" for i in range(size)]
+            noise = arrays.array([f"coalesce({x}, {low})" for x in noise])
         else:
-            noise = [f"round(s[{i}], 9)" for i in range(size)]
-        low = "-1.7976931348623157E308D"
-        scored = scored.withColumn("_n", F.expr(arrays.array([f"coalesce({x}, {low})" for x in noise])))
+            noise = f"x + {rand.gumbel_text(drawn, 'item_id', 'i')}" if sample else "round(x, 9)"
+            noise = f"transform(s, (x, i) -> coalesce({noise}, {low}))"
+        scored = scored.withColumn("_n", F.expr(noise))
         scored = scored.withColumn("_pick", arrays.argmax("_n"))
         if self.kind == MULTI and variable == "all":
             y, m = f"cast(floor(_pick / {k}) AS int)", f"cast(_pick % {k} AS int)"

@@ -218,12 +218,15 @@ def _pair_step(corpus: Corpus, now: DataFrame, older: DataFrame, priors: Priors,
     zero = arrays.zeros(k)
     both = both.withColumn("ye", F.expr(f"coalesce(ye, {zero})")).withColumn("me", F.expr(f"coalesce(me, {zero})"))
     prior, num = prior_scores(pi), arrays.num
-    g, h = arrays.cells("p", k), arrays.cells("h", k)
-    gs = [
-        arrays.total([num(prior[a]), f"ye[{a}]", *[f"{h[m]} * {num(tau[a][m])}" for m in range(k)]]) for a in range(k)
-    ]
-    hs = [arrays.total([f"me[{m}]", *[f"{g[a]} * {num(tau[a][m])}" for a in range(k)]]) for m in range(k)]
-    scored = both.select("item_id", F.expr(arrays.array(gs)).alias("_g"), F.expr(arrays.array(hs)).alias("_h"))
+    if k <= arrays.UNROLLED_CLASSES:
+        g, h = arrays.cells("p", k), arrays.cells("h", k)
+        gs = arrays.array([arrays.total([num(prior[a]), f"ye[{a}]", *[f"{h[m]} * {num(tau[a][m])}" for m in range(k)]]) for a in range(k)])
+        hs = arrays.array([arrays.total([f"me[{m}]", *[f"{g[a]} * {num(tau[a][m])}" for a in range(k)]]) for m in range(k)])
+    else:
+        flat = arrays.array([num(v) for v in prior])
+        gs = f"transform({arrays.times(tau, 'h')}, (x, i) -> {flat}[i] + ye[i] + x)"
+        hs = f"transform({arrays.times([list(c) for c in zip(*tau)], 'p')}, (x, i) -> me[i] + x)"
+    scored = both.select("item_id", F.expr(gs).alias("_g"), F.expr(hs).alias("_h"))
     scored = arrays.softmax(arrays.softmax(scored, "_g", "p", k), "_h", "h", k)
     return scored.select("item_id", "p", "h")
 

@@ -33,15 +33,12 @@ def vocab_counts(features: DataFrame, assignment: DataFrame, n_labels: int, prio
 def machine_counts(pairs: DataFrame, n_labels: int, priors: Priors) -> DataFrame:
     """(truth, m, total): prior + weighted count of (y, m). Input: (item_id, y, m, weight)."""
     diag, off = priors.machine_cell(n_labels)
-    sums = [
-        f"sum(CASE WHEN y = {k} AND m = {m} THEN weight ELSE 0D END)" for k in range(n_labels) for m in range(n_labels)
-    ]
-    one = pairs.agg(F.expr(arrays.array(sums)).alias("c"))
-    long = arrays.long_form(one, "c", "cell", "total")
-    truth = F.floor(F.col("cell") / n_labels).cast("int")
-    m = F.pmod(F.col("cell"), F.lit(n_labels)).cast("int")
-    prior = F.when(truth == m, F.lit(diag)).otherwise(F.lit(off))
-    return long.select(truth.alias("truth"), m.alias("m"), (F.coalesce("total", F.lit(0.0)) + prior).alias("total"))
+    seen = pairs.groupBy(F.col("y").alias("truth"), "m").agg(F.sum("weight").alias("total"))
+    cell = F.col("id")
+    grid = pairs.sparkSession.range(n_labels * n_labels).select(
+        F.floor(cell / n_labels).cast("int").alias("truth"), F.pmod(cell, F.lit(n_labels)).cast("int").alias("m"))
+    prior = F.when(F.col("truth") == F.col("m"), F.lit(diag)).otherwise(F.lit(off))
+    return grid.join(seen, ["truth", "m"], "left").select("truth", "m", (F.coalesce("total", F.lit(0.0)) + prior).alias("total"))
 
 
 def confusion_grid(soft: DataFrame, annotators: DataFrame, n_labels: int, diag: float, off: float) -> DataFrame:

@@ -81,9 +81,17 @@ def class_sums(posterior: DataFrame, n_labels: int) -> DataFrame:
 
 
 def soft_machine_confusion(pairs: DataFrame, n_labels: int) -> DataFrame:
-    """One row: c[k*K + m] = sum over items of p[k] * h[m]. Input has both arrays per item."""
-    sums = [f"sum(p[{k}] * h[{m}])" for k in range(n_labels) for m in range(n_labels)]
-    return pairs.agg(F.expr(arrays.array(sums)).alias("c"))
+    """One row: c[k*K + m] = sum over items of p[k] * h[m]. Input has both arrays per item.
+
+    Few classes are written out as K*K sums; many become rows (truth, m, product), combined before they move.
+    """
+    k = n_labels
+    if k <= arrays.UNROLLED_CLASSES:
+        return pairs.agg(F.expr(arrays.array([f"sum(p[{a}] * h[{m}])" for a in range(k) for m in range(k)])).alias("c"))
+    long = pairs.select(F.posexplode("p").alias("a", "_p"), "h").select("a", "_p", F.posexplode("h").alias("m", "_h"))
+    cells = long.groupBy((F.col("a") * k + F.col("m")).alias("i")).agg(F.sum(F.col("_p") * F.col("_h")).alias("v"))
+    return cells.agg(F.expr("transform(array_sort(collect_list(struct(i, v))), x -> x.v)").alias("c")).select(
+        F.expr(f"CASE WHEN size(c) = 0 THEN array_repeat(0D, {k * k}) ELSE c END").alias("c"))
 
 
 def one_hot(assignment: DataFrame, n_labels: int, label: str = "label", weight: str = "1D") -> DataFrame:

@@ -446,10 +446,11 @@ TIGHT = {"max_steps": 400, "stop": 1e-8}
 
 
 def _tuned(spark, priors, *names):
-    return rounded(_one_row(spark, **{n: getattr(priors, n) for n in names}), *names, digits=3)
+    row = _one_row(spark, **{n: getattr(priors, n) for n in names})
+    return row.select(*(F.round(n, 1 if n == "c_gamma" else 3).alias(n) for n in names))
 
 
-_PAIR_OUT = "round((SELECT arg_max(d / (d + {n} * o), i) FROM con), 3) AS b_gamma, round((SELECT arg_max(d + {n} * o, i) FROM con), 3) AS c_gamma"
+_PAIR_OUT = "round((SELECT arg_max(d / (d + {n} * o), i) FROM con), 3) AS b_gamma, round((SELECT arg_max(d + {n} * o, i) FROM con), 1) AS c_gamma"
 
 
 @query("tune_priors", f"""WITH RECURSIVE {S.LINE}, {Q.variational(3, 1, False, P)}, {Q.m_step(2, 'g1', 3, U)}, {_strengths('soft2', 3)},

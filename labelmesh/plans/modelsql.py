@@ -187,7 +187,7 @@ def fixed_point(name: str, cells: str, totals: str, size: str, start: float, ste
   FROM (SELECT i, a, b, {step('b')} AS c FROM (SELECT i, a, {step('a')} AS b FROM {name} WHERE i < {steps})))"""
 
 
-def fixed_pair(name: str, cells: str, k: int, diag: float, off: float, steps: int = 2000) -> str:
+def fixed_pair(name: str, cells: str, k: int, diag: float, off: float, steps: int = 6000) -> str:
     """The same for the shared (diagonal, off-diagonal) strengths of ``cells`` (annotator_id, truth, label, c), by plain steps."""
     whole = f"(d + {k - 1} * o)"
     down = f"(SELECT sum({S.digamma(f'(v + {whole})')} - {S.digamma(whole)}) FROM {name}_rows)"

@@ -437,3 +437,32 @@ def test_backoff_of_topics(spark):
     topics = spark.createDataFrame([(1, [0]), (2, [1])], "item_id int, z array<int>")
     got = sorted(tuple(r) for r in backoff_state(items, state, fallback, topics).collect())
     assert got == [(1, 5, 7, [1, 0]), (2, 8, 8, [1])]
+
+
+def wide_case(spark, k, n=60):
+    r = np.random.default_rng(k)
+    truth = r.integers(0, k, n)
+    marks = [(i, j, int(truth[i] if r.random() < 0.7 else r.integers(0, k)), 1) for i in range(n) for j in range(4)]
+    bag = [(i, f"w{truth[i] if r.random() < 0.8 else r.integers(0, k)}", float(r.integers(1, 4))) for i in range(n) for _ in range(3)]
+    ann = spark.createDataFrame(marks, "item_id int, annotator_id int, label int, n long")
+    features = spark.createDataFrame(bag, "item_id int, feature string, value double").groupBy("item_id", "feature").agg(F.sum("value").alias("value"))
+    items = spark.createDataFrame([(i,) for i in range(n)], "item_id int")
+    start = spark.createDataFrame([(i, int(truth[i]), int(r.integers(0, k))) for i in range(n)], "item_id int, y int, m int")
+    return ann, features, items, start, truth
+
+
+def test_pairs_of_many_classes_as_rows_equal_pairs_written_out(spark, monkeypatch):
+    k = 3
+    ann, features, items, start, _ = wide_case(spark, k, 25)
+    seen = []
+    for unrolled in (k, 1):
+        monkeypatch.setattr(arrays, "UNROLLED_CLASSES", unrolled)
+        fit = M.multi_resp_vb(ann, features, items, k, M.random_simplex(items, k, 1), P, 1)
+        scored = scoring.score_items_expected(ann, fit, items, features)
+        point = scoring.score_items(ann, scoring.point_model(fit), items, features)
+        out = [sorted((r["item_id"], *np.round(r[c], 7)) for r in df.collect()) for df, c in ((fit.posterior, "p"), (fit.machine, "h"), (scored, "p"), (point, "p"))]
+        for variable, sample in (("all", True), ("y", True), ("m", False)):
+            run = sweeps.Sweeper.start(sweeps.MULTI, ann, start, k, P, features, seed=2).sweep(variable, sample)
+            out.append(sorted((r["item_id"], r["y"], r["m"]) for r in run.state.collect()))
+        seen.append(out)
+    assert seen[0] == seen[1]
