@@ -17,8 +17,9 @@ DIMENSIONS, ORDERS = 4096, (1, 2, 3)
 BLOCK = 1 << 20
 #: labelled rows that the centroids are fitted on, shared evenly by the languages; rows of a language that the sample grows by
 SAMPLE_ROWS, LANGUAGE_ROWS, CENTROIDS = 1600, 8, 3
-#: a text of at least so many n-grams is rejected if its cosine is below this share of the lowest in its centroid's sample
-REACH, LEAST_NGRAMS = 0.5, 400
+#: a text is rejected if its cosine is below this share of the lowest (but for one in a hundred) that texts of its language
+#: and length have; lengths, in n-grams, from which a class of texts begins, and n-grams that a character gives about
+REACH, LENGTHS, NGRAMS_A_CHARACTER = 0.6, (0, 16, 32, 64, 128, 256, 512, 1024, 4096), 3
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -63,7 +64,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each
     of: np.ndarray  # language of each centroid
-    floor: np.ndarray  # least cosine that each accepts
+    floor: np.ndarray  # least cosine that each language accepts, by class of length
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         weighted = np.log1p(counts)
@@ -82,7 +83,8 @@ class Model:
         nearest, first = cosine.argmax(axis=1), best.argmax(axis=1)
         power = np.exp(20 * (best - best.max(axis=1, keepdims=True)))
         score = power.max(axis=1) / power.sum(axis=1)
-        far = (cosine.max(axis=1) < self.floor[nearest]) & (counts.sum(axis=1) >= LEAST_NGRAMS)
+        length = np.searchsorted(LENGTHS, counts.sum(axis=1), "right") - 1
+        far = cosine.max(axis=1) < self.floor[self.of[nearest], length]
         return [(UNKNOWN, 0.0, True) if e else (self.languages[f], float(s), bool(r)) for e, f, s, r in zip(empty, first, score, far)]
 
 
@@ -105,23 +107,41 @@ def fit_counts(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS)
         counts, langs = counts[keep], [lang for lang, k in zip(langs, keep) if k]
     languages = sorted(set(langs))
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(counts.dtype)
-    model = Model(languages, idf, np.empty((0, DIMENSIONS)), np.empty(0, dtype=int), np.empty(0))
+    model = Model(languages, idf, np.empty((0, DIMENSIONS)), np.empty(0, dtype=int), np.zeros((len(languages), len(LENGTHS))))
     vectors, label = model.vectors(counts), np.array(langs)
-    rows, of, floor = [], [], []
+    rows, of = [], []
     for i, language in enumerate(languages):
         own = vectors[label == language]
         centers = cluster(own, centroids)
-        cosine = own @ centers.T
-        for c in range(len(centers)):
-            members = cosine[cosine.argmax(axis=1) == c, c]
-            rows.append(centers[c])
-            of.append(i)
-            floor.append(REACH * float(np.quantile(members, 0.01)) if len(members) else 0.0)
+        rows += list(centers)
+        of += [i] * len(centers)
     if rows:
-        model.centroids, model.of, model.floor = np.stack(rows), np.array(of), np.array(floor)
+        model.centroids, model.of = np.stack(rows), np.array(of)
     return model
 
 
+def nearness(model: Model, text: str) -> list[float | None]:
+    """Largest cosine of the text cut to each class's length; null where the text is shorter."""
+    sizes = [max(1, length // NGRAMS_A_CHARACTER) for length in LENGTHS]
+    cuts = [count_ngrams(text[:size]) for size in sizes if size <= len(text)]
+    found = (model.vectors(np.stack(cuts)) @ model.centroids.T).max(axis=1).tolist() if cuts else []
+    return found + [None] * (len(sizes) - len(found))
+
+
+def floors(model: Model, langs: list[str], found: np.ndarray) -> np.ndarray:
+    """For each language and class of length the least cosine that is accepted. ``found``: a row of ``nearness`` each.
+
+    A class that no row of a language reaches takes the floor of the class below it.
+    """
+    out, label = np.zeros((len(model.languages), len(LENGTHS))), np.array(langs)
+    for i, language in enumerate(model.languages):
+        own = found[label == language]
+        for c in range(len(LENGTHS)):
+            known = own[~np.isnan(own[:, c]), c]
+            out[i, c] = REACH * float(np.quantile(known, 0.01)) if len(known) else out[i, c - 1] if c else 0.0
+    return out
+
+
 def held_out(key: Column) -> Column:
     """Rows that no model may learn from: the CRC-32 of the key as text leaves 1 when divided by 3."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 3 == 1
@@ -165,18 +185,28 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", te
         counts[place[at:at + len(chunk)]] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
         at += len(chunk)
     del found
-    return fit_counts(counts, [langs[i] for i in rank])
+    model = fit_counts(counts, [langs[i] for i in rank])
+    if not len(model.languages):
+        return model
+
+    def near(batches):
+        for batch in batches:
+            rows = [nearness(model, t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["lang", "near"])
+
+    cosines = sample.select("lang", "text").mapInArrow(near, "lang string, near array<double>").toArrow()
+    model.floor = floors(model, cosines.column("lang").to_pylist(), np.array(cosines.column("near").to_pylist(), dtype=float).reshape(-1, len(LENGTHS)))
+    return model
 
 
 def language_of(text: Column, model: Model, spark: SparkSession) -> Column:
-    """Struct (lang_pred, score, rejected) of each whole text."""
+    """Struct (lang_pred, score, rejected) of each whole text. The model travels with the function."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     @F.arrow_udf(kind)
     def identify(texts: pa.Array) -> pa.Array:
-        model, out = shared.value, []
+        out = []
         for at in range(0, len(texts), 256):
             out += model.predict(np.stack([count_ngrams(t.as_py() or "") for t in texts.slice(at, 256)]))
         return pa.StructArray.from_arrays(
