@@ -83,7 +83,7 @@ def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["op5_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, n, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
@@ -100,11 +100,11 @@ WITH d AS (
   SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS rounds FROM t
 ), c AS (
   SELECT d.*, b.n, b.target, b.rounds, b.target - b.rounds * b.n AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+    sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, size, n AS source_size, target::DOUBLE AS target,
-  (size * (rounds + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (rounds + CASE WHEN upto <= rest OR (upto - size <= rest AND upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
 
