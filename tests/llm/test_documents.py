@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from awkward import TEXTS, documents, empty
 from labelmesh.llm import divergence, jaccard, language, mixing, queries, subspace, toxicity
+from labelmesh.llm.automata import best_path, compose
 from oracle import compare
 from test_tokens import check_packing, tokenizer  # noqa: F401
 
@@ -55,6 +56,33 @@ def test_mixing_awkward_rows(spark):
     assert copies.columns == docs.columns and mixing.repeat_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("repeat", [100_000, 7])
+def test_mixing_meets_targets_with_a_hot_key(spark, monkeypatch, repeat):
+    """A third of the rows without an id, a third equal in all columns: each source's words still come near its target."""
+    monkeypatch.setattr(mixing, "REPEAT", repeat)
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(r.randint(1, 12)))
+    rows = [(i, text(), "abc"[i % 3], i) for i in range(60)] + [(None, text(), "abc"[i % 3], i) for i in range(60)]
+    rows += [(7, "one two three four", "a", 0)] * 40 + [(8, "five words are in here", "b", i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more int").repartition(4)
+    got = mixing.mix_documents(docs).collect()
+    assert Counter((x.doc_id, x.size) for x in got) == Counter((doc, len(t.split())) for doc, t, *_ in rows)
+    assert all(x.taken <= 2 * x.size for x in got)
+    taken, target = defaultdict(int), {}
+    for x in got:  # sources have different sizes here, so their size names them
+        taken[x.source_size] += x.taken
+        target[x.source_size] = x.target
+    assert len(target) == 3 and all(abs(taken[n] - target[n]) <= 12 for n in target)
+    copies = mixing.repeat_documents(docs).collect()
+    assert sum(len(x.text.split()) for x in copies) == sum(taken.values())
+    by_row = Counter(map(tuple, copies))
+    allowed = Counter(rows)
+    assert all(n <= 2 * allowed[row] for row, n in by_row.items())
+    assert Counter((x.doc_id, len(x.text.split())) for x in copies) == Counter(
+        (x.doc_id, x.size) for x in got for _ in range(x.taken // x.size if x.size else 0))
+    assert sorted(map(tuple, copies), key=repr) == sorted(map(tuple, mixing.repeat_documents(docs.repartition(3)).collect()), key=repr)
+
+
 def plain_quality(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
@@ -112,6 +140,25 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in language.identify_languages(unlabelled).collect()} == {"und"}
 
 
+STRANGERS = (
+    "Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний даст мощный толчок подъёму.",
+    "Zażółć gęślą jaźń, pchnąć w tę łódź jeża lub ośm skrzyń fig. Litwo, ojczyzno moja, ty jesteś jak zdrowie, ile cię trzeba cenić.",
+    "zxqj vkwp bfgh qqzx wvkj xzqp kkjw ppzq vvxk jjqz wwkp zzxv qkjw pxzv kqwj zpxk vjqw xkpz qwvj kzxp vqjk pzwx",
+    "日本語の文章はここにあります。漢字とひらがなとカタカナを使います。東京は大きな町です。私は毎日電車で学校に行きます。",
+)
+
+
+def test_strangers_of_any_length_are_rejected_and_clean_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    known = [r.text for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect()]
+    for size in (25, 60, 110, 400, 3000):
+        strange = [(text * 40)[:size] for text in STRANGERS]
+        assert all(rejected for *_, rejected in model.predict(np.stack([language.count_ngrams(t) for t in strange]))), size
+        clean = model.predict(np.stack([language.count_ngrams(t[:size]) for t in known]))
+        assert sum(rejected for *_, rejected in clean) <= 0.01 * len(clean), size
+
+
 def test_every_language_is_learned(spark):
     """More languages than 200, rare ones beside a common one and a row that repeats often."""
     r = random.Random(9)
@@ -133,23 +180,67 @@ def test_ngram_counts_do_not_depend_on_blocks(monkeypatch):
     assert np.abs(language.count_ngrams(text) - whole).sum() <= 0.02 * whole.sum()
 
 
+def all_paths(machine, symbols):
+    """(weight, written) of every path that reads all symbols and ends in a final state."""
+    found = [(0.0, machine.start, [])]
+    for symbol in symbols:
+        found = [(w + v, to, [*out, write]) for w, state, out in found for to, write, v in machine.arcs.get((state, symbol), ())]
+    return [(w, out) for w, state, out in found if state in machine.final]
+
+
+MACHINES = [toxicity.negation(), toxicity.reported(), toxicity.threat(), toxicity.target()]
+
+
+def test_composition_equals_running_one_machine_after_the_other():
+    r = random.Random(6)
+    first = compose(MACHINES[0], MACHINES[1])
+    for _ in range(300):
+        symbols = [r.choice(toxicity.CLASSES) for _ in range(r.randint(0, 7))]
+        one_by_one = [(0.0, symbols)]
+        for machine in MACHINES:
+            one_by_one = [(w + v, out) for w, read in one_by_one for v, out in all_paths(machine, read)]
+        whole = all_paths(toxicity.MACHINE, symbols)
+        assert Counter((w, tuple(out)) for w, out in whole) == Counter((w, tuple(out)) for w, out in one_by_one)
+        assert Counter((w, tuple(out)) for w, out in all_paths(first, symbols)) == Counter(
+            (w + v, tuple(out)) for w, read in all_paths(MACHINES[0], symbols) for v, out in all_paths(MACHINES[1], read))
+
+
+@pytest.mark.parametrize("machine", [*MACHINES, toxicity.MACHINE])
+def test_best_path_is_the_heaviest_of_all(machine):
+    r = random.Random(7)
+    alphabet = sorted(machine.alphabet)
+    for _ in range(300):
+        symbols = [r.choice(alphabet) for _ in range(r.randint(0, 8))]
+        every = all_paths(machine, symbols)
+        best = best_path(machine, symbols)
+        assert best[0] == max(w for w, _ in every) and any(w == best[0] and out == best[1] for w, out in every)
+
+
 def test_toxic_grammar_contexts():
     g = toxicity.Grammar({"idiot": 2.0}, {"trash": 1.0})
     assert g.matches("what an idiot") == [("plain", 2.0)]
-    assert g.matches("you are an idiot") == [("targeted", 2.0)]
-    assert g.matches("he is not an idiot")[0][0] == "negated"
-    assert g.matches("they said idiot")[0][0] == "reported"
-    assert g.matches("kill the dragon") == [] and g.matches("i will kill you") == [("threat", 2.0)]
-    assert g.matches("trashy") == [("plain", 1.0)] and g.matches("idiotic") == []
+    for clause, context in {
+        "you are an idiot": "targeted", "an idiot like you": "targeted", "he is not an idiot": "negated", "he isn't an idiot": "negated",
+        "don't call him an idiot": "negated", "they said idiot": "reported", "he claims that you are an idiot": "reported",
+        "you are no idiot but they said hello": "negated", "they said hello but what an idiot": "plain", "idiot at last said the reporter": "plain",
+    }.items():
+        assert g.matches(clause) == [(context, 2.0)], clause
+    for clause in ("kill the dragon", "they beat the team and you cheered", "the fire will burn you", "you kill me", "idiotic"):
+        assert g.matches(clause) == [], clause
+    for clause in ("i will kill you", "we are gonna destroy him", "killing you", "i will beat them", "ich werde dich töten you"):
+        assert g.matches(clause) == [("threat", 2.0)], clause
+    assert g.matches("i will not hurt you") == [("negated", 2.0)] and g.matches("she said i will kill you") == [("reported", 2.0)]
+    assert g.matches("trashy") == [("plain", 1.0)]
     assert g.features("A clean text. Nothing here.") == [0.0] * len(toxicity.FEATURES)
+    assert g.features("Idiot. " * 400_000)[0] > 10  # a very long text
 
 
 def test_toxicity(spark, sf):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = queries.QUERIES["op10_toxicity"](spark, sf).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
-    right = [r.predicted == labels[r.doc_id] for r in rows if r.doc_id in labels]
-    assert sum(right) / len(right) > 0.85
+    right = [r.predicted == labels[r.doc_id] for r in rows if r.held_out and r.doc_id in labels]
+    assert len(right) > 10 and sum(right) / len(right) > 0.9
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int, text string")
     assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
@@ -158,6 +249,26 @@ def test_toxicity(spark, sf):
     assert toxicity.score_toxicity(empty(spark), none).count() == 0
 
 
+def test_learned_insults_equal_a_plain_choice(spark):
+    """What tasks count is what one pass over all texts counts; many insults are learned, not only the first ones."""
+    r = random.Random(11)
+    bad = [f"bad{chr(97 + i // 26)}{chr(97 + i % 26)}zz" for i in range(60)]
+    rows = [(i, int(i % 2), " ".join([r.choice(["stone", "river", "light"]) for _ in range(6)] + ([bad[i // 2 % 60]] if i % 2 else []))) for i in range(2400)]
+    sample = spark.createDataFrame(rows, "nth long, y int, text string").repartition(4)
+    got = toxicity._learn(sample)
+    counts, where = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for nth, y, text in rows:
+        for p in toxicity._patterns(text):
+            counts[p][1 - y] += 1
+            if y:
+                where[p].add(nth)
+    counts = {p: tuple(c) for p, c in counts.items()}
+    weights = toxicity.candidates(counts, 1200, 1200)
+    want = toxicity.choose_insults({p: where[p] for p in weights}, counts, weights, 1200, 1200)
+    assert (got.words, got.stems) == (want.words, want.stems)
+    assert all(got.insult(word) > 0 for word in bad) and not got.insult("stone")
+
+
 def plain_shingles(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
@@ -230,6 +341,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     r = np.random.default_rng(7)
     base = r.normal(size=(60, 24))
     vectors = np.concatenate([base + r.normal(size=base.shape) * s for s in (0, 0, 0.05, 0.1, 0.2, 0.25)] + [base[:1] + r.normal(size=(150, 24)) * 0.15, base * 3])
+    vectors[[3, 70]] *= [[1e-200], [1e200]]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     odd = [None, [], [0.0] * 24, [float("nan")] * 24, [None] * 24, [float("inf")] + [1.0] * 23, [1.0, 2.0]]
     rows += [(1000 + i, v) for i, v in enumerate(odd)] + [(5, rows[5][1])]
@@ -238,7 +350,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     for x in subspace.near_duplicates(docs).collect():
         got[x.vec_id].append((x.n_links, x.component_id, x.kept))
     good = [(k, np.array(v)) for k, v in rows if k < 1000]
-    unit = np.array([v / np.linalg.norm(v) for _, v in good])
+    unit = np.array([v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for _, v in good])
     linked = unit @ unit.T >= 0.95
     np.fill_diagonal(linked, False)
     keys = [k for k, _ in good]

@@ -146,6 +146,53 @@ def test_grammar_round_trip_and_random_access():
             assert length == len(again.expand(np.array([g.base + int(np.flatnonzero((g.rules == rule).all(1))[0])])))
 
 
+def plain_rounds(ids, base, least):
+    """Re-Pair in rounds, every pair counted anew in each: rules, and what is left of the ids."""
+    symbols, rules = ids.tolist(), []
+    while True:
+        counts = Counter(zip(symbols, symbols[1:]))
+        lefts, rights, chosen = set(), set(), {}
+        for pair, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            if n < least:
+                break
+            a, b = pair
+            if a in rights or b in lefts or a == b and (a in lefts or b in rights):
+                continue
+            lefts.add(a)
+            rights.add(b)
+            chosen[pair] = base + len(rules)
+            rules.append(pair)
+        if not chosen:
+            return rules, symbols
+        out, i = [], 0
+        while i < len(symbols):
+            name = chosen.get(tuple(symbols[i:i + 2]))
+            out.append(symbols[i] if name is None else name)
+            i += 1 if name is None else 2
+        symbols = out
+
+
+def test_kept_counts_equal_counting_everything_again(monkeypatch):
+    monkeypatch.setattr(grammar, "SLOTS", 1 << 24)  # no two pairs in one place, as in the plain version
+    r = np.random.default_rng(12)
+    for n, kinds, narrow in ((400, 3, 1 << 16), (3000, 40, 1 << 16), (3000, 40, 1), (2000, 500, 30)):
+        monkeypatch.setattr(grammar, "NARROW", narrow)
+        ids = r.integers(0, kinds, n).astype("<u4")
+        g = grammar.compress(ids, kinds, least=3)
+        rules, symbols = plain_rounds(ids, kinds, 3)
+        assert g.rules.tolist() == [list(x) for x in rules] and g.symbols.tolist() == symbols
+
+
+def test_span_expands_what_it_covers_only(monkeypatch):
+    r = np.random.default_rng(4)
+    ids = np.tile(r.integers(0, 900, 5000), 6).astype("<u4")
+    g = grammar.compress(ids, 900)
+    monkeypatch.setattr(grammar.Grammar, "_expansions", lambda self: 1 / 0)
+    for a in r.integers(0, len(ids) - 70, 50).tolist():
+        assert (g.span(a, 70) == ids[a:a + 70]).all()
+    assert (g.span(0, len(ids)) == ids).all() and len(g.span(7, 0)) == 0
+
+
 def test_no_frequent_pair_is_left():
     """With the values that op3 uses: copies, symbols past 16 bits, and pairs that meet in the lookup table."""
     r = np.random.default_rng(8)
