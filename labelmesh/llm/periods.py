@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ MANY = 64
 PRIME, ROOT = 3221225473, 5
 _P = np.uint64(PRIME)
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 
 def _mod(x: np.ndarray) -> np.ndarray:
     return x - x // _P * _P
@@ -214,9 +217,8 @@ def numbered(text: str | None, names: defaultdict[bytes, int]) -> np.ndarray:
     data = (text or "").encode()
     parts, at = [], 0
     while at < len(data):
-        end = at + TEXT_BLOCK
-        while end < len(data) and data[end] not in b"\x20\x09\x0a\x0b\x0c\x0d":
-            end += 1
+        space = _SPACE.search(data, at + TEXT_BLOCK) if at + TEXT_BLOCK < len(data) else None
+        end = space.start() if space else len(data)
         words = data[at:end].split()
         parts.append(np.fromiter(map(names.__getitem__, words), dtype=np.int64, count=len(words)))
         at = end
