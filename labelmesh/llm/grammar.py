@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +52,38 @@ class Grammar:
         sizes = np.concatenate((np.ones(self.base, dtype=np.int64), self.lengths))
         return flat[_ranges(starts[symbols], sizes[symbols])].astype("<u4")
 
-    def span(self, start: int, length: int) -> np.ndarray:
-        """Ids ``start`` to ``start + length``, expanding only the symbols that cover them."""
-        size = np.ones(len(self.symbols), dtype=np.int64)
-        rule = self.symbols >= self.base
-        size[rule] = self.lengths[self.symbols[rule] - self.base]
-        ends = np.cumsum(size)
-        first, last = np.searchsorted(ends, [start, start + length - 1], "right") if length else (0, -1)
-        if length == 0:
-            return np.empty(0, dtype="<u4")
-        skip = start - (int(ends[first]) - int(size[first]))
-        return self.expand(self.symbols[first:last + 1])[skip:skip + length]
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        size = np.ones(len(symbols), dtype=np.int64)
+        rule = symbols >= self.base
+        size[rule] = self.lengths[symbols[rule] - self.base]
+        return size
+
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        """Ids up to the end of each symbol."""
+        return np.cumsum(self._sizes(self.symbols))
 
+    def span(self, start: int, length: int) -> np.ndarray:
+        """Ids ``start`` to ``start + length``.
+
+        Symbols are replaced by their two parts, level by level, and what lies outside is dropped before each: the work
+        follows the span and the depth of the rules, not their number.
+        """
+        symbols = self.symbols
+        while length > 0:
+            ends = self._ends if symbols is self.symbols else np.cumsum(self._sizes(symbols))
+            first, last = np.searchsorted(ends, [start, start + length - 1], "right")
+            start -= int(ends[first - 1]) if first else 0
+            symbols = symbols[first:last + 1]
+            rule = symbols >= self.base
+            if not rule.any():
+                return symbols[start:start + length].astype("<u4")
+            parts = np.repeat(symbols, 1 + rule)
+            at = np.cumsum(1 + rule) - 1 - rule  # where each symbol's parts begin
+            parts[at[rule]], parts[at[rule] + 1] = self.rules[symbols[rule] - self.base].T
+            symbols = parts
+        return np.empty(0, dtype="<u4")
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start and size, one after the other."""
@@ -71,52 +92,76 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * 2654435761 + right * 40503) >> 11) & (SLOTS - 1)
-
-
-def _frequent(symbols: np.ndarray, least: int) -> np.ndarray:
-    """Pairs that occur ``least`` times, most frequent first, of which no two can overlap in the text."""
-    keys = np.sort((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:].astype(np.uint64))
-    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    counts = np.diff(np.append(edges, len(keys)))
-    often = counts >= least
+    """A place for each pair of 32-bit symbols."""
+    return ((left * np.uint32(2654435761) + right * np.uint32(40503)) >> np.uint32(11)) & np.uint32(SLOTS - 1)
+
+
+def _counted(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times, as 64-bit keys, most frequent first, and how often."""
+    if len(left) and max(int(left.max()), int(right.max())) < NARROW:
+        keys = np.sort((left << np.uint32(16)) | right).astype(np.uint64)  # half as much to sort
+        keys = (keys >> np.uint64(16) << np.uint64(32)) | (keys & np.uint64(0xFFFF))
+    else:
+        keys = np.sort((left.astype(np.uint64) << np.uint64(32)) | right)
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, dtype=np.int64)
+    counts = np.diff(edges)
+    often = np.flatnonzero(counts >= least)
     keys, counts = keys[edges[often]], counts[often]
     order = np.lexsort((keys, -counts))
+    return keys[order], counts[order]
+
+
+def _apart(keys: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in order, no earlier one can overlap in the text."""
     lefts: set[int] = set()
     rights: set[int] = set()
-    chosen = []
-    for key in keys[order].tolist():
-        left, right = key >> 32, key & 0xFFFFFFFF
+    chosen = np.zeros(len(keys), dtype=bool)
+    for i, (left, right) in enumerate(zip((keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist())):
         if left in rights or right in lefts or left == right and (left in lefts or right in rights):
             continue
         lefts.add(left)
         rights.add(right)
-        chosen.append((left, right))
-    return np.array(chosen, dtype=np.int64).reshape(-1, 2)
+        chosen[i] = True
+    return chosen
 
 
 def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST) -> Grammar:
     """Repeatedly gives the frequent pairs a nonterminal. In one round all pairs are replaced that cannot overlap,
     which is the same as replacing them one after the other; a pair of equal symbols is replaced from the left of
-    each run. Ends when no pair is frequent, or after ``rounds`` if given."""
-    symbols = ids.astype(np.int64)
+    each run. Ends when no pair is frequent, or after ``rounds`` if given.
+
+    A pair that has become frequent holds a symbol of the round before; any other frequent pair was one already and was
+    left over. So after the first round only places of new symbols and of pairs left over are counted.
+    """
+    symbols = ids.astype(np.uint32)
+    base = max(base, int(symbols.max(initial=0)) + 1)
     rules, lengths, levels = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64), []
-    top = max(base, int(symbols.max(initial=0)) + 1)
-    base = top
+    fresh, waiting = 0, np.empty(0, dtype=np.uint64)  # first symbol of the round before, and pairs left over
     while (rounds is None or len(levels) < rounds) and len(symbols) > 1:
-        pairs = _frequent(symbols, least)
-        if not len(pairs):
+        left, right = symbols[:-1], symbols[1:]
+        slots = _slot(left, right)
+        if levels:
+            marked = np.zeros(SLOTS, dtype=bool)
+            marked[_slot((waiting >> np.uint64(32)).astype(np.uint32), waiting.astype(np.uint32))] = True
+            new = symbols >= fresh
+            at = np.flatnonzero(marked[slots] | new[:-1] | new[1:])
+            keys, counts = _counted(left[at], right[at], least)
+        else:
+            keys, counts = _counted(left, right, least)
+        if not len(keys):
             break
+        chosen = np.flatnonzero(_apart(keys))
+        pairs = np.stack((keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32)
         table = np.full(SLOTS, -1, dtype=np.int32)
         places = _slot(pairs[:, 0], pairs[:, 1])
         table[places[::-1]] = np.arange(len(pairs))[::-1]
         owners = table[places] == np.arange(len(pairs))
         pairs = pairs[owners]
         table[places[owners]] = np.arange(len(pairs))
+        waiting = np.delete(keys, chosen[owners])
         levels.append(len(rules))
-        named = np.arange(len(pairs)) + base + len(rules)
-        left, right = symbols[:-1], symbols[1:]
-        found = table[_slot(left, right)]
+        fresh = base + len(rules)
+        found = table[slots]
         spots = np.flatnonzero(found >= 0)
         found = found[spots]
         hit = (pairs[found, 0] == left[spots]) & (pairs[found, 1] == right[spots])
@@ -124,20 +169,20 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
         twin = symbols[spots] == symbols[spots + 1]
         if twin.any():  # of neighbours in a run of one symbol, take every other
             at = spots[twin]
-            fresh = np.concatenate(([True], np.diff(at) != 1))
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            first = np.concatenate(([True], np.diff(at) != 1))
+            head = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
             drop = (np.arange(len(at)) - head) % 2 == 1
             keep = np.ones(len(spots), dtype=bool)
             keep[np.flatnonzero(twin)[drop]] = False
             spots, found = spots[keep], found[keep]
         keep = np.ones(len(symbols), dtype=bool)
         keep[spots + 1] = False
-        size = lambda s: np.where(s >= base, lengths[np.maximum(s - base, 0)] if len(lengths) else 1, 1)
-        grown = size(pairs[:, 0]) + size(pairs[:, 1])
-        symbols[spots] = named[found]
+        symbols[spots] = (fresh + found).astype(np.uint32)
         symbols = symbols[keep]
-        rules, lengths = np.concatenate((rules, pairs)), np.concatenate((lengths, grown))
-    return Grammar(base, rules, np.array(levels, dtype=np.int64), lengths, symbols)
+        pairs = pairs.astype(np.int64)
+        size = lambda s: np.where(s >= base, lengths[np.maximum(s - base, 0)] if len(lengths) else 1, 1)
+        rules, lengths = np.concatenate((rules, pairs)), np.concatenate((lengths, size(pairs[:, 0]) + size(pairs[:, 1])))
+    return Grammar(base, rules, np.array(levels, dtype=np.int64), lengths, symbols.astype(np.int64))
 
 
 SHARD = T.StructType([
@@ -173,8 +218,9 @@ def write_token_files(
     The folder holds Parquet files of shard rows: rules, expansion lengths, symbols, and keys and lengths of the
     shard's whole documents. Keys are dealt by range, so each task writes one run of the order (``part``) and needs
     memory for one shard. Spark's writer commits whole tasks, so a lost executor's shards are written again. Null
-    texts have the end id alone, null keys come first, rows that repeat a key are ordered by text, an empty table
-    gives an empty folder. With ``added`` the strings of added tokens inside a text give these tokens.
+    texts have the end id alone, null keys come first, rows that repeat a key are ordered by text within a task's run
+    and by the text's hash between runs, an empty table gives an empty folder. With ``added`` the strings of added
+    tokens inside a text give these tokens.
     """
     vocab = publish(docs.sparkSession, path or vocabulary("byte_bpe_50k.json"))
     kept = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
