@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ _CLASSES = {
 _LETTER = (_CLASSES["upper"] | _CLASSES["lower"] | _CLASSES["foreign"]).astype(np.int64)
 _SPACE = (_BYTE == 0x20) | (_BYTE >= 0x09) & (_BYTE <= 0x0D)
 _ENDS = np.isin(_BYTE, list(b"#*$%&|<>@^~=+\\/_`"))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _TOTALS = np.stack([mask for mask in _CLASSES.values()]).astype(np.int64)
 STATISTICS = (
     "words", "word_bytes", "longest", *_CLASSES, "entropy", "lines", "line_words", "line_copies", "line_stops", "distinct", "distinct_root",
@@ -61,8 +63,8 @@ def statistics(text: str | None) -> list[float]:
     counts, codes, lengths, lines, at = np.zeros(256, dtype=np.int64), [], [], Counter(), 0
     stops = letterless = ends = 0
     while at < len(data):
-        end = data.find(b"\n", at + TEXT_BLOCK)
-        end = len(data) if end < 0 else end + 1
+        gap = _GAP.search(data, at + TEXT_BLOCK) if at + TEXT_BLOCK < len(data) else None
+        end = gap.end() if gap else len(data)
         part = data[at:end]
         raw = np.frombuffer(part, dtype=np.uint8)
         counts += np.bincount(raw, minlength=256)
@@ -74,12 +76,12 @@ def statistics(text: str | None) -> list[float]:
             lengths.append(past - first)
             letterless += int(np.count_nonzero(np.add.reduceat(_LETTER[raw], first) == 0))
             ends += int(np.count_nonzero(_ENDS[raw[past - 1]]))
-        for line in part.split(b"\n"):
-            line = line.strip()
-            if line:
-                lines[hash(line)] += 1
-                stops += line[-1:] in b".!?:;\""
         at = end
+    for line in data.split(b"\n"):
+        line = line.strip()
+        if line:
+            lines[hash(line)] += 1
+            stops += line[-1:] in b".!?:;\""
     code = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
     length = np.concatenate(lengths) if lengths else np.empty(0, dtype=np.int64)
     n, size, n_lines = len(code), max(1, len(data)), lines.total()
