@@ -20,6 +20,13 @@ PIECE, VISITORS, PAIRS = 2048, 256, 50_000
 SLACK = 1e-9
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one. A power of two is taken out first, exactly, so no square overflows or vanishes."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    scaled = np.ldexp(vectors, -power)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
 @dataclass
 class Space:
     """A rotation, its blocks with their share of the squared distance, and cells (Voronoi) inside each block."""
@@ -32,7 +39,7 @@ class Space:
 
     def rotate(self, vectors: np.ndarray) -> np.ndarray:
         """Unit vectors in rotated coordinates; every row's result depends on that row alone."""
-        unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        unit = unit_rows(vectors)
         out = np.empty_like(unit)
         for at in range(0, len(unit), 128):
             out[at:at + 128] = (unit[at:at + 128, None, :] * self.rotation).sum(axis=2)
@@ -87,7 +94,7 @@ class _Cell:
     def __init__(self, space: Space, block: int, nodes: np.ndarray, weights: np.ndarray, vectors: np.ndarray):
         self.space, self.block, self.nodes, self.weights = space, block, nodes, weights
         self.vectors = vectors
-        self.unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        self.unit = unit_rows(vectors)
         self.rotated = space.rotate(vectors)
         self.counts = np.zeros(len(nodes), dtype=np.int64)
         self.parent = np.arange(len(nodes))
@@ -141,7 +148,7 @@ class _Cell:
 
     def visit(self, nodes: np.ndarray, weights: np.ndarray, vectors: np.ndarray):
         """Rows (a, b, n): links found for visitors, and one edge for each of them."""
-        unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        unit = unit_rows(vectors)
         visitor, home = self.links(self.space.rotate(vectors), unit)
         if not len(visitor):
             return []
@@ -263,7 +270,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.95, key: str = "vec_id"
     and a spanning forest leave a task, never all pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
-    different lengths. Repeated rows are linked with each other. A null key counts as a vector but names a component
+    different lengths. Components may be as small or large as doubles go. Repeated rows are linked with each other. A null key counts as a vector but names a component
     only if all its keys are null. Other columns are not read, an empty table gives no rows.
     """
     spark = vectors.sparkSession
