@@ -50,3 +50,20 @@ def test_only_rows_of_rare_keys_are_shuffled(spark, monkeypatch):
     want = big.join(table, "k")
     assert sorted(map(tuple, found.select("k", "i", "v").collect())) == sorted(map(tuple, want.select("k", "i", "v").collect()))
     assert "LeftAnti" in plan(found)
+
+
+def test_tokens_stay_with_their_document(spark):
+    from labelmesh.models.topics import TopicLabelModel
+
+    docs = spark.createDataFrame([(i, "apple pear plum " * (i % 4 + 1)) for i in range(12)], "item_id long, text string")
+    ann = docs.select("item_id", F.lit(0).alias("annotator_id"), F.pmod("item_id", F.lit(2)).cast("int").alias("label"), F.lit(1).cast("bigint").alias("n"))
+    tokens, found = prep.tokenize(docs), []
+    for dealt in (0, prep.item_parts(docs)):
+        model = TopicLabelModel.start(tokens, ann, docs, 2, 3, seed=2, labelled=False, dealt=dealt)
+        model.move_topics()
+        assert laid_by_item(model.rolling.last)
+        assert model.document_counts().agg(F.sum("size")).first()[0] == tokens.count()
+        found.append(sorted(map(tuple, model.tokens.collect())))
+    assert found[0] == found[1]
+    # counts by document need no exchange of the tokens
+    assert exchanges(model.tokens.groupBy("item_id").count()) == 0
