@@ -67,3 +67,16 @@ def test_tokens_stay_with_their_document(spark):
     assert found[0] == found[1]
     # counts by document need no exchange of the tokens
     assert exchanges(model.tokens.groupBy("item_id").count()) == 0
+
+
+def test_every_document_is_read_back(spark, tmp_path):
+    import hashlib
+
+    from labelmesh.plans import preparing
+
+    rows = [(1, "head\n\nbody\n", "en"), (2, None, "de"), (3, "line\n", None), (4, "", "en"), (4, "", "en"), (5, "a\r\n\r\nb\n\nc", "en"), (None, "7\n\nx", "en")]
+    spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = [(1, "en", md5("body\n")), (2, "de", None), (3, None, md5("line\n")), (4, "en", md5("")), (4, "en", md5("")), (5, "en", md5("b\n\nc")), (None, "en", md5("x"))]
+    got = preparing.read_documents(spark, str(tmp_path)).select("item_id", "gold", "text_md5")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
