@@ -36,16 +36,23 @@ def save_model(spark: SparkSession, model: PointModel | ClassifierModel, path: s
         tables["hot"] = model.spread.hot
     for name, table in tables.items():
         table.write.parquet(f"{root}/{version}/{name}")
-    before = json.loads(read_text(spark, _manifest(root)) or "{}").get("versions", [])
-    versions = [version, *before]
-    entry = {"versions": versions[:KEEP], "kind": kind, "tables": {name: table.schema.json() for name, table in tables.items()},
+    before = json.loads(read_text(spark, _manifest(root)) or "{}")
+    versions = [version, *before.get("versions", [])]
+    kept = {old: _entry(before, old) for old in versions[1:KEEP]}
+    entry = {"kind": kind, "tables": {name: table.schema.json() for name, table in tables.items()},
              "numbers": {name: getattr(model, name) for name in _NUMBERS[kind]}, "hot_rows": model.spread.rows if model.spread else 0}
-    replace_text(spark, _manifest(root), json.dumps(entry))
+    replace_text(spark, _manifest(root), json.dumps({"versions": versions[:KEEP], "models": {version: entry, **kept}}))
     for old in versions[KEEP:]:
         drop_path(spark, f"{root}/{old}")
     return version
 
 
+def _entry(manifest: dict, version: str) -> dict:
+    """What the manifest holds of a version; older manifests hold one entry for all."""
+    models = manifest.get("models")
+    return models[version] if models else {k: v for k, v in manifest.items() if k not in ("versions", "models")}
+
+
 def load_model(spark: SparkSession, path: str, version: str | None = None) -> PointModel | ClassifierModel:
     """The newest version, or an older one that is still kept."""
     from pyspark.sql.types import StructType
@@ -54,10 +61,11 @@ def load_model(spark: SparkSession, path: str, version: str | None = None) -> Po
     text = read_text(spark, _manifest(root))
     if text is None:
         raise FileNotFoundError(f"no model at {path}")
-    entry = json.loads(text)
-    version = version or entry["versions"][0]
-    if version not in entry["versions"]:
-        raise FileNotFoundError(f"no version {version} at {path}: {', '.join(entry['versions'])} are kept")
+    manifest = json.loads(text)
+    version = version or manifest["versions"][0]
+    if version not in manifest["versions"]:
+        raise FileNotFoundError(f"no version {version} at {path}: {', '.join(manifest['versions'])} are kept")
+    entry = _entry(manifest, version)
     tables = {name: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{root}/{version}/{name}")
               for name, schema in entry["tables"].items()}
     spread = Spread(["annotator_id", "label"], ["item_id"], tables.pop("hot", None), entry["hot_rows"])
