@@ -1,6 +1,8 @@
 """Model properties: conditionals against the log joint, monotone bounds, skew and partition invariance."""
 
 import math
+import warnings
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -466,3 +468,48 @@ def test_pairs_of_many_classes_as_rows_equal_pairs_written_out(spark, monkeypatc
             out.append(sorted((r["item_id"], r["y"], r["m"]) for r in run.state.collect()))
         seen.append(out)
     assert seen[0] == seen[1]
+
+
+def _long_documents(spark):
+    """Rows of very different lengths over words of very different frequency, with hard labels and an unlabelled row."""
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        n = int(10 ** r.uniform(0.5, 3.7))
+        words, times = np.unique(np.minimum((r.pareto(0.7, n) * 3).astype(int), 4000), return_counts=True)
+        rows += [(i, f"w{w}", float(t)) for w, t in zip(words, times)]
+    features = spark.createDataFrame(rows, "item_id int, feature string, value double")
+    items = spark.range(152).select(F.col("id").cast("int").alias("item_id"))
+    soft = spark.createDataFrame([(i, [1.0 - float(y), float(y)]) for i, y in enumerate(r.integers(0, 2, 150))], "item_id int, p array<double>")
+    return features, items, soft
+
+
+def test_two_classes_converge_on_long_documents(spark):
+    """A hundred steps leave next to nothing of the gradient, though lengths differ a thousandfold; an earlier fit saves them."""
+    features, items, soft = _long_documents(spark)
+    design = classifier.sparse_design(features, items, 2)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        fit = classifier.fit(design, soft, Priors(), 100)
+        again = classifier.fit(design, soft, Priors(), 8, start=fit)
+    flat = soft.select("item_id", F.expr("array(ln(0.5D), ln(0.5D))").alias("lp"))
+    norm = lambda g: sum(x * x for row in g.collect() for x in row["g"]) ** 0.5
+    start = norm(classifier.gradient(features, soft, flat, None, Priors(), 2))
+    end = norm(classifier.gradient(features, soft, fit.scores, classifier.coefficient_table(design, fit, spark), Priors(), 2))
+    assert end < 1e-3 * start
+    a, b = ({r["item_id"]: np.exp(r["lp"]) for r in f.scores.collect()} for f in (fit, again))
+    assert set(a) == set(range(152)) and max(np.abs(a[i] - b[i]).max() for i in a) < 1e-4
+    assert sum(fit.intercepts) == pytest.approx(0) and a[150] == pytest.approx(np.exp(fit.intercepts) / np.exp(fit.intercepts).sum())
+
+
+def test_soft_labels_reach_the_dense_optimum(spark):
+    """Shares of two classes and rows without words: the probabilities that the dense solver finds."""
+    features, items, _ = _long_documents(spark)
+    r = np.random.default_rng(3)
+    few = features.filter("item_id < 40 AND value < 5")
+    soft = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(r.dirichlet([0.5, 0.5], 45))], "item_id int, p array<double>")
+    design, strong = classifier.sparse_design(few, items, 2), Priors(eta_variance=0.1)
+    found = classifier.fit(design, soft, strong)
+    dense = classifier.fit(replace(design, packed=None), soft, strong)
+    a, b = ({r["item_id"]: np.exp(r["lp"]) for r in f.scores.collect()} for f in (found, dense))
+    assert max(np.abs(a[i] - b[i]).max() for i in a) < 2e-3
