@@ -513,3 +513,16 @@ def test_soft_labels_reach_the_dense_optimum(spark):
     dense = classifier.fit(replace(design, packed=None), soft, strong)
     a, b = ({r["item_id"]: np.exp(r["lp"]) for r in f.scores.collect()} for f in (found, dense))
     assert max(np.abs(a[i] - b[i]).max() for i in a) < 2e-3
+
+
+def test_words_are_counted_once_for_every_state(spark, stub, monkeypatch):
+    """A schedule counts the words again only after a move of the class they are tied to; its log joints are those of fresh counts."""
+    state = stub["state"]
+    run = sweeps.Sweeper.start(sweeps.MULTI, stub["annotations"], state, 3, P, stub["features"], seed=4)
+    count, counted = type(run.corpus).soft_vocab, []
+    monkeypatch.setattr(type(run.corpus), "soft_vocab", lambda self, p: (counted.append(1), count(self, p))[1])
+    joints = [x["log_joint"] for x in sweeps.train(run, [
+        sweeps.Step("sample", "all", 1, 2.0), sweeps.Step("sample", "y", 1), sweeps.Step("maximize", "m", 1), sweeps.Step("maximize", "all", 1)])]
+    assert len(counted) == 4  # the start, and after each of the three moves of m
+    fresh = sweeps.Sweeper.start(sweeps.MULTI, stub["annotations"], run.state.select("item_id", "y", "m"), 3, P, stub["features"], seed=4)
+    assert joints[-1] == pytest.approx(fresh.log_joint(), abs=1e-9)
