@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from awkward import TEXTS, documents, empty
-from labelmesh.llm import chat, grammar, packing, queries, token_counts
-from labelmesh.llm.tokens import ByteBpe, vocabulary
+from labelmesh.llm import chat, grammar, language, packing, queries, token_counts, tokens
+from labelmesh.llm.tokens import AddedBpe, ByteBpe, vocabulary
 
 BYTES = vocabulary("byte_bpe_50k.json")
 
@@ -99,6 +99,30 @@ def test_words_encode_like_the_whole(tokenizer):
         assert got == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_added_tokens_need_no_second_tokenizer():
+    from tokenizers import Tokenizer
+
+    bpe, whole = AddedBpe(open(BYTES, "rb").read()), Tokenizer.from_file(BYTES)
+    special = next(t.content for t in whole.get_added_tokens_decoder().values())
+    for text in [f"a {special} b", *TEXTS, f"{special}{special}", special[:-1], *map(random_text, range(50))]:
+        assert np.frombuffer(bpe.encode(text), dtype="<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+        assert bpe.tokenizer.encode_special_tokens
+    assert sum(isinstance(value, Tokenizer) for value in vars(bpe).values()) == 1
+
+
+def test_stages_without_an_encoder_free_those_of_others(monkeypatch):
+    monkeypatch.setattr(tokens, "_workers", {})
+    blob = open(BYTES, "rb").read()
+    assert tokens.once(ByteBpe, blob) is tokens.once(ByteBpe, blob)
+
+    class Rows:
+        schema = packing.T.StructType([])
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    assert list(language._counted(Rows(), [])([])) == [] and not tokens._workers
+
+
 def test_escapes_round_trip():
     for seed in range(200):
         r = random.Random(seed)
