@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,41 @@ def test_words_encode_like_the_whole(tokenizer):
         assert got == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def odd_text(seed):
+    r = random.Random(seed)
+    parts = ["a", "B", "é", "ß", "×", "«", "ɏ", "ɐ", "\u0300", "я", "日", "。", "🙂", "𝒳", "1", "²", "Ⅷ", "'", "'ll", " ", "  ", "\n", "\t", "\x1c",
+             "\x85", "\xa0", "\u3000", ".", "-", "_", "\x7f", "\x00", "\xad", "µ", "Ġ", "Ċ", "<|endoftext|>", "ी", "ह"]
+    return "".join(r.choice(parts) for _ in range(r.randrange(0, 60)))
+
+
+@pytest.mark.parametrize("block, memo, call", [(2 << 20, 200_000, 1000), (40, 5, 2)])
+def test_columns_encode_like_their_texts(monkeypatch, block, memo, call):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "BLOCK", block)
+    monkeypatch.setattr(tokens, "MEMO_UNITS", memo)
+    monkeypatch.setattr(tokens, "CALL_RUNS", call)
+    texts = [None, *TEXTS, *map(random_text, range(100)), *map(random_words, range(100)), *map(odd_text, range(1500)), ""]
+    for kind, special in ((AddedBpe, False), (ByteBpe, True)):
+        bpe, whole = kind(open(BYTES, "rb").read()), Tokenizer.from_file(BYTES)
+        whole.encode_special_tokens = special
+        want = [[*whole.encode(text or "", add_special_tokens=False).ids, 2] for text in texts]
+        for some in (slice(None), slice(7, 400), slice(0, 1), slice(0, 0)):  # the second time from memory
+            ids, counts = bpe.encode_all(pa.array(texts, pa.string())[some], 2)
+            assert counts.tolist() == list(map(len, want[some]))
+            assert ids.tolist() == [i for found in want[some] for i in found]
+
+
+def test_the_library_sees_a_unit_once(monkeypatch):
+    bpe, asked = ByteBpe(open(BYTES, "rb").read()), []
+    learned = bpe._learned
+    monkeypatch.setattr(bpe, "_learned", lambda units: (asked.extend(units), learned(units))[1])
+    texts = pa.array(["so many, many. (many) many\nmany", "many; so: many, so", None])
+    for _ in range(2):
+        bpe.encode_all(texts)
+    assert sorted(asked) == sorted(["so", " many", ",", ".", " (", "many", ")", "\n", ";", " so", ":"])
+
+
 def test_added_tokens_need_no_second_tokenizer():
     from tokenizers import Tokenizer
 
