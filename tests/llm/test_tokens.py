@@ -243,6 +243,15 @@ def test_kept_counts_equal_counting_everything_again(monkeypatch):
         assert g.rules.tolist() == [list(x) for x in rules] and g.symbols.tolist() == symbols
 
 
+def test_later_rounds_look_at_changed_places_only(monkeypatch):
+    looked, slot = [], grammar._slot
+    monkeypatch.setattr(grammar, "_slot", lambda left, right: (looked.append(len(left)), slot(left, right))[1])
+    ids = np.concatenate((np.arange(40000), np.tile(np.arange(40000, 40064), 10))).astype("<u4")
+    g = grammar.compress(ids, 50257)
+    assert (g.expand(g.symbols) == ids).all() and len(g.levels) > 3
+    assert sum(looked) < 1.2 * len(ids)
+
+
 def test_span_expands_what_it_covers_only(monkeypatch):
     r = np.random.default_rng(4)
     ids = np.tile(r.integers(0, 900, 5000), 6).astype("<u4")
