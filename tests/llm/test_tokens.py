@@ -107,7 +107,7 @@ def odd_text(seed):
     return "".join(r.choice(parts) for _ in range(r.randrange(0, 60)))
 
 
-@pytest.mark.parametrize("block, memo, call", [(2 << 20, 200_000, 1000), (40, 5, 2)])
+@pytest.mark.parametrize("block, memo, call", [(1 << 20, 150_000, 1000), (40, 5, 2)])
 def test_columns_encode_like_their_texts(monkeypatch, block, memo, call):
     from tokenizers import Tokenizer
 
