@@ -20,9 +20,9 @@ from labelmesh.runtime import cut
 
 #: Gamma hyper-prior shape and rate, relative stop (fixed values)
 SHAPE, RATE, STOP = 2.0, 2.0, 1e-4
-#: relative stop and steps where a step costs a histogram on the driver
+#: relative stop and steps over histograms, wherever they are iterated
 EXACT, EXACT_STEPS = 1e-10, 5000
-#: most histogram rows that are iterated on the driver
+#: most histogram rows that are iterated on the driver; decides where a step is taken, not where the steps end
 DRIVER_ROWS = 200_000
 
 
@@ -95,11 +95,6 @@ class Histogram:
                                for kind, a in strengths.items())).first()
         return row.asDict()
 
-    @property
-    def effort(self) -> tuple[int, float]:
-        """Steps and stop of an iteration: exact where a step costs nothing."""
-        return (EXACT_STEPS, EXACT) if self.held is not None else (100, STOP)
-
 
 def digamma_values(x: np.ndarray) -> np.ndarray:
     """:func:`digamma_value` of every element."""
@@ -125,7 +120,7 @@ def symmetric(rows: DataFrame, n_labels: int, alpha: float) -> float:
         sums = seen.excess(cell=x[0], total=n_labels * x[0])
         return [(SHAPE - 1.0 + x[0] * sums["cell"]) / (RATE + n_labels * sums["total"])]
 
-    return _accelerated(step, [alpha], *seen.effort)[0]
+    return _accelerated(step, [alpha], EXACT_STEPS, EXACT)[0]
 
 
 def vocabulary(vocab: DataFrame, n_classes: int, n_features: int, b_phi: float) -> float:
@@ -138,7 +133,7 @@ def vocabulary(vocab: DataFrame, n_classes: int, n_features: int, b_phi: float)
         down = sum(digamma_value(t + whole) - digamma_value(whole) for t in totals)
         return [(SHAPE - 1.0 + x[0] * seen.excess(cell=x[0])["cell"]) / (RATE + n_features * down)]
 
-    return _accelerated(step, [b_phi], *seen.effort)[0]
+    return _accelerated(step, [b_phi], EXACT_STEPS, EXACT)[0]
 
 
 def hard_confusion(rows: DataFrame, n_labels: int, diag: float, off: float) -> tuple[float, float]:
@@ -151,7 +146,7 @@ def hard_confusion(rows: DataFrame, n_labels: int, diag: float, off: float) -> t
         return [(SHAPE - 1.0 + x[0] * sums["diag"]) / (RATE + sums["total"]),
                 (SHAPE - 1.0 + x[1] * sums["off"]) / (RATE + (n_labels - 1) * sums["total"])]
 
-    found = _accelerated(step, [diag, off], *seen.effort)
+    found = _accelerated(step, [diag, off], EXACT_STEPS, EXACT)
     return found[0], found[1]
 
 

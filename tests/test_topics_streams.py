@@ -11,7 +11,7 @@ from labelmesh.functions import arrays, rand
 from labelmesh.functions.special import digamma_value
 from labelmesh.models import classifier, scoring, topics, tuning, variational as M
 from labelmesh.operators import prep
-from labelmesh.plans import streams, views as V
+from labelmesh.plans import modelling, streams, views as V
 from labelmesh.priors import Priors
 from labelmesh.runtime import shared_path
 from labelmesh.sources.models import load_model, save_model
@@ -127,6 +127,17 @@ def test_histograms_give_the_strength_of_all_draws(spark, monkeypatch, driver_ro
     assert tuning.vocabulary(vocab, 2, 3, 1.0) == pytest.approx(brute_strength(draws[:2], 3, 1.0), rel=1e-5)
 
 
+def test_where_a_histogram_is_iterated_changes_no_strength(spark, sf, monkeypatch):
+    """Histograms too long for the driver end as near to the fixed point as those that it holds."""
+    found = []
+    for rows in (0, 200_000):
+        monkeypatch.setattr(tuning, "DRIVER_ROWS", rows)
+        run = modelling._line_run(spark, sf)
+        run.tune()
+        found.append([getattr(run.priors, n) for n in ("b_theta", "b_gamma", "c_gamma")])
+    assert found[0] == pytest.approx(found[1], rel=1e-7)
+
+
 def test_topic_label_models(spark, corpus):
     docs, ann = corpus
     model = topics.topic_label_model(prep.tokenize(docs), ann, docs, 2, T, P, 5, 1, SEED)
