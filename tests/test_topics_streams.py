@@ -11,7 +11,7 @@ from labelmesh.functions import arrays, rand
 from labelmesh.functions.special import digamma_value
 from labelmesh.models import classifier, scoring, topics, tuning, variational as M
 from labelmesh.operators import prep
-from labelmesh.plans import modelling, streams, views as V
+from labelmesh.plans import learning, modelling, streams, views as V
 from labelmesh.priors import Priors
 from labelmesh.runtime import shared_path
 from labelmesh.sources.models import load_model, save_model
@@ -138,6 +138,15 @@ def test_where_a_histogram_is_iterated_changes_no_strength(spark, sf, monkeypatc
     assert found[0] == pytest.approx(found[1], rel=1e-7)
 
 
+def test_the_query_runs_every_sweep(spark, sf, monkeypatch):
+    """The joint topic model makes the sweeps that the operator makes by itself: 25, all sampling."""
+    swept = []
+    monkeypatch.setattr(topics.TopicLabelModel, "sweep", lambda self, sample=True, temperature=1.0: swept.append(sample))
+    monkeypatch.setattr(topics.TopicLabelModel, "predictions", lambda self: None)
+    learning.topic_label_model(spark, sf)
+    assert swept == [True] * 25
+
+
 def test_topic_label_models(spark, corpus):
     docs, ann = corpus
     model = topics.topic_label_model(prep.tokenize(docs), ann, docs, 2, T, P, 5, 1, SEED)
