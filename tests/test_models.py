@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmesh.functions import arrays
-from labelmesh.models import bounds, classifier, loglinear, measurement, scoring, sweeps, tuning, variational as M
+from labelmesh.models import bounds, classifier, loglinear, measurement, newton, scoring, sweeps, tuning, variational as M
 from labelmesh.operators import joins, measurements as ms, neighbors, votes
 from labelmesh.plans import measuring, views as V
 from labelmesh.priors import Priors
@@ -502,6 +502,33 @@ def test_two_classes_converge_on_long_documents(spark):
     assert sum(fit.intercepts) == pytest.approx(0) and a[150] == pytest.approx(np.exp(fit.intercepts) / np.exp(fit.intercepts).sum())
 
 
+def test_the_driver_receives_one_sum_of_vectors(spark, monkeypatch):
+    """However many tasks add up vectors, no job sends the driver more than the gradient and the diagonal; slices change no result."""
+    from pyspark import RDD
+
+    features, items, soft = _long_documents(spark)
+    pair = lambda v: isinstance(v, tuple) and len(v) == 2 and all(isinstance(x, np.ndarray) for x in v)  # noqa: E731  entries of a heavy row
+    size_of = lambda v: (v.nbytes if isinstance(v, np.ndarray) else sum(map(size_of, v)) if isinstance(v, list | tuple) and not pair(v) else 0)
+    sizes, collect, few = [], RDD.collect, Priors(eta_variance=0.01)
+    apart = {"spark.sql.files.maxPartitionBytes": "20000b", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in apart.items():
+            spark.conf.set(k, v)
+        design = classifier.sparse_design(features, items, 2)
+        plain = {r["item_id"]: r["lp"] for r in classifier.fit(design, soft, few, 3).scores.collect()}
+        monkeypatch.setattr(newton, "DIRECT", 0)
+        monkeypatch.setattr(newton, "SLICE", 300, raising=False)
+        monkeypatch.setattr(newton, "ENTRIES_PER_TASK", 1000)
+        monkeypatch.setattr(RDD, "collect", lambda self: (out := collect(self), sizes.append(size_of(out)))[0])
+        sliced = {r["item_id"]: r["lp"] for r in classifier.fit(design, soft, few, 3).scores.collect()}
+    finally:
+        for k in apart:
+            spark.conf.unset(k)
+    vector = 8 * (design.size + 1)
+    assert vector < max(sizes) <= 2 * vector + 3 * 8 * newton.ROWS
+    assert set(plain) == set(sliced) and max(np.abs(np.exp(plain[i]) - np.exp(sliced[i])).max() for i in plain) < 1e-6
+
+
 def test_soft_labels_reach_the_dense_optimum(spark):
     """Shares of two classes and rows without words: the probabilities that the dense solver finds."""
     features, items, _ = _long_documents(spark)
